@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from arbora.llm import mixing
+from arbora.llm import mixing, urls
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -33,3 +33,28 @@ o AS (SELECT s.*, source_size, target, floor(target)::BIGINT AS quota,
 SELECT doc_id, size, source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE quota // source_size * size + greatest(0, least(start + size, quota % source_size) - start) END::BIGINT AS taken
 FROM o"""
+
+
+#: host, path, verdict of the rules.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+#: Listed sites of spam, gambling, adult content and trackers, in each zone.
+URL_LISTED = [(f"{name}.example.{zone}", "", "block") for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org")]
+
+
+@query
+def op9_url_filter(spark, d):
+    rows = [(h, p, v, 0) for h, p, v in URL_RULES] + [(h, p, v, 1) for h, p, v in URL_LISTED]
+    values = ", ".join(f"('{h}', '{p}', '{v}', {r})" for h, p, v, r in rows)
+    listed = spark.sql(f"SELECT * FROM VALUES {values} AS t(host, path, verdict, rank)")
+    return urls.judge(table(spark, d, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLE_SQL["op9_url_filter"] = r"""
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+SELECT page_id, host, path,
+  (SELECT arg_max(h || p, length(h) + length(p)) FROM r WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS rule,
+  coalesce((SELECT arg_max(v, length(h) + length(p)) FROM r WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)),
+    CASE WHEN regexp_matches(u.host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+FROM u"""
