@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from arbora.llm import mixing, urls
+import public_tokenizers
+
+from arbora.llm import mixing, packing, sstable, urls
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -58,3 +60,17 @@ SELECT page_id, host, path,
   coalesce((SELECT arg_max(v, length(h) + length(p)) FROM r WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)),
     CASE WHEN regexp_matches(u.host, '(^|\.)(ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM u"""
+
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_packing(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), TOKENIZER)
+
+
+@query
+def op6_token_shards(spark, d):
+    shards = sstable.write(table(spark, d, "documents"), TOKENIZER)
+    return sstable.read(spark, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
