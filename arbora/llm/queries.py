@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from arbora.llm import mixing, packing, sstable, urls
+from arbora.llm import mixing, packing, sstable, urls, warc
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -74,3 +74,17 @@ def op4_packing(spark, d):
 def op6_token_shards(spark, d):
     shards = sstable.write(table(spark, d, "documents"), TOKENIZER)
     return sstable.read(spark, shards).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op5_warc(spark, d):
+    files = warc.write(table(spark, d, "pages"))
+    return warc.read(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM g"""
