@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from arbora.llm import mixing, packing, sstable, urls, warc
+from arbora.llm import exact, mixing, packing, sstable, urls, warc
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -88,3 +88,14 @@ g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITIO
 SELECT page_id, payload_bytes, sha1(payload) AS payload_digest,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
 FROM g"""
+
+
+@query
+def op2_exact_dedup(spark, d):
+    return exact.dedup(table(spark, d, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+ORACLE_SQL["op2_exact_dedup"] = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS normal FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size, first_value(doc_id) OVER w = doc_id AS kept, sha256(normal) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY normal ORDER BY n_chars DESC, doc_id)"""
