@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from arbora.llm import exact, mixing, packing, sstable, urls, warc
+from arbora.llm import exact, mixing, packing, quality, sstable, urls, warc
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -99,3 +99,28 @@ ORACLE_SQL["op2_exact_dedup"] = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS normal FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size, first_value(doc_id) OVER w = doc_id AS kept, sha256(normal) AS text_sha256
 FROM n WINDOW w AS (PARTITION BY normal ORDER BY n_chars DESC, doc_id)"""
+
+
+@query
+def op1_quality(spark, d):
+    return quality.judge(table(spark, d, "documents")).drop("rid")
+
+
+ORACLE_SQL["op1_quality"] = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, hash(ws[i], ws[i + 1], ws[i + 2]) AS k FROM d, unnest(range(1, len(ws) - 1)) AS t(i)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM r, unnest(range(0, 3)) AS t(o) GROUP BY doc_id),
+l AS (SELECT doc_id, source, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d)),
+v AS (SELECT doc_id, source, line, translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal, len(lw) AS n FROM l WHERE len(lw) > 0),
+u AS (SELECT doc_id, sum(k - 1)::BIGINT AS n FROM (SELECT doc_id, line, count(*) AS k FROM v GROUP BY ALL) GROUP BY doc_id),
+x AS (SELECT doc_id, source, normal, sum(n) AS n FROM v GROUP BY ALL),
+y AS (SELECT doc_id, n, count(*) OVER (PARTITION BY source, normal) AS docs FROM x),
+z AS (SELECT doc_id, sum(n)::BIGINT AS n FROM y WHERE docs > 100 GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, list_sum(list_transform(ws, lambda w: length(w))) AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+  coalesce(u.n, 0) AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(z.n, 0) AS n_removed_words
+  FROM d LEFT JOIN u ON u.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN z ON z.doc_id = d.doc_id)
+SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept
+FROM m"""
