@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from arbora.llm import exact, mixing, packing, quality, sstable, urls, warc
+from arbora.llm import exact, langid, mixing, packing, quality, sstable, urls, warc
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -124,3 +125,10 @@ SELECT doc_id, n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, n_symbols
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_removed_words >= 0.3 * n_words AS kept
 FROM m"""
+
+
+@query
+def op8_language(spark, d):
+    docs = table(spark, d, "documents")
+    out = langid.predict(docs, langid.train(docs))
+    return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
