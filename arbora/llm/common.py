@@ -51,10 +51,10 @@ def _sweep() -> None:
             return
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, max_rows: int = 0) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path

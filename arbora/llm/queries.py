@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arbora.llm import exact, langid, mixing, packing, quality, sstable, urls, warc
+from arbora.llm import debruijn, exact, langid, mixing, packing, quality, sstable, urls, warc
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -132,3 +132,8 @@ def op8_language(spark, d):
     docs = table(spark, d, "documents")
     out = langid.predict(docs, langid.train(docs))
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query
+def op7_substring_dedup(spark, d):
+    return debruijn.remove_repeats(table(spark, d, "documents")).drop("kept_text")
