@@ -52,10 +52,11 @@ def decisions(pages: DataFrame, least: int, id_col: str, url_col: str, html_col:
 
 def train(pages: DataFrame, id_col: str, html_col: str, dictionary_bytes: int, sample_rows: int, sample_bytes: int) -> bytes:
     """A dictionary from a bounded sample; empty if the sample is too small to train on."""
-    sample = (
-        pages.select(F.xxhash64(id_col).alias("at"), F.col(html_col).cast("string").alias("html")).where("html IS NOT NULL")
-        .orderBy("at", F.xxhash64("html")).limit(sample_rows).select(F.substring("html", 1, sample_bytes).alias("html")).collect()
-    )
+    # rows are chosen without their html, which only the chosen ones then send
+    narrow = pages.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("at")).where(F.col(html_col).isNotNull())
+    chosen = narrow.orderBy("at", "id").limit(sample_rows).select("id").distinct()
+    texts = pages.select(F.col(id_col).alias("id"), F.substring(F.col(html_col).cast("string"), 1, sample_bytes).alias("html"))
+    sample = texts.join(F.broadcast(chosen), "id", "left_semi").limit(sample_rows).select("html").collect()
     texts = [r[0].encode() for r in sample if r[0]]
     try:
         return zstandard.train_dictionary(dictionary_bytes, texts).as_bytes() if len(texts) >= 8 else b""
@@ -77,7 +78,7 @@ def record(page_id, url, payload, n, digest, kind, refers_to) -> bytes:
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, dictionary_bytes: int = 65536, sample_rows: int = 2000, sample_bytes: int = 16384, level: int = 3) -> DataFrame:
+def write(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, dictionary_bytes: int = 65536, sample_rows: int = 1000, sample_bytes: int = 8192, level: int = 3) -> DataFrame:
     """Writes the archives; a row for each file: path, records."""
     spark = pages.sparkSession
     folder = path or shared_dir(spark)
