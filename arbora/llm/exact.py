@@ -140,7 +140,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     # byte verification: the texts of hits against that of the row which stays
     hits = stored(entries.join(index.select("digest", "keep_rid"), "digest").select("digest", "doc_id", "rid", "n_chars", "keep_rid", "normal"))
     keepers = hits.where("rid = keep_rid").select("digest", F.col("normal").alias("keep_normal"))
-    differing = stored(hits.join(keepers, "digest").where("normal <> keep_normal").select("digest").distinct())
+    # stored before it is made distinct: an aggregation on the join's key would keep Spark from splitting a large group
+    differing = stored(hits.join(keepers, "digest").where("normal <> keep_normal").select("digest")).distinct()
     out = entries.drop("normal").join(index, "digest", "left").select(
         "digest", "rid", "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("group_size").isNull() | (F.col("rid") == F.col("keep_rid"))).alias("kept"), "text_sha256",
