@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from arbora.llm import debruijn, exact, langid, mixing, packing, quality, sstable, urls, warc
+from arbora.llm import debruijn, exact, langid, mixing, near, packing, quality, sstable, urls, warc
 from arbora.llm.common import table
 
 QUERIES: dict = {}
@@ -137,3 +137,8 @@ def op8_language(spark, d):
 @query
 def op7_substring_dedup(spark, d):
     return debruijn.remove_repeats(table(spark, d, "documents")).drop("kept_text")
+
+
+@query
+def op3_near_dedup(spark, d):
+    return near.near_dedup(table(spark, d, "documents"))
