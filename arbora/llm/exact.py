@@ -66,21 +66,22 @@ def merged(runs: list[np.ndarray], filters: list[Bloom]) -> np.ndarray:
 
 
 def entries_of(docs: DataFrame, digest_bits: int) -> DataFrame:
-    """doc_id, rid, n_chars, digest, text_sha256 and the normalised text, to be stored so that ``rid`` stays."""
+    """doc_id, rid, n_chars, digest, text_sha256, text and row, to be stored so that ``rid`` stays."""
     mask = (1 << digest_bits) - 1
 
     def digests(batches):
         for b in in_slices(batches):
-            normals = [normalised(t) for t in b.column(1).to_pylist()]
-            hashes = [hashlib.sha256(x) for x in normals]
+            texts = b.column(1).to_pylist()
+            hashes = [hashlib.sha256(normalised(t)) for t in texts]
             digest = np.array([int.from_bytes(h.digest()[:8], "little") & mask for h in hashes], np.uint64).view(np.int64)
-            lengths = [len(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(lengths, pa.int64()), pa.array(digest, pa.int64()), pa.array([h.hexdigest() for h in hashes], pa.string()), pa.array(normals, pa.binary())],
-                ["doc_id", "rid", "n_chars", "digest", "text_sha256", "normal"],
+                [b.column(0), b.column(2), pa.array([len(t or "") for t in texts], pa.int64()), pa.array(digest, pa.int64()), pa.array([h.hexdigest() for h in hashes], pa.string()), b.column(1), b.column(3)],
+                names,
             )
 
-    return docs.mapInArrow(digests, "doc_id long, rid long, n_chars long, digest long, text_sha256 string, normal binary")
+    whole = docs.select("doc_id", "rid", *(F.lit(0).cast("long").alias(c) for c in ("n_chars", "digest")), F.lit("").alias("text_sha256"), "text", "row")
+    names = whole.columns
+    return docs.select("doc_id", "text", "rid", "row").mapInArrow(digests, whole.schema)
 
 
 def compacted(entries: DataFrame, parts: int, memtable: int) -> DataFrame:
@@ -130,21 +131,23 @@ def compacted(entries: DataFrame, parts: int, memtable: int) -> DataFrame:
     return runs.groupBy("part").applyInPandas(compact, "digest long, keep_id long, keep_rid long, group_size long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64, memtable: int = 65536, range_rows: int = 262144) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, rid of every row."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64, memtable: int = 65536, range_rows: int = 262144, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, rid of every row; with ``carry`` also text and row (those columns)."""
+    row = F.struct(*carry) if carry else F.struct(F.lit(1).alias("none"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"), row.alias("row"))
     entries = stored(entries_of(d, digest_bits))
     parts = max(1, -(-entries.count() // range_rows))
     index = stored(compacted(entries, parts, memtable))
 
+    squeezed = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "")
     # byte verification: the texts of hits against that of the row which stays
-    hits = stored(entries.join(index.select("digest", "keep_rid"), "digest").select("digest", "doc_id", "rid", "n_chars", "keep_rid", "normal"))
+    hits = stored(entries.join(index.select("digest", "keep_rid"), "digest").select("digest", "doc_id", "rid", "n_chars", "keep_rid", squeezed.alias("normal")))
     keepers = hits.where("rid = keep_rid").select("digest", F.col("normal").alias("keep_normal"))
     # stored before it is made distinct: an aggregation on the join's key would keep Spark from splitting a large group
     differing = stored(hits.join(keepers, "digest").where("normal <> keep_normal").select("digest")).distinct()
-    out = entries.drop("normal").join(index, "digest", "left").select(
+    out = entries.join(index, "digest", "left").select(
         "digest", "rid", "doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("group_size").isNull() | (F.col("rid") == F.col("keep_rid"))).alias("kept"), "text_sha256",
+        F.coalesce("group_size", F.lit(1)).alias("group_size"), (F.col("group_size").isNull() | (F.col("rid") == F.col("keep_rid"))).alias("kept"), "text_sha256", "text", "row",
     )
     if not differing.isEmpty():
         own = hits.join(differing, "digest", "left_semi")
@@ -153,6 +156,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
         again = own.join(groups, ["digest", "normal"]).select(
             "digest", "rid", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("first.rid")).alias("kept"),
         )
-        again = again.join(entries.select("rid", "text_sha256"), "rid").select(*out.columns)
+        again = again.join(entries.select("rid", "text_sha256", "text", "row"), "rid").select(*out.columns)
         out = out.join(differing, "digest", "left_anti").unionByName(again)
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "rid")
+    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256", "rid", *(("text", "row") if carry else ()))

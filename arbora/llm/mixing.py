@@ -30,17 +30,18 @@ PHI = 0.6180339887498949
 CELLS = 1024
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size (words), with a row number ``rid`` that stays as stored."""
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size (words), row (the columns named in ``carry``), with a number ``rid`` that stays as stored."""
 
     def count(batches):
         for b in batches:
             n = pa.array([len(words(t)) for t in b.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, b.column(3)], ["doc_id", "source", "size", "row"])
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    d = d.mapInArrow(count, "doc_id long, source string, size long")
-    return stored(d.withColumn("rid", F.monotonically_increasing_id()))
+    row = F.struct(*carry) if carry else F.struct(F.lit(1).alias("none"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
+    schema = d.select("doc_id", "source", F.lit(0).cast("long").alias("size"), "row").schema
+    return stored(d.mapInArrow(count, schema).withColumn("rid", F.monotonically_increasing_id()))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -90,16 +91,16 @@ def schedule(sources: DataFrame, slots: int, block: int, chunk: int = 65536) ->
     return ranked.unionByName(short)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 256, per_chunk: int = 2048) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot of every document."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 256, per_chunk: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot, rid and row (the columns in ``carry``) of every document."""
     spark = docs.sparkSession
-    sized = sizes(docs, id_col, text_col, source_col)
+    sized = sizes(docs, id_col, text_col, source_col, carry)
     sources = stored(targets(sized, weights, most))
     total = (sources.agg(F.max("total")).first()[0] or 0)
     slots = schedule(sources, -(-total // block), block)
 
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    placed = sized.join(sources.drop("total"), sized.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("key", key)
+    placed = sized.drop("row").join(sources.drop("total"), sized.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("key", key)
     n_chunks = F.ceil(F.col("n_docs") / per_chunk)
     placed = placed.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_chunks / F.lit(2**32)))
     # a source may have few chunks of documents yet a third of all rows: the number of chunks follows the rows
@@ -111,4 +112,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = pieces.withColumn("got", F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block))
     taken = pieces.join(slots, ["src", "rank"]).groupBy("rid").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"))
     out = sized.join(sources.select("source", "source_size", "target"), sized.source.eqNullSafe(sources.source)).drop(sources.source)
-    return out.join(taken, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "rid")
+    return out.join(taken, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "rid", "row")

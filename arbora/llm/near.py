@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from arbora.llm.common import in_slices, lower_ascii, mixed, stored, window_hashes, word_hashes
 
@@ -50,7 +51,7 @@ def _turns(coords: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, size: int, coords: int, seed: int = 11) -> DataFrame:
-    """doc_id, tkey, n_shingles, set_key, sig (null without shingles)."""
+    """n_shingles, set_key, sig (null without shingles) and all columns of ``docs``, the second of which is the text."""
     xor, odd = _turns(coords, seed)
 
     def scan(batches):
@@ -67,11 +68,15 @@ def signatures(docs: DataFrame, size: int, coords: int, seed: int = 11) -> DataF
                 for i, row in zip(full, (low >> np.uint64(32)).astype(np.uint32).view(np.int32), strict=True):
                     sig[i] = row.tolist()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.list_(pa.int32()))],
-                ["doc_id", "tkey", "n_shingles", "set_key", "sig"],
+                [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.list_(pa.int32())), *(b.column(c) for c in passed)],
+                ["n_shingles", "set_key", "sig", *passed],
             )
 
-    return docs.select("doc_id", "text", "tkey").mapInArrow(scan, "doc_id long, tkey long, n_shingles long, set_key binary, sig array<int>")
+    passed = [c for c in docs.columns if c != "text" or "row" in docs.columns]
+    schema = StructType.fromDDL("n_shingles long, set_key binary, sig array<int>")
+    for c in passed:
+        schema = schema.add(docs.schema[c])
+    return docs.mapInArrow(scan, schema)
 
 
 def sets_of(texts: DataFrame, size: int) -> DataFrame:
@@ -175,10 +180,11 @@ def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: i
         posted = stored(rest)
 
 
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, small: int = 64, block: int = 16) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row."""
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, small: int = 64, block: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row; with ``carry`` also text and row (those columns)."""
     text = F.col(text_col).cast("string")
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"))
+    row = [F.struct(*carry).alias("row")] if carry else []
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"), *row)
     signed = stored(signatures(d, size, coords))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tkey"))
     classes = signed.where("n_shingles > 0").groupBy("set_key").agg(rep.alias("rep"), F.first("sig").alias("sig"))
@@ -195,4 +201,4 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
     of_set = stored(named.join(lowest, "comp").select("set_key", "component_id"))
     out = signed.drop("sig").join(of_set, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *(("text", "row") if carry else ()))
