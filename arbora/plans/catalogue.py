@@ -1,15 +1,25 @@
-"""Registered queries and the SQL that a DuckDB oracle runs for each."""
+"""Registered queries, one or more for each operator, and the SQL that a DuckDB oracle runs for each."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arbora.functions import color, text, time
+from arbora.lang import expr
+from arbora.lang.rules import compile_rules, compile_selector
+from arbora.operators import keyed, levels, lookup, ordered, sets, unnest
+from arbora.operators import predicates as P
+from arbora.operators.select import Action, Rule, assign, decide, decompose, evaluate, partition, switch, two_phase
+from arbora.plans import generic
+from arbora.sources import records, tables
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
-def table(spark, sf_dir, name):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark, sf_dir, name, *columns):
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*columns) if columns else df
 
 
 def query(sql: str | None = None):
@@ -24,16 +34,612 @@ def query(sql: str | None = None):
     return add
 
 
+def dec(c, digits: int = 2):
+    """A sum of doubles, rounded, so that the order of adding does not show."""
+    return F.round(c, digits)
+
+
+# Scans and projection.
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price FROM orders")
+def scan_project_alias(spark, d):
+    return expr.select_text(table(spark, d, "orders"), "id=o_orderkey", "status=o_orderstatus", "price=o_totalprice")
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders WHERE starts_with(o_orderpriority, '1') AND NOT (o_orderstatus IN ('F', 'P') OR o_totalprice < 1000)""")
+def scan_filter_text(spark, d):
+    df = tables.scan(spark, f"{d}/orders.parquet", 'o_orderpriority.startsWith("1") && !(o_orderstatus.in({"F", "P"}) || o_totalprice < 1000)')
+    return df.select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT p_partkey, coalesce(nullif(p_brand, 'Brand#1'), p_type, 'none') AS label FROM part")
+def coalesce_alternatives(spark, d):
+    df = table(spark, d, "part").withColumn("brand", F.nullif("p_brand", F.lit("Brand#1")))
+    return expr.select_text(df, "p_partkey", 'label=brand|p_type|"none"')
+
+
+@query("SELECT event_id, event_type, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS missing FROM events")
+def attributes_extended(spark, d):
+    df = table(spark, d, "events").withColumn("attributes", F.from_json("props", "map<string,string>"))
+    return expr.select_text(df, "event_id", "event_type", "k", "missing=attributes.missing")
+
+
+@query("""SELECT r_name AS region, r_name AS top, n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def parent_scopes(spark, d):
+    n, r = table(spark, d, "nation"), table(spark, d, "region")
+    df = lookup.lookup_list(r, n, {"r_regionkey": "n_regionkey"}, F.col("n_name"), ["n_nationkey"], "nations")
+    out = expr.select_text(df, 'rows=nations:map(:construct(region=^.r_name,top=^^.r_name,nation=@))')
+    return out.select(F.explode("rows").alias("m")).select(*(F.col("m")[k].alias(k) for k in ("region", "top", "nation")))
+
+
+@query("""SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, string_split(p_name, ' ')[9] AS c FROM part""")
+def construct_decompose(spark, d):
+    return table(spark, d, "part").select("p_partkey", *(v.alias(k) for k, v in decompose(F.split("p_name", " "), ["a", "b"]).items()), F.try_element_at(F.split("p_name", " "), F.lit(9)).alias("c"))
+
+
+@query("""SELECT o_orderkey, o_totalprice * 2 AS a, o_totalprice AS b, o_totalprice * 2 + o_totalprice AS c FROM orders""")
+def computations_blocks(spark, d):
+    df = table(spark, d, "orders").withColumn("a", F.col("o_totalprice"))
+    df = assign(df, {"a": F.col("o_totalprice") * 2, "b": F.col("a")}, {"c": F.col("a") + F.col("b")})
+    return df.select("o_orderkey", "a", "b", "c")
+
+
+# Predicates, over columns that have nulls by left joins.
+
+
+def _nullable(spark, d):
+    p = table(spark, d, "part", "p_partkey", "p_brand", "p_type", "p_size")
+    size = F.when(F.col("p_size") % 7 != 0, F.col("p_size"))
+    return p.select("p_partkey", F.when(F.col("p_partkey") % 5 != 0, F.col("p_brand")).alias("brand"), "p_type", size.alias("size"))
+
+
+NULLABLE = "(SELECT p_partkey, CASE WHEN p_partkey % 5 <> 0 THEN p_brand END AS brand, p_type, CASE WHEN p_size % 7 <> 0 THEN p_size END AS size FROM part)"
+
+
+@query(f"""SELECT p_partkey, brand IS NOT DISTINCT FROM 'Brand#1' OR brand IS NULL AS e, brand IS DISTINCT FROM 'Brand#1' AS n, size::VARCHAR IS NOT DISTINCT FROM '5' AS t FROM {NULLABLE}""")
+def sel_eq_ne_null(spark, d):
+    return _nullable(spark, d).select("p_partkey", P.eq("brand", "Brand#1", None).alias("e"), P.ne("brand", "Brand#1").alias("n"), P.eq("size", "5").alias("t"))
+
+
+@query(f"""SELECT p_partkey, coalesce(size > 10, false) AS a, coalesce(size >= 10, false) AS b, coalesce(size < 10, false) AS c, coalesce(size <= 10, false) AS d,
+  coalesce(size BETWEEN 5 AND 20, false) AS e, coalesce(size < 5 OR size > 20, false) AS f FROM {NULLABLE}""")
+def sel_range(spark, d):
+    return _nullable(spark, d).select("p_partkey", P.gt("size", 10).alias("a"), P.ge("size", 10).alias("b"), P.lt("size", 10).alias("c"), P.le("size", 10).alias("d"), P.between("size", 5, 20).alias("e"), P.outside("size", 5, 20).alias("f"))
+
+
+@query(f"""SELECT p_partkey, coalesce(regexp_matches(brand, '#[12]'), false) OR brand IS NULL AS a, NOT coalesce(regexp_matches(brand, '3$'), false) AS b,
+  coalesce(contains(p_type, brand), false) AS c FROM {NULLABLE}""")
+def sel_like(spark, d):
+    return _nullable(spark, d).select("p_partkey", P.like("brand", "#[12]", None).alias("a"), P.unlike("brand", "3$").alias("b"), P.like("p_type", P.ref("brand")).alias("c"))
+
+
+@query(f"""SELECT p_partkey, brand IS NOT DISTINCT FROM 'Brand#2' AND coalesce(size > 10, false) AS a, brand IS NULL OR coalesce(size > 40, false) AS b,
+  NOT (brand IS NOT DISTINCT FROM 'Brand#2' AND coalesce(size > 10, false)) AS c, NOT (brand IS NULL OR coalesce(size > 40, false)) AS d FROM {NULLABLE}""")
+def sel_logic(spark, d):
+    df = _nullable(spark, d)
+    s = expr.of(df)
+    texts = {"a": 'and(eq(brand,"Brand#2"),gt(size,10))', "b": "or(eq(brand,null),gt(size,40))", "c": 'nand(eq(brand,"Brand#2"),gt(size,10))', "d": "nor(eq(brand,null),gt(size,40))"}
+    return df.select("p_partkey", *(compile_selector(t, s).alias(k) for k, t in texts.items()))
+
+
+@query("""SELECT c.c_custkey, o.o_totalprice > c.c_acctbal * 10 AS over FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey""")
+def sel_ref(spark, d):
+    j = table(spark, d, "customer", "c_custkey", "c_acctbal").join(table(spark, d, "orders", "o_custkey", "o_totalprice"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.select("c_custkey", P.gt("o_totalprice", P.ref(F.col("c_acctbal") * 10)).alias("over"))
+
+
+def _orders_with_items(spark, d):
+    o = table(spark, d, "orders", "o_orderkey")
+    l = table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity")
+    return lookup.lookup_list(o, l, {"o_orderkey": "l_orderkey"}, F.col("l_quantity"), ["l_linenumber"], "q")
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) FILTER (l_quantity > 45) > 0 AS a, count(l_orderkey) FILTER (l_quantity > 45) = 0 AS b,
+  count(l_orderkey) FILTER (l_quantity <= 5) = 0 AS c, count(l_orderkey) FILTER (l_quantity <= 5) > 0 AS d, count(l_orderkey) > 0 AS e, bool_or(coalesce(l_quantity = 7, false)) AS f
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def sel_any_all(spark, d):
+    df = _orders_with_items(spark, d)
+    big, more = (lambda e: P.gt(e, 45.0)), (lambda e: P.gt(e, 5.0))
+    return df.select("o_orderkey", P.any_("q", big).alias("a"), P.none("q", big).alias("b"), P.all_("q", more).alias("c"), P.notall("q", more).alias("d"), P.any_("q").alias("e"), P.in_(F.lit(7.0), F.col("q")).alias("f"))
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) FILTER (l_quantity > 25) > 2 AS a, count(l_orderkey) FILTER (l_quantity > 25) >= 2 AS b,
+  count(l_orderkey) FILTER (l_quantity > 25) < 2 AS c, count(l_orderkey) FILTER (l_quantity > 25) <= 2 AS d, count(l_orderkey) FILTER (l_quantity > 25) BETWEEN 1 AND 3 AS e
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def sel_counting(spark, d):
+    df = _orders_with_items(spark, d)
+    s = expr.of(df)
+    texts = {"a": "mt(q,2,gt(@,25.0))", "b": "me(q,2,gt(@,25.0))", "c": "ft(q,2,gt(@,25.0))", "d": "fe(q,2,gt(@,25.0))", "e": "num(q,1,3,gt(@,25.0))"}
+    return df.select("o_orderkey", *(compile_selector(t, s).alias(k) for k, t in texts.items()))
+
+
+@query("""SELECT o_orderkey, list_filter(list(l_quantity ORDER BY l_linenumber, l_quantity), lambda x: x > 40)[1] AS first, len(list_filter(list(l_quantity ORDER BY l_linenumber, l_quantity), lambda x: x > 40)[:2]) AS n
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def select_first(spark, d):
+    df = _orders_with_items(spark, d).where(F.size("q") > 0)
+    return expr.select_text(df, "o_orderkey", "first=q:select(1,gt(@,40.0))", "n=q:select(2,gt(@,40.0)):size").withColumn("n", F.coalesce(F.col("n").cast("long"), F.lit(0)))
+
+
+# Rules.
+
+ORDER_RULES = """Order("big", gt(o_totalprice, 200000)).accept("urgent", like(o_orderpriority, "^1")).reject("done", eq(o_orderstatus, "F"))
+Order("other").accept("open", eq(o_orderstatus, "O")).accept("rest", lt(o_totalprice, 50000))"""
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 200000 AND starts_with(o_orderpriority, '1') THEN 'big' ELSE 'other' END AS rule,
+  CASE WHEN o_totalprice > 200000 AND starts_with(o_orderpriority, '1') THEN 'urgent' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'rest' END AS action FROM orders
+WHERE CASE WHEN o_totalprice > 200000 AND starts_with(o_orderpriority, '1') THEN true WHEN o_totalprice > 200000 AND o_orderstatus = 'F' THEN false
+  WHEN o_orderstatus = 'O' THEN true WHEN o_totalprice < 50000 THEN true ELSE false END""")
+def rule_decision(spark, d):
+    df = table(spark, d, "orders")
+    rules, _ = compile_rules(ORDER_RULES, expr.of(df))
+    out = decide(df, rules)
+    return out.select("o_orderkey", F.col("_decision.ruleId").alias("rule"), F.col("_decision.actionId").alias("action"))
+
+
+@query("""SELECT c_custkey, o_orderkey, CASE WHEN c_acctbal > 5000 AND o_totalprice > 100000 THEN 'rich' ELSE 'building' END AS rule
+FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 5000 AND o_totalprice > 100000 OR c_mktsegment = 'BUILDING' AND o_orderstatus = 'O'""")
+def rule_two_phase(spark, d):
+    c, o = table(spark, d, "customer", "c_custkey", "c_acctbal", "c_mktsegment"), table(spark, d, "orders")
+    rules = [Rule([P.gt("c_acctbal", 5000)], [Action(True, [P.gt("o_totalprice", 100000)])], "rich"), Rule([P.eq("c_mktsegment", "BUILDING")], [Action(True, [P.eq("o_orderstatus", "O")])], "building")]
+    out = two_phase(c, rules, lambda p: p.join(o, F.col("o_custkey") == F.col("c_custkey")))
+    return out.select("c_custkey", "o_orderkey", F.col("_decision.ruleId").alias("rule"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'large' WHEN o_totalprice > 100000 THEN 'medium' END AS size, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 0.5 ELSE o_totalprice END AS due FROM orders""")
+def rule_evaluate(spark, d):
+    rules = [
+        Rule([], [Action(True, [P.gt("o_totalprice", 200000)], "large"), Action(True, [P.gt("o_totalprice", 100000)], "medium")], "size"),
+        Rule([], [Action(True, [P.eq("o_orderstatus", "O")], value=F.col("o_totalprice") * 0.5), Action(True, [], value=F.col("o_totalprice"))], "due"),
+    ]
+    return evaluate(table(spark, d, "orders"), rules).select("o_orderkey", "size", "due")
+
+
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '[12]$') THEN 'low' WHEN regexp_matches(p_brand, '3') THEN 'mid' ELSE 'high' END AS label,
+  CASE WHEN p_size >= 40 THEN 'L' WHEN p_size >= 20 THEN 'M' ELSE 'S' END AS size FROM part""")
+def switch_label(spark, d):
+    return table(spark, d, "part").select("p_partkey", switch(F.col("p_brand"), [("[12]$", F.lit("low")), ("3", F.lit("mid"))], F.lit("high")).alias("label"), partition(F.col("p_size"), [(20, F.lit("M")), (40, F.lit("L"))], F.lit("S")).alias("size"))
+
+
+# Lookups.
+
+
+@query("""SELECT k, c_custkey, c_mktsegment FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_custkey::VARCHAR ELSE c.c_name END AS k, o_custkey FROM orders JOIN customer c ON o_custkey = c.c_custkey) JOIN customer ON o_custkey = c_custkey""")
+def lookup_single(spark, d):
+    o, c = table(spark, d, "orders", "o_orderkey", "o_custkey"), table(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
+    k = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string")).otherwise(F.col("c_name")).alias("k"))
+    return lookup.lookup_by_id_or_name(k, c, "k", "c_custkey", "c_name", ["c_custkey", "c_mktsegment"])
+
+
+@query("""SELECT c_custkey, u.k AS only_order FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY o_custkey HAVING count(*) = 1) u ON u.o_custkey = c_custkey""")
+def lookup_unique_or_null(spark, d):
+    out = lookup.unique_or_null(table(spark, d, "customer", "c_custkey"), table(spark, d, "orders", "o_custkey", "o_orderkey"), {"c_custkey": "o_custkey"}, ["o_orderkey"])
+    return out.select("c_custkey", F.col("o_orderkey").alias("only_order"))
+
+
+@query("""SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def lookup_count(spark, d):
+    catalog = {"Order": expr.Entity(table(spark, d, "orders"), "o_orderkey", "o_orderstatus")}
+    return expr.select_text(table(spark, d, "customer", "c_custkey"), "c_custkey", 'n=:Order(?o_custkey==$"c_custkey")', catalog=catalog)
+
+
+@query("""SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN
+(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) o ON o_custkey = c_custkey AND rn = 1""")
+def lookup_latest(spark, d):
+    o = table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    out = lookup.lookup_first(table(spark, d, "customer", "c_custkey"), o, {"c_custkey": "o_custkey"}, [F.col("o_orderdate").desc(), F.col("o_orderkey")])
+    return out.select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""SELECT c_custkey, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def lookup_list(spark, d):
+    out = lookup.lookup_list(table(spark, d, "customer", "c_custkey"), table(spark, d, "orders", "o_custkey", "o_orderkey"), {"c_custkey": "o_custkey"}, F.col("o_orderkey"), ["o_orderkey"], "xs")
+    return out.select("c_custkey", text.join(F.col("xs"), ",").alias("orders"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, p_brand FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
+def index_get_join(spark, d):
+    out = lookup.lookup(table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey"), table(spark, d, "part", "p_partkey", "p_brand"), {"l_partkey": "p_partkey"})
+    return out.select("l_orderkey", "l_linenumber", "p_brand")
+
+
+@query("""SELECT n_name, c_custkey FROM nation JOIN customer ON c_nationkey = n_nationkey""")
+def group_get_join(spark, d):
+    out = lookup.lookup(table(spark, d, "nation", "n_nationkey", "n_name"), table(spark, d, "customer", "c_nationkey", "c_custkey"), {"n_nationkey": "c_nationkey"}, how="inner")
+    return out.select("n_name", "c_custkey")
+
+
+@query("""SELECT m['b'] AS b, m['z'] AS z, n FROM (SELECT MAP {'a': p_brand, 'b': p_type} AS m, p_partkey AS n FROM part)""")
+def map_get(spark, d):
+    m = F.create_map(F.lit("a"), F.col("p_brand"), F.lit("b"), F.col("p_type"))
+    return table(spark, d, "part").select(lookup.get(m, "b").alias("b"), lookup.get(m, "z").alias("z"), F.col("p_partkey").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_unordered(spark, d):
+    return lookup.without_match(table(spark, d, "customer", "c_custkey"), table(spark, d, "orders", "o_custkey"), {"c_custkey": "o_custkey"})
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
+def semi_active(spark, d):
+    return lookup.with_match(table(spark, d, "customer", "c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'O'").select("o_custkey"), {"c_custkey": "o_custkey"})
+
+
+@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+def key_difference(spark, d):
+    return lookup.key_difference(table(spark, d, "customer", F.col("c_custkey").alias("k")), table(spark, d, "orders", F.col("o_custkey").alias("k")))
+
+
+@query("""SELECT r_name, c_mktsegment, (SELECT count(*) FROM customer x JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = r_regionkey AND x.c_mktsegment = s.c_mktsegment) AS n
+FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer) s""")
+def free_iteration(spark, d):
+    c, n = table(spark, d, "customer", "c_nationkey", "c_mktsegment"), table(spark, d, "nation", "n_nationkey", "n_regionkey")
+    counts = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_regionkey", "c_mktsegment").agg(F.count("*").alias("n"))
+    grid = lookup.free_iteration(table(spark, d, "region", "r_regionkey", "r_name"), c.select("c_mktsegment").distinct())
+    out = grid.join(counts, (F.col("r_regionkey") == F.col("n_regionkey")) & (grid.c_mktsegment == counts.c_mktsegment), "left")
+    return out.select("r_name", grid.c_mktsegment, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT a.event_id, p.event_id AS purchase FROM events a JOIN events p ON p.event_type = 'purchase' AND a.user_id = p.user_id AND a.ts BETWEEN p.ts - INTERVAL 1 HOUR AND p.ts + INTERVAL 1 HOUR""")
+def interval_join(spark, d):
+    e = table(spark, d, "events", "event_id", "user_id", "ts")
+    p = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id"), F.col("event_id").alias("purchase"), (F.col("ts") - F.expr("INTERVAL 1 HOUR")).alias("low"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("high"))
+    return lookup.interval_join(e, p, {"user_id": "user_id"}, "ts", "low", "high", "p_", bucket=7200.0).select("event_id", F.col("p_purchase").alias("purchase"))
+
+
+@query("""SELECT coalesce(c.k, s.k) AS n_nationkey, c.n AS customer_n, s.n AS supplier_n, c.b IS DISTINCT FROM s.b AS differs FROM
+(SELECT c_nationkey AS k, count(*) AS n, count(*) > 60 AS b FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c FULL JOIN
+(SELECT s_nationkey AS k, count(*) AS n, count(*) > 60 AS b FROM supplier GROUP BY 1) s ON c.k = s.k""")
+def correlate_sources(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), (F.count("*") > 60).alias("b"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), (F.count("*") > 60).alias("b"))
+    out = lookup.correlate({"customer": c, "supplier": s}, "n_nationkey")
+    return out.select("n_nationkey", "customer_n", "supplier_n", (~F.col("customer_b").eqNullSafe(F.col("supplier_b"))).alias("differs"))
+
+
+# Unnesting and recursion.
+
+
+@query("""SELECT n_name, c_name, o_orderkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey""")
+def flatten_three_levels(spark, d):
+    out = unnest.nested(table(spark, d, "nation", "n_nationkey", "n_name"), (table(spark, d, "customer", "c_custkey", "c_name", "c_nationkey"), "n_nationkey", "c_nationkey"), (table(spark, d, "orders", "o_orderkey", "o_custkey"), "c_custkey", "o_custkey"))
+    return out.select("n_name", "c_name", "o_orderkey")
+
+
+@query("""SELECT o_orderkey, unnest(list(l_quantity * 2 ORDER BY l_linenumber)) AS twice FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def unfold_array(spark, d):
+    df = _orders_with_items(spark, d)
+    return unnest.unfold(df, expr.compile_expr("q:map(@*2)", expr.of(df)).column, "twice", ["o_orderkey"])
+
+
+@query("""SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+def map_entries_unfold(spark, d):
+    df = table(spark, d, "events")
+    return unnest.unfold_map(df, F.from_json("props", "map<string,string>"), ["event_id"]).where("key = 'k'")
+
+
+def _tree(spark, d):
+    return table(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 10).alias("parent")).unionByName(spark.range(1).select("id", F.lit(0).cast("long").alias("parent")))
+
+
+def _recursive(where: str = "true", more: str = "", stop: str = "false", roots: str = "id < 3") -> str:
+    return f"""WITH RECURSIVE tree AS (SELECT c_custkey AS id, c_custkey // 10 AS parent FROM customer UNION ALL SELECT 0, 0),
+t(root, id, depth, path) AS (SELECT id, id, 0, [id] FROM tree WHERE {roots} UNION ALL
+  SELECT t.root, c.id, t.depth + 1, list_append(t.path, c.id) FROM t JOIN tree c ON c.parent = t.id
+  WHERE NOT list_contains(t.path[:len(t.path) - 1], t.id) {more} AND NOT ({stop}))
+SELECT root, id, depth, array_to_string(path, '/') AS path FROM t WHERE {where}"""
+
+
+def _paths(df):
+    return df.select("root", "id", "depth", text.join(F.col("path"), "/").alias("path"))
+
+
+@query(_recursive())
+def flatten_recursive_star(spark, d):
+    return _paths(unnest.recurse(_tree(spark, d), F.col("id") < 3, "id", "parent"))
+
+
+@query(_recursive("depth > 0"))
+def flatten_recursive_plus(spark, d):
+    return _paths(unnest.recurse_sql(_tree(spark, d), "id < 3", "id", "parent", include_root=False))
+
+
+@query(_recursive("depth <= 2", "AND t.depth < 2"))
+def flatten_recursive_depth(spark, d):
+    return _paths(unnest.recurse(_tree(spark, d), F.col("id") < 3, "id", "parent", depth=2))
+
+
+@query(_recursive(stop="t.id % 7 = 3"))
+def flatten_recursive_break(spark, d):
+    return _paths(unnest.recurse(_tree(spark, d), F.col("id") < 3, "id", "parent", stop=F.col("id") % 7 == 3))
+
+
+@query(_recursive(roots="id = 0"))
+def flatten_recursive_loop(spark, d):
+    return _paths(unnest.recurse_sql(_tree(spark, d), "id = 0", "id", "parent"))
+
+
+# Keyed aggregation.
+
+
 @query("""SELECT n_name AS nation, o_orderpriority AS priority, count(*) AS n
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY ALL""")
 def count_multilevel(spark, d):
-    """Two-level count over two lookups (small side chosen by Catalyst)."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderpriority")
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    return (
-        o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-        .groupBy(F.col("n_name").alias("nation"), F.col("o_orderpriority").alias("priority"))
-        .agg(F.count("*").alias("n"))
-    )
+    o = table(spark, d, "orders", "o_custkey", "o_orderpriority")
+    c, n = table(spark, d, "customer", "c_custkey", "c_nationkey"), table(spark, d, "nation", "n_nationkey", "n_name")
+    out = lookup.lookup(lookup.lookup(o, c, {"o_custkey": "c_custkey"}, how="inner"), n, {"c_nationkey": "n_nationkey"}, how="inner")
+    return keyed.count_by(out, F.col("n_name").alias("nation"), F.col("o_orderpriority").alias("priority"))
+
+
+@query("""SELECT o_custkey, string_agg(coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, ''), ',' ORDER BY o_orderkey) AS statuses FROM orders GROUP BY o_custkey""")
+def group_collect(spark, d):
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    out = keyed.group_by(table(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus"), [F.col("o_custkey")], status, ["o_orderkey"])
+    return out.select("o_custkey", text.join(F.col("values"), ",").alias("statuses"))
+
+
+@query("SELECT c_name AS name, c_acctbal AS value FROM customer")
+def index_unique(spark, d):
+    return keyed.index_by(table(spark, d, "customer"), [F.col("c_name").alias("name")], F.col("c_acctbal"))
+
+
+@query("""SELECT s AS segments, count(*) AS n, min(c_nationkey) AS first FROM (SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS s FROM customer GROUP BY 1) GROUP BY s""")
+def regroup_by_set(spark, d):
+    out = keyed.by_member_set(table(spark, d, "customer"), "c_nationkey", "c_mktsegment")
+    return out.select(text.join(F.col("members"), ",").alias("segments"), "n", F.col("first_key").alias("first"))
+
+
+@query("SELECT DISTINCT l_returnflag AS a, l_linestatus AS b FROM lineitem")
+def distinct_keys(spark, d):
+    return table(spark, d, "lineitem", F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b")).distinct()
+
+
+@query("""SELECT l_returnflag, round(sum(l_quantity), 2) AS total, round(avg(l_extendedprice), 2) AS mean, min(l_discount) AS low, max(l_shipdate) AS latest, count(*) AS n FROM lineitem GROUP BY 1""")
+def agg_sum_avg_min_max(spark, d):
+    l = table(spark, d, "lineitem")
+    return l.groupBy("l_returnflag").agg(dec(F.sum("l_quantity")).alias("total"), dec(F.avg("l_extendedprice")).alias("mean"), F.min("l_discount").alias("low"), F.max("l_shipdate").alias("latest"), F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, sum(l_quantity) AS total, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS low, max(l_quantity) AS high, count(l_quantity)::INT AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def array_aggregates(spark, d):
+    df = _orders_with_items(spark, d)
+    out = expr.select_text(df, "o_orderkey", "total=q:sum", "mean=q:avg", "low=q:min", "high=q:max", "n=q:size")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+@query("""SELECT o_orderstatus, o_orderpriority, count(*) AS total, grouping(o_orderstatus) * 2 + grouping(o_orderpriority) AS level FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
+def matrix_totals(spark, d):
+    o = table(spark, d, "orders", "o_orderstatus", "o_orderpriority").withColumn("one", F.lit(1))
+    return keyed.totals(o, "o_orderstatus", "o_orderpriority", "one")
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
+def matrix_pivot(spark, d):
+    o = table(spark, d, "orders", "o_orderstatus", "o_orderpriority").withColumn("one", F.lit(1))
+    return keyed.matrix(o, "o_orderpriority", "o_orderstatus", ["F", "O", "P"], "one").fillna(0)
+
+
+@query("""SELECT o_orderpriority AS o_orderstatus, o_orderstatus AS o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2""")
+def transpose(spark, d):
+    return levels.transpose(keyed.count_by(table(spark, d, "orders"), F.col("o_orderstatus"), F.col("o_orderpriority")), "o_orderstatus", "o_orderpriority")
+
+
+@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS value FROM (SELECT c_custkey AS k, 1.0::DOUBLE AS v FROM customer WHERE c_custkey % 2 = 0) a
+FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
+def overlay_merge(spark, d):
+    c = table(spark, d, "customer")
+    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit(1.0).alias("value"))
+    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("value"))
+    return keyed.overlay(a, b, ["k"])
+
+
+@query("""WITH p AS (SELECT c_nationkey::VARCHAR AS a, c_mktsegment AS b, min(c_custkey) AS v FROM customer WHERE c_custkey < 40 GROUP BY ALL),
+f AS (SELECT a, count(*) AS n FROM p GROUP BY a) SELECT CASE WHEN n = 1 THEN a || '/' || b ELSE a || '|' || b END AS path, v FROM p JOIN f USING (a)""")
+def compress_paths(spark, d):
+    c = table(spark, d, "customer").where("c_custkey < 40").groupBy(F.col("c_nationkey").cast("string").alias("a"), F.col("c_mktsegment").alias("b")).agg(F.min("c_custkey").alias("v"))
+    out = keyed.compress(c.select(F.array("a", "b").alias("path"), "v"), "path", "v")
+    return out.select(text.join(F.col("path"), "|").alias("path"), "v")
+
+
+@query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1")
+def unique_only(spark, d):
+    return keyed.unique_only(table(spark, d, "orders"), "o_custkey")
+
+
+@query("""SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) = (SELECT count(DISTINCT c_mktsegment) FROM customer)""")
+def in_every_sample(spark, d):
+    return keyed.in_every_sample(table(spark, d, "customer"), "c_mktsegment", "c_nationkey")
+
+
+# Levels.
+
+
+def _cells(spark, d):
+    c = table(spark, d, "customer", "c_nationkey", "c_mktsegment").groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("value"))
+    return c
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS value FROM customer GROUP BY ALL)
+SELECT c_nationkey, c_mktsegment, value FROM c WHERE c_nationkey IN (SELECT c_nationkey FROM c GROUP BY 1 HAVING sum(value) > 60) AND value > 10""")
+def level_filter(spark, d):
+    out, _ = levels.transform(_cells(spark, d), ["c_nationkey", "c_mktsegment"], [levels.Level(1, F.sum("value") > 60), levels.Level(2, F.col("value") > 10)])
+    return out
+
+
+@query("""SELECT c_nationkey, max(value) AS value FROM (SELECT c_nationkey, c_mktsegment, count(*) AS value FROM customer GROUP BY ALL) WHERE value > 8 GROUP BY 1""")
+def level_transform(spark, d):
+    out, _ = levels.transform(_cells(spark, d), ["c_nationkey", "c_mktsegment"], [levels.Level(2, F.col("value") > 8), levels.Level(1, value=F.max("value"))])
+    return out
+
+
+@query("""WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS value FROM customer GROUP BY ALL), k AS (SELECT * FROM c WHERE value > 11)
+SELECT * FROM k WHERE c_nationkey IN (SELECT c_nationkey FROM k GROUP BY 1 HAVING count(*) >= 2)""")
+def level_post(spark, d):
+    out, _ = levels.transform(_cells(spark, d), ["c_nationkey", "c_mktsegment"], [levels.Level(2, F.col("value") > 11), levels.Level(1, F.count("*") >= 2)])
+    return out
+
+
+@query("""SELECT a, b FROM (SELECT a, b, count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1 AS alone FROM
+(SELECT DISTINCT l_partkey % 300 AS a, l_suppkey % 700 AS b FROM lineitem WHERE l_orderkey < 300)) WHERE NOT alone""")
+def standalone_cells(spark, d):
+    cells = table(spark, d, "lineitem").where("l_orderkey < 300").select((F.col("l_partkey") % 300).alias("a"), (F.col("l_suppkey") % 700).alias("b")).distinct()
+    return levels.not_standalone(cells, "a", "b")
+
+
+@query("SELECT n_name || '/' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+def tree_path(spark, d):
+    j = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.select(levels.tree_path(["r_name", "n_name"]).alias("path"))
+
+
+# Order.
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 8) AS share FROM lineitem""")
+def share_of_parent(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(keyed.share(F.col("l_quantity"), "l_orderkey"), 8).alias("share"))
+
+
+@query("""SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2""")
+def topk_per_group(spark, d):
+    return ordered.top(table(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events")
+def prev_row(spark, d):
+    return table(spark, d, "events").select("event_id", ordered.previous(F.col("value"), ["user_id"], [F.col("ts"), F.col("event_id")]).alias("previous"))
+
+
+@query("""SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events""")
+def carry_forward(spark, d):
+    return table(spark, d, "events").select("event_id", ordered.carry_forward(F.col("value"), F.col("event_type") == "purchase", ["user_id"], [F.col("ts"), F.col("event_id")]).alias("carried"))
+
+
+@query("""SELECT event_id, ended FROM (SELECT event_id, event_type, first_value(CASE WHEN event_type = 'purchase' THEN ts END IGNORE NULLS) OVER
+(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS ended FROM events) WHERE event_type = 'view' AND ended IS NOT NULL""")
+def run_pairing(spark, d):
+    e = table(spark, d, "events", "event_id", "event_type", "user_id", "ts")
+    return ordered.pair(e, F.col("event_type") == "view", F.col("event_type") == "purchase", "ts", ["user_id"], [F.col("ts"), F.col("event_id")]).select("event_id", "ended")
+
+
+@query(f"""SELECT p_partkey, row_number() OVER (ORDER BY brand DESC NULLS FIRST, size NULLS FIRST, p_partkey) AS rn FROM {NULLABLE} ORDER BY rn LIMIT 100""")
+def sort_nulls_first(spark, d):
+    df = ordered.sort(_nullable(spark, d), "brand desc", "size", "p_partkey").limit(100)
+    rows = df.agg(F.collect_list("p_partkey").alias("ks"))
+    return rows.select(F.posexplode("ks").alias("i", "p_partkey")).select("p_partkey", (F.col("i") + 1).cast("long").alias("rn"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_transform(list(l_quantity ORDER BY l_quantity DESC, l_linenumber), lambda x: x::INT::VARCHAR), ',') AS sorted FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def sort_arrays(spark, d):
+    df = _orders_with_items(spark, d).where(F.size("q") > 0)
+    sorted_ = expr.compile_expr("q:sort(@ desc)", expr.of(df)).column
+    return df.select("o_orderkey", F.array_join(F.transform(sorted_, lambda x: x.cast("int").cast("string")), ",").alias("sorted"))
+
+
+# Sets.
+
+
+@query("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def union_bag(spark, d):
+    return sets.union(table(spark, d, "customer", F.col("c_nationkey").alias("k")), table(spark, d, "supplier", F.col("s_nationkey").alias("k")))
+
+
+@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9500 INTERSECT SELECT s_nationkey FROM supplier")
+def intersect_keys(spark, d):
+    return sets.intersect(table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier", F.col("s_nationkey").alias("k")))
+
+
+# Scalars.
+
+
+@query("""SELECT event_id, date_trunc('year', ts) AS y, date_trunc('month', ts) AS m, date_trunc('week', ts) AS w, date_trunc('day', ts) - to_days(dayofweek(ts)::INT) AS s, date_trunc('hour', ts) AS h, date_trunc('minute', ts) AS i FROM events""")
+def date_trunc_units(spark, d):
+    t = F.col("ts")
+    cols = {"y": "Y", "m": "M", "w": "W", "s": "w", "h": "h", "i": "m"}
+    return table(spark, d, "events").select("event_id", *(time.truncate(t, u).cast("timestamp_ntz").alias(k) for k, u in cols.items()))
+
+
+@query("""SELECT o_orderkey, date_trunc('month', o_orderdate) - INTERVAL 2 MONTH AS a, date_trunc('day', o_orderdate) + INTERVAL 3 DAY AS b, o_orderdate + INTERVAL 90 SECOND AS c FROM orders""")
+def date_offset(spark, d):
+    t = F.col("o_orderdate")
+    return table(spark, d, "orders").select("o_orderkey", time.moved(t, "-2M").cast("timestamp_ntz").alias("a"), time.moved(t, "+3d").cast("timestamp_ntz").alias("b"), time.plus_seconds(t, F.lit(90)).cast("timestamp_ntz").alias("c"))
+
+
+@query("""SELECT event_id, (epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000) // 1000 AS s FROM events WHERE ts >= TIMESTAMP '2024-01-01 00:00:00'""")
+def date_diff(spark, d):
+    return table(spark, d, "events").where("ts >= TIMESTAMP_NTZ '2024-01-01 00:00:00'").select("event_id", time.seconds_between(F.col("ts"), time.literal("2024-01-01")).alias("s"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 120 MINUTE THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') WHEN o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 2 DAY THEN strftime(o_orderdate, '%Y-%m-%d %H')
+  WHEN o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 60 DAY THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate, '%Y-%m') END AS bucket FROM orders""")
+def time_bucket(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", time.time_bucket(F.col("o_orderdate"), time.literal("1998-08-01").cast("timestamp_ntz")).alias("bucket"))
+
+
+@query("""SELECT event_id, make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS a, try_strptime(strftime(ts, '%Y/%m/%d %H:%M'), '%Y/%m/%d %H:%M') AS b, NULL::TIMESTAMP AS c FROM events""")
+def epoch_parse(spark, d):
+    s = F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")
+    return table(spark, d, "events").select("event_id", time.parse(s, "Ts").cast("timestamp_ntz").alias("a"), time.parse(F.date_format("ts", "yyyy/MM/dd HH:mm"), "yyyy/MM/dd HH:mm").cast("timestamp_ntz").alias("b"), time.parse(F.lit("x"), "TQ").cast("timestamp_ntz").alias("c"))
+
+
+@query(r"""SELECT p_partkey, nullif(regexp_extract(p_brand, '#(\d+)', 1), '') AS n, array_to_string(regexp_extract_all(p_type, '[A-Z]+'), '|') AS caps, regexp_replace(p_name, '[aeiou]', '*', 'g') AS stars, upper(p_name) AS up FROM part""")
+def text_match_extract_replace(spark, d):
+    return expr.select_text(table(spark, d, "part"), "p_partkey", r"n=p_brand:match(#(\d+))", "caps=p_type:extract([A-Z]+):join(|)", "stars=p_name:replace([aeiou],*)", "up=p_name:upcase")
+
+
+@query("""SELECT p_partkey, 'Part ' || p_name || ' (' || lpad(p_size::VARCHAR, 4, '0') || ') none' AS label FROM part""")
+def text_join_format(spark, d):
+    df = table(spark, d, "part").withColumn("nothing", F.lit(None).cast("string"))
+    return expr.select_text(df, "p_partkey", 'label=:format(Part ${p_name} (${%04d,p_size}) ${nothing,"none"})')
+
+
+@query(r"""SELECT p_partkey, CASE WHEN length(p_type) > 10 THEN substr(p_type, 1, 7) || '...' ELSE p_type END AS short, regexp_replace(p_name, '(\w{1,3})\w*', '\1', 'g') AS abbr FROM part""")
+def text_wrap_limit(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.limit(F.col("p_type"), 10).alias("short"), text.abbreviate(F.col("p_name")).alias("abbr"))
+
+
+@query("""SELECT p_partkey, trunc((p_size - 25)::DOUBLE / 4)::BIGINT AS q, p_size + 5.0 AS s, p_size * 2 - 1 AS m, repeat('ab', p_size % 3) AS r, p_size = 5 AS e FROM part""")
+def arith_coercion(spark, d):
+    return expr.select_text(table(spark, d, "part"), "p_partkey", "q=(p_size-25)/4", 's="5"+p_size', "m=p_size*2-1", 'r="ab"*(p_size-p_size/3*3)', 'e=p_size=="5"')
+
+
+@query("""SELECT p_partkey, '#' || substr(md5(p_brand), 1, 6) AS auto, CASE WHEN p_size < 10 THEN '#808080' WHEN p_size <= 40 THEN '#' || lpad(lower(hex(floor(255 * (p_size - 10) / 30.0 + 0.5)::BIGINT)), 2, '0') || '00' || lpad(lower(hex(floor(255 - 255 * (p_size - 10) / 30.0 + 0.5)::BIGINT)), 2, '0') ELSE '#c0c0c0' END AS heat FROM part""")
+def heat_color(spark, d):
+    return table(spark, d, "part").select("p_partkey", color.auto(F.col("p_brand")).alias("auto"), color.heat(F.col("p_size").cast("double"), (("#00f", 10.0), ("#f00", 40.0))).alias("heat"))
+
+
+# Sources and the declared query.
+
+
+@query("""SELECT l_returnflag AS flag, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY l_returnflag HAVING count(*) > 5 ORDER BY flag LIMIT 2""")
+def sql_clauses(spark, d):
+    table(spark, d, "lineitem").createOrReplaceTempView("lineitem_source")
+    return tables.sql(spark, "l_returnflag AS flag, count(*) AS n", "lineitem_source", "l_quantity > 10", "l_returnflag", "count(*) > 5", "flag", max_rows=2)
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, upper(event_type) AS level, 's' || (user_id % 5)::VARCHAR AS server, 'job' || user_id::VARCHAR AS job,
+'value ' || event_id::VARCHAR || CASE WHEN event_id % 3 = 0 THEN chr(10) || '  at line ' || event_id::VARCHAR ELSE '' END AS message FROM events""")
+def log_records(spark, d):
+    e = table(spark, d, "events")
+    head = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.upper("event_type"), F.concat(F.lit("s"), F.col("user_id") % 5), F.concat(F.lit("job"), F.col("user_id")), F.concat(F.lit("value "), F.col("event_id")))
+    more = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("  at line "), F.col("event_id")))
+    # lines as a log would hold them, in as many files as there are hundreds of events
+    lines = e.select(F.floor(F.col("event_id") / 100).cast("string").alias("path"), F.explode(F.array_compact(F.array(F.struct((F.col("event_id") * 2).alias("pos"), head.alias("line")), F.when(more.isNotNull(), F.struct((F.col("event_id") * 2 + 1).alias("pos"), more.alias("line")))))).alias("x")).select("path", "x.pos", "x.line")
+    return records.records(lines, "batch.log", strict=0)
+
+
+@query("""SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 1000 AND o_totalprice > 50000 GROUP BY ALL HAVING count(*) > 20""")
+def declared_query(spark, d):
+    c = lookup.lookup_list(table(spark, d, "customer"), table(spark, d, "orders"), {"c_custkey": "o_custkey"}, F.struct("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"], "orders")
+    q = generic.Query(source=c, type_name="Customer", selector='Order("paid", gt(c_acctbal, 1000)).accept("large", gt("order.o_totalprice", 50000))', subquery="order=orders", computations="status=order.o_orderstatus", grouping="segment=c_mktsegment\nstatus=status", postprocessing=[levels.Level(2, F.col("value") > 20)])
+    return generic.plan(spark, q)[0]
+
+
+@query("""SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def windowed_counts(spark, d):
+    from arbora.streaming.events import bucket
+
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy(bucket(F.col("ts"), "1 day").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("n"))
