@@ -63,7 +63,8 @@ class Entity:
     name: str
 
 
-NULL = Value(F.lit(None), T.NullType())
+def null() -> Value:
+    return Value(F.lit(None), T.NullType())
 
 
 def of(df: DataFrame, name: str = "", **more) -> Scope:
@@ -89,7 +90,7 @@ def lower(node, scope: Scope) -> Value:
     if isinstance(node, syntax.Alternatives):
         values = [v for v in (lower(o, scope) for o in node.options) if not isinstance(v.type, T.NullType)]
         if not values:
-            return NULL
+            return null()
         kind = values[0].type
         return Value(F.coalesce(*(v.column.cast(kind) if v.type != kind else v.column for v in values)), kind)
     if isinstance(node, syntax.Operation):
@@ -107,7 +108,7 @@ def chain(node: syntax.Chain, scope: Scope) -> Value:
         elif isinstance(part, syntax.Step):
             if part.name.startswith("^"):
                 parent = up(part, scope, parent)
-                value = scope.levels[parent][1] if parent >= 0 else NULL
+                value = scope.levels[parent][1] if parent >= 0 else null()
             elif part.name in ("@", "@@"):
                 value = scope.this if i == 0 else value
             else:
@@ -157,9 +158,9 @@ def attribute(v: Value, step: syntax.Step, scope: Scope) -> Value:
     elif isinstance(t, T.MapType):
         return Value(F.try_element_at(v.column, F.lit(step.name)), t.valueType)
     elif isinstance(t, T.NullType):
-        return NULL
+        return null()
     if step.optional:
-        return NULL
+        return null()
     raise ValueError(f"no attribute {step.name} in {t.simpleString()}")
 
 
@@ -337,7 +338,7 @@ def instruct(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
         return template(raw or "", scope if v is scope.this else scope.inner(v), name == "html")
     if name == "env":
         p = scope.parameters.get(raw)
-        return NULL if p is None else Value(F.lit(p), T.StringType() if isinstance(p, str) else T.DoubleType() if isinstance(p, float) else T.BooleanType() if isinstance(p, bool) else T.LongType())
+        return null() if p is None else Value(F.lit(p), T.StringType() if isinstance(p, str) else T.DoubleType() if isinstance(p, float) else T.BooleanType() if isinstance(p, bool) else T.LongType())
     if name == "now":
         return Value(time.now(raw or ""), T.TimestampType())
     if name == "date":
@@ -357,7 +358,7 @@ def instruct(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
             scope.cache[key.rstrip("?")] = compile_expr(source, scope)
         elif key.rstrip("?") not in scope.cache and not key.endswith("?"):
             raise ValueError(f"nothing is kept under {key}")
-        return scope.cache.get(key.rstrip("?"), NULL)
+        return scope.cache.get(key.rstrip("?"), null())
     if name in ("toXml", "pprint"):
         return Value(F.to_json(v.column, {"pretty": "true"} if name == "pprint" else {}), S)
     if name == "parseXml":

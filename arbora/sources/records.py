@@ -71,8 +71,11 @@ def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: s
     )
     if keep:
         grouped = grouped.where(F.col("_first").rlike(keep))
-    cols = [F.when(F.regexp_extract("_first", whole, i + 1) != "", F.regexp_extract("_first", whole, i + 1)).alias(n) for i, n in enumerate(names)]
-    last = F.concat_ws("\n", F.regexp_extract("_first", whole, len(names)), F.when(F.size("_more") > 0, F.array_join("_more", "\n"))).alias(names[-1])
+    # one pass of the pattern for all groups
+    parts = F.split(F.regexp_replace("_first", whole, "\u0001".join(f"${i + 1}" for i in range(len(names)))), "\u0001")
+    grouped = grouped.withColumn("_parts", parts)
+    cols = [F.nullif(F.col("_parts")[i], F.lit("")).alias(n) for i, n in enumerate(names)]
+    last = F.concat_ws("\n", F.col("_parts")[len(names) - 1], F.when(F.size("_more") > 0, F.array_join("_more", "\n"))).alias(names[-1])
     out = grouped.select("path", "pos", *cols[:-1], last).orderBy("path", "pos")
     out = out.limit(most) if most else out
     return out.withColumnRenamed("path", "_").drop("pos") if with_path else out.drop("path", "pos")
