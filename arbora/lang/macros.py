@@ -10,10 +10,9 @@ MACRO = re.compile(r"\$([A-Za-z_]\w*)\$")
 def expand(text: str, macros: dict[str, str], depth: int = 50) -> str:
     """Unknown names stay; more than ``depth`` rounds are a loop."""
     for _ in range(depth):
-        new = MACRO.sub(lambda m: macros.get(m[1], m[0]), text)
-        if new == text:
-            return new
-        text = new
+        if not any(m in macros for m in MACRO.findall(text)):
+            return text
+        text = MACRO.sub(lambda m: macros.get(m[1], m[0]), text)
     raise ValueError("macros refer to each other without end")
 
 
