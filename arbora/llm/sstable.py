@@ -210,7 +210,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "
                     filesystem.create_dir(root, recursive=True)
                     first, name = part, posixpath.join(root, f"shard-{part:06d}.sst")
                     temporary = f"{name}.{uuid.uuid4().hex}"
-                    out = filesystem.open_output_stream(temporary)
+                    out = filesystem.open_output_stream(temporary, compression=None)
                     writer = Writer(out, block_bytes)
                 nth = nth + 1 if previous == (doc,) else 0
                 previous = (doc,)

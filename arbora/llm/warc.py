@@ -95,7 +95,7 @@ def write(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col:
                     filesystem.create_dir(root, recursive=True)
                     key = uuid.uuid4().hex
                     temporary, name = (posixpath.join(root, f"{x}{key}.warc.zst") for x in (".writing-", "pages-"))
-                    out = filesystem.open_output_stream(temporary)
+                    out = filesystem.open_output_stream(temporary, compression=None)
                     known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
                     zstd = zstandard.ZstdCompressor(level=level, dict_data=known)
                     out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
@@ -146,7 +146,7 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
             for path in b.column(0).to_pylist():
                 filesystem, name = open_path(path)
                 rows = []
-                with filesystem.open_input_stream(name) as f:
+                with filesystem.open_input_stream(name, compression=None) as f:
                     for head, http, payload in records(f):
                         kind, digest = head[b"WARC-Type"].decode(), head[b"WARC-Payload-Digest"].decode().removeprefix("sha1:")
                         if kind == "response" and hashlib.sha1(payload).hexdigest() != digest:
