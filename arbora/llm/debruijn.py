@@ -15,12 +15,13 @@ is, once, with its coordinates.
    reduced to "which one" or "several"; one bit a node returns: whether it branches.
 3. Each file's task cuts its documents' runs of such windows at branching nodes. Every piece
    is a unitig's occurrence, keyed by a 128-bit digest of the very words at its coordinates,
-   which verifies the repeat. A Spark aggregation finds the first occurrence (smallest
-   identifier, then earliest start) of each key that occurs twice, a join the others.
+   which verifies the repeat. A file's task sends its first occurrence of each key (smallest
+   identifier, then earliest start); any other it has is no first. A Spark aggregation finds
+   the first of all files of each key that several have, a join the others.
 4. The words of the others are removed, all at once, judged on the input.
 
-Steps send distinct hashes of each file, so a passage that many documents share costs one
-entry a file; posted occurrences are joined under a digest, which Spark can split.
+Every step sends distinct hashes or keys of each file, so a passage that many documents share,
+or that one repeats many times, costs one entry a file.
 
 Defined results: a null or empty text has no words and nothing to remove; rows that repeat an
 identifier are documents each, in stored order, and null identifiers come last; an empty
@@ -153,11 +154,24 @@ class Segment:
             joined = np.r_[False, (first[1:] == first[:-1] + 1)] & ~branching[np.searchsorted(nodes, h)]
             heads = np.flatnonzero(~joined)
             lasts = np.r_[heads[1:], len(first)] - 1
+            doc = np.searchsorted(p.starts, first[heads], side="right") - 1
+            starts, ends = first[heads] - p.starts[doc], first[lasts] + self.size - p.starts[doc]
             ids, rids = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for s, e in zip(first[heads].tolist(), (first[lasts] + self.size).tolist(), strict=True):
-                d = int(np.searchsorted(p.starts, s, side="right")) - 1
-                own = p.words[d][s - int(p.starts[d]) : e - int(p.starts[d])]
-                yield ids[d], rids[d], s - int(p.starts[d]), len(own), hashlib.blake2b(b" ".join(own), digest_size=16).digest()
+            for d, s, e in zip(doc.tolist(), starts.tolist(), ends.tolist(), strict=True):
+                yield ids[d], rids[d], s, e - s, hashlib.blake2b(b" ".join(p.words[d][s:e]), digest_size=16).digest()
+
+    def firsts(self, unitigs):
+        """The file's first occurrence of each key with the key, every other one without: those can be no first."""
+        best: dict[bytes, tuple] = {}
+        for doc_id, rid, start, words, key in unitigs:
+            new = (doc_id is None, doc_id or 0, rid, start, words, doc_id)
+            old = best.setdefault(key, new)
+            if old is not new:
+                if new < old:
+                    best[key], new = new, old
+                yield new[5], new[2], new[3], new[4], None
+        for key, (_, _, rid, start, words, doc_id) in best.items():
+            yield doc_id, rid, start, words, key
 
 
 def merged_counts(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +285,7 @@ def spans(files: DataFrame, size: int, k: int, buckets: int) -> DataFrame:
         known = known_anchors(s, row["bits"])
         nodes, _, _ = s.nodes(known)
         branching = _joined(s, nodes, row["more"] or [])
-        return ((row["file"], *u) for u in s.unitigs(known, nodes, branching))
+        return ((row["file"], *u) for u in s.firsts(s.unitigs(known, nodes, branching)))
 
     sent = "bucket int, file long, hashes binary, more binary"
     kinds, names = (pa.int32(), pa.int64(), pa.binary(), pa.binary()), ["bucket", "file", "hashes", "more"]
@@ -283,9 +297,10 @@ def spans(files: DataFrame, size: int, k: int, buckets: int) -> DataFrame:
     found = stored(with_nodes.mapInArrow(rows_of(send_unitigs, kinds, ["file", "doc_id", "rid", "start", "words", "key"]), "file long, doc_id long, rid long, start long, words long, key binary"))
 
     place = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "rid", "start")
-    firsts = found.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = found.where("key IS NOT NULL").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = found.join(firsts, "key").where(~((F.col("rid") == F.col("first.rid")) & (F.col("start") == F.col("first.start"))))
-    return again.select("file", "rid", "start", "words")
+    columns = ["file", "rid", "start", "words"]
+    return again.select(*columns).unionByName(found.where("key IS NULL").select(*columns))
 
 
 def _spread(df: DataFrame) -> DataFrame:
