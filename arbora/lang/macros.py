@@ -30,3 +30,18 @@ def library(entries: dict[str, dict[str, str]], name: str) -> dict[str, str]:
         return out | own
 
     return load(name)
+
+
+PLACE = re.compile(r"\$\(([A-Za-z_]\w*)(?:,([^()]*))?\)")
+
+
+def fill(text: str, parameters: dict) -> str:
+    """Places ``$(name)`` or ``$(name,default)`` of a stored query; one without value or default raises."""
+
+    def value(m: re.Match) -> str:
+        found = parameters.get(m[1], m[2])
+        if found is None:
+            raise ValueError(f"the query needs {m[1]}")
+        return str(found)
+
+    return PLACE.sub(value, text)

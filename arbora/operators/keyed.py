@@ -79,6 +79,12 @@ def in_every_sample(df: DataFrame, sample: str, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.countDistinct(sample).alias("_n")).join(F.broadcast(n), F.col("_n") == F.col("_all"), "left_semi").select(*keys)
 
 
+def path_counts(df: DataFrame, path: str, into: str = "n") -> DataFrame:
+    """How many rows go through each prefix of a path, such as the frames of sampled stacks."""
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(path)), lambda k: F.slice(path, F.lit(1), k))
+    return df.where(F.size(path) > 0).select(F.explode(prefixes).alias(path)).groupBy(path).agg(F.count("*").alias(into))
+
+
 def by_member_set(df: DataFrame, key: str, member: str) -> DataFrame:
     """Keys grouped by the set of their members."""
     sets = df.groupBy(key).agg(F.sort_array(F.collect_set(member)).alias("members"))

@@ -453,6 +453,12 @@ def in_every_sample(spark, d):
     return keyed.in_every_sample(table(spark, d, "customer"), "c_mktsegment", "c_nationkey")
 
 
+@query("""WITH w AS (SELECT string_split(p_name, ' ') AS w FROM part), p AS (SELECT array_to_string(w[:k], ' ') AS path FROM w, unnest(range(1, len(w) + 1)) AS t(k)) SELECT path, count(*) AS n FROM p GROUP BY path""")
+def path_counts(spark, d):
+    out = keyed.path_counts(table(spark, d, "part").select(F.split("p_name", " ").alias("path")), "path")
+    return out.select(text.join(F.col("path"), " ").alias("path"), "n")
+
+
 # Levels.
 
 
