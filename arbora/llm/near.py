@@ -12,11 +12,12 @@ Texts with one shingle set form a class; the rest works on classes.
    common tokens of boilerplate are skipped.
 3. Merging: a list's classes are compared with a leader first, as a group of near copies,
    however large, comes together by that. Lists whose classes are in one component then are
-   skipped. What is left are pairs of different components: all of them in lists of at most
-   ``small`` classes; in longer lists a block of leaders at a time against the list, until
-   each list has been dealt with. No pair of a list is left out and no list is cut.
-4. Candidates are confirmed on their full shingle sets. Components come from links by
-   alternating large-star and small-star steps.
+   skipped. The others are merged in tasks that hold at most two chunks of a list, every chunk
+   with every other: agreements are counted on signatures, pairs of one component are skipped,
+   a pair is dealt with only in the list of its first common prefix token, and those with
+   ``least`` agreements are confirmed on their full sets, which a task has once for each class.
+   No pair of a list is left out and no list is cut.
+4. Components come from links by alternating large-star and small-star steps.
 
 Shingles are ``size`` consecutive words (A-Z lower-cased) of whole texts, as 64-bit hashes; a
 text of fewer words is one shingle.
@@ -80,16 +81,35 @@ def signatures(docs: DataFrame, size: int, coords: int, seed: int = 11) -> DataF
 
 
 def sets_of(texts: DataFrame, size: int) -> DataFrame:
-    """c, shingles (distinct) from c, text."""
+    """c, shingles: the distinct hashes in ascending order, as bytes."""
 
     def scan(batches):
         for b in in_slices(batches, 256):
-            found = [np.unique(shingles(t, size)).view(np.int64) for t in b.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["c", "shingles"])
+            found = [np.unique(shingles(t, size)).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["c", "shingles"])
 
-    return texts.select("c", "text").mapInArrow(scan, "c long, shingles array<long>")
+    return texts.select("c", "text").mapInArrow(scan, "c long, shingles binary")
+
+
+def signature_bytes(classes: DataFrame) -> DataFrame:
+    """c and the signature as bytes."""
+
+    def scan(batches):
+        for b in batches:
+            sig = [np.array(x, np.int32).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary())], ["c", "sig"])
+
+    return classes.select("c", "sig").mapInArrow(scan, "c long, sig binary")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of two ascending arrays of distinct hashes."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    if len(a) > len(b):
+        a, b = b, a
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def postings(classes: DataFrame, least: int) -> DataFrame:
@@ -131,19 +151,76 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, sigs: DataFrame, least: int, percent: int) -> DataFrame:
-    """Of pairs (x, y) those that agree in ``least`` coordinates and are similar on full sets."""
-    a, b = (sigs.select(F.col("c").alias(k), F.col("sig").alias(f"sig_{k}")) for k in ("y", "x"))
-    agree = F.size(F.filter(F.zip_with("sig_x", "sig_y", lambda p, q: p == q), lambda z: z))
-    pairs = stored(pairs.join(a, "y").join(b, "x").where(agree >= least).select("x", "y"))
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (x, y) those that are similar on full sets."""
+
+    def check(batches):
+        for b in in_slices(batches):
+            ok = [similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), percent) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(ok, pa.bool_()))
+
     a, b = (sets.select(F.col("c").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("y", "x"))
-    both = F.size(F.array_intersect("set_x", "set_y"))
-    either = F.size("set_x") + F.size("set_y") - both
     # the side that many pairs share comes first, while rows are small
-    return stored(pairs.join(a, "y").join(b, "x").where(100 * both >= percent * either).select("x", "y"))
-
+    both = pairs.join(a, "y").join(b, "x").select("x", "y", "set_x", "set_y")
+    return stored(both.mapInArrow(check, "x long, y long"))
+
+
+def merged(lists: DataFrame, detail: DataFrame, least: int, percent: int, chunk: int) -> DataFrame:
+    """Links (x, y) between the components of each list (token, c, comp, n)."""
+    chunks = F.ceil(F.col("n") / chunk)
+    rows = lists.withColumn("own", F.pmod(F.xxhash64("c"), chunks))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
+    rows = rows.select("token", "a", "b", "c", "comp", "own").join(detail, "c").select("token", "a", "b", "c", "comp", "own", "sig", "mask", "shingles")
+
+    def merge(key: tuple, held: list[tuple]):
+        token, a, b = key
+        c, comp, own, sig, mask, sets = zip(*held, strict=True)
+        sig, mask = np.frombuffer(b"".join(sig), np.int32).reshape(len(c), -1), np.array(mask, np.int64)
+        comp, own, place = np.array(comp), np.array(own), np.int64(1) << np.arange(sig.shape[1], dtype=np.int64)
+        here, root = np.int64(1) << np.int64(token >> 32), {}
+
+        def find(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        for i in range(len(c) - 1):
+            same = sig[i] == sig[i + 1 :]
+            ok = (same.sum(1) >= least) & (comp[i + 1 :] != comp[i])
+            if a != b:
+                ok &= own[i + 1 :] != own[i]
+            at = np.flatnonzero(ok)
+            if len(at):
+                common = (same[at] @ place) & mask[i] & mask[at + i + 1]
+                at = at[(common & -common) == here] + i + 1
+            for j in at.tolist():
+                p, q = find(comp[i]), find(comp[j])
+                if p != q and similar(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64), percent):
+                    root[p] = q
+                    yield c[i], c[j]
 
-def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: int, percent: int, small: int, block: int) -> DataFrame:
+    def scan(batches):
+        key, held = None, []
+        for b in batches:
+            links = []
+            for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if row[:3] != key:
+                    if len(held) > 1:
+                        links += merge(key, held)
+                    key, held = row[:3], []
+                held.append(row[3:])
+            yield batch(links)
+        if len(held) > 1:
+            yield batch(list(merge(key, held)))
+
+    def batch(links):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["x", "y"])
+
+    keys = ["token", "a", "b"]
+    return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(scan, "x long, y long"))
+
+
+def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: int, percent: int, chunk: int) -> DataFrame:
     """c, comp of all posted classes."""
     comp = stored(posted.select("c").distinct().withColumn("comp", F.col("c")))
 
@@ -153,7 +230,7 @@ def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: i
         return stored(comp.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("c", F.coalesce("root", "comp").alias("comp")))
 
     def active() -> DataFrame:
-        """token, c, comp, n of the lists that hold several components."""
+        """token, c, comp, n, leader of the lists that hold several components."""
         own = stored(posted.join(comp, "c"))
         lists = stored(own.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("c").alias("leader")).where("low <> high"))
         return own.join(lists.select("token", "n", "leader"), "token")
@@ -162,25 +239,13 @@ def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: i
     for _ in range(2):
         first = active().where("c <> leader").groupBy("c").agg(F.min("leader").alias("y"))
         first = first.join(comp, "c").join(comp.select(F.col("c").alias("y"), F.col("comp").alias("comp_y")), "y").where("comp <> comp_y")
-        comp = joined(confirmed(first.select(F.col("c").alias("x"), "y"), sets, sigs, least, percent))
-    while True:
-        left = stored(active())
-        if left.isEmpty():
-            return comp
-        a = left.where(F.col("n") <= small)
-        b = a.select("token", F.col("c").alias("y"), F.col("comp").alias("comp_y"))
-        pairs = a.join(b, "token").where("c < y AND comp <> comp_y").select(F.col("c").alias("x"), "y")
-        large = left.where(F.col("n") > small)
-        leaders = stored(large.groupBy("token").agg(F.slice(F.array_sort(F.collect_set("c")), 1, block).alias("leaders")) if block > 1 else large.select("token", F.array("leader").alias("leaders")).distinct())
-        heads = stored(leaders.select("token", F.explode("leaders").alias("y")).join(comp.select(F.col("c").alias("y"), F.col("comp").alias("comp_y")), "y"))
-        pairs = pairs.unionByName(large.join(heads, "token").where("c <> y AND comp <> comp_y").select(F.col("c").alias("x"), "y"))
-        comp = joined(confirmed(stored(pairs.distinct()), sets, sigs, least, percent))
-        # small lists are done with; so is each leader in its list
-        rest = large.select("token", "c").join(heads.select("token", F.col("y").alias("c")), ["token", "c"], "left_anti")
-        posted = stored(rest)
-
-
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, small: int = 64, block: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+        comp = joined(confirmed(first.select(F.col("c").alias("x"), "y"), sets, percent))
+    masks = posted.groupBy("c").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("token", 32).cast("int"))).alias("mask"))
+    detail = sigs.join(masks, "c").join(sets, "c")
+    return joined(merged(active(), detail, least, percent, chunk))
+
+
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, chunk: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; with ``carry`` also text and row (those columns)."""
     text = F.col(text_col).cast("string")
     row = [F.struct(*carry).alias("row")] if carry else []
@@ -194,7 +259,7 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
     e = chosen.select("c", F.col("doc_id").alias("rep_id"), "tkey")
     texts = d.join(e, "tkey").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("c", "text").dropDuplicates(["c"])
     sets = stored(sets_of(texts, size))
-    comp = classes_linked(posted, sets, chosen.select("c", "sig"), least, percent, small, block)
+    comp = classes_linked(posted, sets, signature_bytes(chosen), least, percent, chunk)
 
     named = classes.select("c", "set_key", F.col("rep.doc_id").alias("doc_id")).join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     lowest = stored(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")))

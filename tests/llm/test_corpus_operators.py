@@ -93,10 +93,10 @@ def test_bloom_admits_what_it_has():
 # 3
 
 
-@pytest.mark.parametrize(("small", "block"), [(64, 16), (3, 2)])
-def test_near(docs, rows, small, block):
+@pytest.mark.parametrize("chunk", [1024, 2])
+def test_near(docs, rows, chunk):
     want = brute.near([(r[0], r[1]) for r in rows])
-    assert got(near.near_dedup(docs, small=small, block=block), "doc_id", "n_shingles", "component_id") == want
+    assert got(near.near_dedup(docs, chunk=chunk), "doc_id", "n_shingles", "component_id") == want
 
 
 def test_near_edges(empty, nulls):
