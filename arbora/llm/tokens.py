@@ -46,13 +46,13 @@ class _Kept(dict):
 class WordEncoder:
     """ids(text): little-endian unsigned 32-bit ids of a whole text, as bytes."""
 
-    def __init__(self, path: str, keep_words: int = 200_000):
+    def __init__(self, path: str, keep_words: int = 400_000):
         import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model, self.pieces, self.letters = self.library.model, regex.compile(_PIECES), _byte_letters()
-        self.words, self.parts = _Kept(self._word, keep_words), _Kept(self._part, keep_words // 2)
+        self.words, self.parts = _Kept(self._word, keep_words), _Kept(self._part, keep_words)
 
     def _part(self, piece: str) -> bytes:
         letters = piece.encode().decode("latin-1").translate(self.letters)
