@@ -93,7 +93,9 @@ def fit(texts: list[str], langs: list[str], rounds: int = 120, rate: float = 20.
     if not names:
         return None
     code = codewords(len(names))
-    x = np.stack([features(t) for t in texts])
+    x = np.zeros((len(texts), DIM), np.float32)
+    for i, t in enumerate(texts):
+        x[i] = features(t)
     y = code[[names.index(v) for v in langs]].astype(np.float32)
     share = np.bincount([names.index(v) for v in langs], minlength=len(names))
     each = (1 / share)[[names.index(v) for v in langs]].astype(np.float32)
@@ -114,7 +116,7 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500) -> Model | None:
     d = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     d = d.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     # which rows: ranked without their texts, in two steps, so that no task gets a language whole
