@@ -61,10 +61,16 @@ def stored(df: DataFrame, max_rows: int = 0) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Free the space of a stored table that no later plan reads."""
-    if path := getattr(df, "stored_at", None):
-        delete(df.sparkSession, path)
+def made_so_far() -> int:
+    return len(_made)
+
+
+def release(since: int, until: int, docs: DataFrame) -> None:
+    """Free the space of tables stored in between, unless ``docs`` still reads one of them."""
+    files = docs.inputFiles()
+    for spark, path in _made[since:until]:
+        if spark.sparkContext._jsc is not None and not any(path.rsplit("/", 1)[-1] in f for f in files):
+            delete(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -17,12 +17,14 @@ and null identifiers are dealt with as the operators say.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import exact, langid, mixing, near, packing
-from arbora.llm.common import stored
+from arbora.llm.common import made_so_far, release, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BESIDE = tuple(c for c in COLUMNS if c != "text")
@@ -30,6 +32,25 @@ BESIDE = tuple(c for c in COLUMNS if c != "text")
 ORACLE_SQL = None
 
 
+#: Which of the tables stored so far the stage before made, for its result.
+_left = (0, 0)
+
+
+def freeing(stage):
+    """A stage begins when the result of the one before is written: what that one stored is no longer needed."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        global _left
+        release(*_left, docs)
+        began = made_so_far()
+        out = stage(spark, docs, sf_dir)
+        _left = (began, made_so_far())
+        return out
+
+    return run_stage
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = langid.predict(docs, langid.train(docs), keep=tuple(COLUMNS))
     return out.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*COLUMNS)
@@ -57,7 +78,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language", language), ("exact", exact_copies), ("near", near_copies), ("mix", mix), ("pack", pack)]
+STAGES = [(name, freeing(f)) for name, f in (("language", language), ("exact", exact_copies), ("near", near_copies), ("mix", mix), ("pack", pack))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
