@@ -37,20 +37,21 @@ def compress(df: DataFrame, path: str, value: str, glue: str = "/") -> DataFrame
     """Folds chains of single children into one key: ``path`` is an array of keys, one row a leaf.
 
     Every prefix of a path is one node; a key is glued to the one before unless its parent
-    has several children. Child counts come from one aggregation over the prefixes.
+    has several children. Child counts come from one aggregation over the prefixes. First keys
+    are never glued, so the root's children are not counted: they would be one group of all rows.
     """
-    rows = df.select(path, value, F.monotonically_increasing_id().alias("_r"))
-    steps = rows.select("_r", F.posexplode(path).alias("i", "key"), path).withColumn("parent", F.slice(path, 1, F.col("i")))
+    rows = df.select(path, value).where(F.size(path) > 0)
+    steps = rows.select(path).distinct().select(path, F.posexplode(path).alias("i", "key")).where("i > 0").withColumn("parent", F.slice(path, 1, F.col("i")))
     fan = steps.groupBy("parent").agg(F.countDistinct("key").alias("children"))
-    glued = steps.join(fan, "parent").withColumn("starts", (F.col("i") == 0) | (F.col("children") > 1))
-    keys = glued.groupBy("_r").agg(F.array_sort(F.collect_list(F.struct("i", "key", "starts"))).alias("k"))
+    glued = steps.join(fan, "parent").withColumn("starts", F.col("children") > 1)
+    keys = glued.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("i", "key", "starts"))).alias("k"))
     folded = F.aggregate(
-        "k", F.array().cast("array<string>"),
-        lambda acc, x: F.when(x["starts"] | (F.size(acc) == 0), F.concat(acc, F.array(x["key"]))).otherwise(
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), F.lit(glue), x["key"])))
+        F.coalesce("k", F.array()), F.array(F.element_at(path, 1)).cast("array<string>"),
+        lambda acc, x: F.when(x["starts"], F.concat(acc, F.array(x["key"]))).otherwise(
+            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(glue), x["key"])))
         ),
     )
-    return rows.join(keys, "_r").select(folded.alias(path), value)
+    return rows.join(keys, path, "left").select(folded.alias(path), value)
 
 
 def matrix(df: DataFrame, row: str, column: str, columns: list, value: str, how: str = "sum") -> DataFrame:

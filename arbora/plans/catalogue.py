@@ -443,6 +443,17 @@ def compress_paths(spark, d):
     return out.select(text.join(F.col("path"), "|").alias("path"), "v")
 
 
+@query("""WITH p AS (SELECT o_custkey::VARCHAR AS a, l_orderkey::VARCHAR AS b, l_linenumber::VARCHAR AS c, count(*) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
+f AS (SELECT a, b, count(*) AS lines FROM p GROUP BY ALL), g AS (SELECT *, count(*) OVER (PARTITION BY a) AS orders FROM f)
+SELECT a || CASE WHEN orders = 1 THEN '/' ELSE '|' END || b || CASE WHEN lines = 1 THEN '/' ELSE '|' END || c AS path, v FROM p JOIN g USING (a, b)""")
+def compress_paths_all(spark, d):
+    j = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    leaves = j.groupBy("o_custkey", "l_orderkey", "l_linenumber").agg(F.count("*").alias("v"))
+    path = F.array(*(F.col(c).cast("string") for c in ("o_custkey", "l_orderkey", "l_linenumber")))
+    out = keyed.compress(leaves.select(path.alias("path"), "v"), "path", "v")
+    return out.select(text.join(F.col("path"), "|").alias("path"), "v")
+
+
 @query("SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) = 1")
 def unique_only(spark, d):
     return keyed.unique_only(table(spark, d, "orders"), "o_custkey")
