@@ -505,6 +505,13 @@ def standalone_cells(spark, d):
     return levels.not_standalone(cells, "a", "b")
 
 
+@query("""SELECT a, b FROM (SELECT a, b, count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1 AS alone FROM
+(SELECT DISTINCT l_orderkey AS a, l_extendedprice AS b FROM lineitem)) WHERE NOT alone""")
+def standalone_cells_all(spark, d):
+    cells = table(spark, d, "lineitem", F.col("l_orderkey").alias("a"), F.col("l_extendedprice").alias("b")).distinct()
+    return levels.not_standalone(cells, "a", "b")
+
+
 @query("SELECT n_name || '/' || r_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
 def tree_path(spark, d):
     j = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))

@@ -26,3 +26,11 @@ def test_compress_takes_all_lines(spark):
     assert got == want
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
     assert len(got) == lines and any("/" in p for p, _ in got) and any(p.count("|") == 2 for p, _ in got)
+
+
+def test_standalone_takes_all_lines(spark):
+    got, want = both(spark, "standalone_cells_all")
+    assert got == want
+    cells = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_extendedprice").distinct()
+    orders = {r.l_orderkey for r in cells.select("l_orderkey").collect()}
+    assert max(a for a, _ in got) > 300 and len(orders) > len({a for a, _ in got}) > 0.9 * len(orders)
