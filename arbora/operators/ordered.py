@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,25 @@ def sort(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*sort_keys(*keys))
 
 
+def numbered(df: DataFrame, *keys: str, into: str = "rn") -> DataFrame:
+    """Every row with its number, from 1, in the order of the keys, which must be total.
+
+    Rows are sorted in ranges, numbered in each and moved by the rows of the ranges before; the
+    driver sees one row a range. The sorted rows are persisted, so that both passes see the same
+    ranges.
+    """
+    # the upper bits of the identifier are the range, the lower 33 the place in it
+    rows = sort(df, *keys).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = rows.groupBy(F.shiftright("_at", 33).cast("int").alias("_range")).agg(F.count("*").alias("_n")).collect()
+    before, total = [], 0
+    for r in sorted(sizes, key=lambda r: r["_range"]):
+        before.append((r["_range"], total))
+        total += r["_n"]
+    moved = F.broadcast(df.sparkSession.createDataFrame(before, "_range int, _before long"))
+    at = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return rows.withColumn("_range", F.shiftright("_at", 33).cast("int")).join(moved, "_range").withColumn(into, at).drop("_at", "_range", "_before")
+
+
 def sort_array(xs: Column, key=None, desc: bool = False) -> Column:
     """Stable sort of an array by a key of its elements, nulls first in both directions."""
     tagged = F.transform(xs, lambda e, i: F.struct(e.alias("e"), (key(e) if key else e).alias("k"), i.alias("i")))

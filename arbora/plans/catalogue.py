@@ -555,6 +555,11 @@ def sort_nulls_first(spark, d):
     return rows.select(F.posexplode("ks").alias("i", "p_partkey")).select("p_partkey", (F.col("i") + 1).cast("long").alias("rn"))
 
 
+@query(f"""SELECT p_partkey, row_number() OVER (ORDER BY brand DESC NULLS FIRST, size NULLS FIRST, p_partkey) AS rn FROM {NULLABLE}""")
+def sort_nulls_first_all(spark, d):
+    return ordered.numbered(_nullable(spark, d), "brand desc", "size", "p_partkey").select("p_partkey", "rn")
+
+
 @query("""SELECT o_orderkey, array_to_string(list_transform(list(l_quantity ORDER BY l_quantity DESC, l_linenumber), lambda x: x::INT::VARCHAR), ',') AS sorted FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def sort_arrays(spark, d):
     df = _orders_with_items(spark, d).where(F.size("q") > 0)

@@ -3,7 +3,9 @@
 from pathlib import Path
 
 import duckdb
+from pyspark.sql import functions as F
 
+from arbora.operators import ordered
 from arbora.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +36,15 @@ def test_standalone_takes_all_lines(spark):
     cells = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_extendedprice").distinct()
     orders = {r.l_orderkey for r in cells.select("l_orderkey").collect()}
     assert max(a for a, _ in got) > 300 and len(orders) > len({a for a, _ in got}) > 0.9 * len(orders)
+
+
+def test_sort_numbers_all_rows(spark):
+    got, want = both(spark, "sort_nulls_first_all")
+    assert got == want
+    assert sorted(n for _, n in got) == list(range(1, spark.read.parquet(f"{DATA}/part.parquet").count() + 1))
+
+
+def test_numbered_goes_on_over_ranges_and_takes_no_rows(spark):
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
+    assert [(r.k, r.rn) for r in ordered.numbered(df, "k desc").collect()] == [(4999 - i, i + 1) for i in range(5000)]
+    assert ordered.numbered(df.where("k < 0"), "k").count() == 0
