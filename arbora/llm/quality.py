@@ -5,9 +5,11 @@ normalised lines (white space runs to one space, ends trimmed, A-Z lower-cased;
 a word is none) with the words they hold. Documents are counted for each (host, line hash):
 a document counts once a line, and each task adds up before the shuffle. Lines in more than
 ``max_docs`` documents of a host are removed from that host's documents; a document of which
-less than ``min_left`` of the words remain is depleted, and rejected.
+less than ``min_left`` of the words remain is depleted, and rejected. ``kept_text`` is the text
+without the removed lines, all other lines being as they were; the texts are stored beside the
+measures for it, and are read again only by who asks for that column.
 
-Defined results: a null text has no words and fails the base rules; a null host is a host of
+Defined results: a null text has no words, fails the base rules and stays null; a null host is a host of
 its own; rows that repeat count as documents each; null identifiers are kept; an empty table
 gives no rows; other columns are not read.
 """
@@ -21,11 +23,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from arbora.llm.common import LOWER, in_slices, stored, word_hashes, window_hashes
 
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
-BASE = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>"
+BASE = "doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<long>, line_words array<long>, text string"
 
 
 def repeated_words(ws: list[bytes], size: int = 3) -> int:
@@ -46,6 +49,22 @@ def repeated_words(ws: list[bytes], size: int = 3) -> int:
     return int(covered.sum())
 
 
+def line_key(ws: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(ws).translate(LOWER))
+
+
+def without(text: str, gone: list[int]) -> str:
+    """The text without the lines of these keys (as signed numbers)."""
+    keys = {k % (1 << 64) for k in gone}
+    lines = text.encode("utf-8", "surrogatepass").split(b"\n")
+    return b"\n".join(x for x in lines if not (own := x.split()) or line_key(own) not in keys).decode("utf-8", "surrogatepass")
+
+
+@F.arrow_udf(StringType())
+def cleaned(text: pa.Array, gone: pa.Array) -> pa.Array:
+    return pa.array([without(t, g) if t and g else t for t, g in zip(text.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
+
+
 def measures(text: str | None) -> tuple:
     raw = (text or "").encode("utf-8", "surrogatepass")
     ws = raw.split()
@@ -55,7 +74,7 @@ def measures(text: str | None) -> tuple:
         if own:
             dup += line in seen
             seen.add(line)
-            key = xxhash.xxh3_64_intdigest(b" ".join(own).translate(LOWER))
+            key = line_key(own)
             lines[key] = lines.get(key, 0) + len(own)
     chars = sum(map(len, ws)) if raw.isascii() else sum(len(w.decode("utf-8", "surrogatepass")) for w in ws)
     return len(ws), chars, len(SYMBOLS.findall(raw)), dup, repeated_words(ws), lines
@@ -70,21 +89,21 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
             sizes = np.array([n for r in rows for n in r[5].values()], np.int64)
             cols = [pa.array([r[i] for r in rows], pa.int64()) for i in range(5)]
             lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in (keys, sizes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, *lists], ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols, *lists, b.column(2)], ["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "text"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     return stored(d.mapInArrow(scan, BASE).withColumn("rid", F.monotonically_increasing_id()))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
-    """doc_id, the measures, base_failed, n_removed_words, kept, rid."""
+    """doc_id, the measures, base_failed, n_removed_words, kept, kept_text, rid."""
     base = measured(docs, id_col, text_col, host_col)
     # a missing host is told from any host by the flag before it
     host = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
     lines = base.select("rid", host.alias("host"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("rid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
     common = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
-    removed = lines.join(common, ["host", "line"]).groupBy("rid").agg(F.sum("words").alias("removed"))
+    removed = lines.join(common, ["host", "line"]).groupBy("rid").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("gone"))
     out = base.drop("lines", "line_words").join(removed, "rid", "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("removed") >= F.lit(min_left) * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("removed").alias("n_removed_words"), (~failed & left).alias("kept"), "rid")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.col("removed").alias("n_removed_words"), (~failed & left).alias("kept"), cleaned("text", "gone").alias("kept_text"), "rid")

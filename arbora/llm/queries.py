@@ -104,7 +104,7 @@ FROM n WINDOW w AS (PARTITION BY normal ORDER BY n_chars DESC, doc_id)"""
 
 @query
 def op1_quality(spark, d):
-    return quality.judge(table(spark, d, "documents")).drop("rid")
+    return quality.judge(table(spark, d, "documents")).drop("rid", "kept_text")
 
 
 ORACLE_SQL["op1_quality"] = r"""

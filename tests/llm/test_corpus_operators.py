@@ -61,6 +61,22 @@ def test_quality_edges(empty, nulls):
     assert [r.base_failed for r in quality.judge(nulls).collect()] == [True] * 3
 
 
+def test_quality_removes_the_lines(spark, docs, rows):
+    out = {r.doc_id: r for r in quality.judge(docs, max_docs=3).collect()}
+    keys = lambda t: [b" ".join(brute.words(x)).lower() for x in (t or "").split("\n")]
+    n = {}
+    for r in rows:
+        for k in {k for k in keys(r[1]) if k}:
+            n[r[3], k] = n.get((r[3], k), 0) + 1
+    for r in rows:
+        want = None if r[1] is None else "\n".join(x for x, k in zip(r[1].split("\n"), keys(r[1]), strict=True) if not k or n[r[3], k] <= 3)
+        assert out[r[0]].kept_text == want
+        assert len(brute.words(want)) == out[r[0]].n_words - out[r[0]].n_removed_words
+    assert any(r.n_removed_words for r in out.values())
+    made = spark.createDataFrame([(i, f"Own {i}\n\n  All  rights\nend{i}", "h") for i in range(4)], "doc_id long, text string, source string")
+    assert sorted(r.kept_text for r in quality.judge(made, max_docs=3).collect()) == [f"Own {i}\n\nend{i}" for i in range(4)]
+
+
 # 2
 
 
