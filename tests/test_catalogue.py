@@ -48,3 +48,11 @@ def test_numbered_goes_on_over_ranges_and_takes_no_rows(spark):
     df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5000).alias("k"))
     assert [(r.k, r.rn) for r in ordered.numbered(df, "k desc").collect()] == [(4999 - i, i + 1) for i in range(5000)]
     assert ordered.numbered(df.where("k < 0"), "k").count() == 0
+
+
+def test_overlay_takes_all_customers(spark):
+    got, want = both(spark, "overlay_merge_all")
+    assert got == want
+    o = spark.read.parquet(f"{DATA}/orders.parquet")
+    assert {r[0] for r in got} == {r.o_custkey for r in o.select("o_custkey").collect()}
+    assert any(v is None for *_, v in got) and len(got) > o.select("o_custkey", F.to_date("o_orderdate")).distinct().count()
