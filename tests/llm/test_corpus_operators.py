@@ -287,6 +287,13 @@ def test_codewords_differ(n):
     assert len({tuple(c) for c in code.tolist()}) == n
 
 
+def test_language_learns_from_a_thousand_rows_each(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: learnt.extend(langs))
+    langid.train(spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.when(F.col("id") < 3000, "en").otherwise("fr").alias("lang")))
+    assert learnt.count("en") == 1000 and 500 < learnt.count("fr") < 1000
+
+
 # 9
 
 
