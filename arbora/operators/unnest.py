@@ -34,14 +34,14 @@ def recurse(df: DataFrame, roots: Column, id_col: str, parent_col: str, include_
 
     An element that is among its own ancestors is given once more, then not expanded. One for
     which ``stop`` holds (over the columns of ``df``) is given, not expanded. ``depth`` limits
-    the levels below the root. Every step is one join; the loop ends when a level is empty.
+    the levels below the root; without it, more than ``most`` raise. Every step is one join; the loop ends when a level is empty.
     A level is persisted, since the next one and the result both read it; a lost executor's part
     is computed again from the level before.
     """
     edges = df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"), (F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))).alias("_stop")).where("_parent IS NOT NULL")
     level = df.where(roots).select(F.col(id_col).alias("root"), F.col(id_col).alias("id"), F.lit(0).alias("depth"), F.array(id_col).alias("path"), (F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))).alias("_end"))
     out = level if include_root else level.limit(0)
-    for d in range(1, (most if depth is None else min(depth, most)) + 1):
+    for d in range(1, (most if depth is None else depth) + 1):
         open_ = level.where(~F.col("_end") & ~F.array_contains(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.col("id")))
         level = open_.join(edges, open_["id"] == edges["_parent"]).select(
             "root", F.col("_id").alias("id"), F.lit(d).alias("depth"), F.concat("path", F.array("_id")).alias("path"), F.col("_stop").alias("_end")

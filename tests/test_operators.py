@@ -26,6 +26,12 @@ def test_recursion_gives_an_ancestor_once_more_then_stops(spark):
     assert [r.depth for r in unnest.recurse(df, F.col("id") == 0, "id", "parent", depth=1, include_root=False).collect()] == [1, 1]
 
 
+def test_recursion_goes_as_deep_as_it_is_told(spark):
+    df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(8)], "id int, parent int")
+    got = unnest.recurse(df, F.col("id") == 0, "id", "parent", depth=5, most=3).collect()
+    assert sorted(r.depth for r in got) == [0, 1, 2, 3, 4, 5]
+
+
 def test_unfold_keeps_the_parent(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "id int, xs array<string>")
     assert rows(unnest.unfold(df, F.col("xs"), "x", ["id"])) == [(1, "a"), (1, "b")]
