@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -22,11 +23,13 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder path below the one that driver and executors share.
 
-    It is named by ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder takes its place.
+    It is named by ``spark.checkpoint.dir``; only where that is unset and Spark runs in one
+    process (tests) a temporary folder takes its place. On a cluster a missing setting raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="arbora-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/arbora-{uuid.uuid4().hex}"
@@ -39,45 +42,54 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_made: list[tuple[SparkSession, str]] = []
+#: Folders made so far: session, path, and a weak reference to the index of files that every plan which reads the table holds (none for other files).
+_made: list[tuple[SparkSession, str, object]] = []
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _made:
+    for spark, path, _ in _made:
         try:
             delete(spark, path)
         except Exception:  # noqa: BLE001  the session may have ended first
             return
 
 
+def made(spark: SparkSession, path: str, reader: object = None) -> None:
+    """Remember a folder, to be deleted when nothing reads it any more, at the latest at the end."""
+    _made.append((spark, path, reader))
+
+
+def free_unused() -> None:
+    """Delete tables that no plan refers to any more.
+
+    Every DataFrame that derives from a table holds the table's file index in the JVM. When the
+    JVM has collected that, no result can need the files: the rule Spark's own cleaner has for
+    checkpoints. A table that is still to be read, by whatever result, stays.
+    """
+    for entry in list(_made):
+        spark, path, reader = entry
+        if reader is not None and spark.sparkContext._jsc is not None and reader.refersTo(None):
+            _made.remove(entry)
+            delete(spark, path)
+
+
 def stored(df: DataFrame, max_rows: int = 0) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage, survives lost executors."""
+    free_unused()
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.option("compression", "zstd").option("maxRecordsPerFile", max_rows).parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    made(spark, path, spark.sparkContext._jvm.java.lang.ref.WeakReference(files))
     return out
 
 
-def made_so_far() -> int:
-    return len(_made)
-
-
-def release(since: int, until: int, docs: DataFrame) -> None:
-    """Free the space of tables stored in between, unless ``docs`` still reads one of them."""
-    files = docs.inputFiles()
-    for spark, path in _made[since:until]:
-        if spark.sparkContext._jsc is not None and not any(path.rsplit("/", 1)[-1] in f for f in files):
-            delete(spark, path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def task_count(spark: SparkSession, rows: int, each: int) -> int:
+def task_count(rows: int, each: int) -> int:
     """Groups for so many rows; grows with the input."""
     return max(1, -(-rows // each))
 
