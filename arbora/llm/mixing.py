@@ -1,21 +1,26 @@
 """Mixing sources to target weights: a low-discrepancy schedule of equal-token blocks.
 
-Each source's documents stand in a shuffled order (by a digest of the identifier) and
+Each source's documents stand in a shuffled order (by a digest of identifier and text) and
 form a stream of words that starts over when it ends. The stream is cut into blocks of
-equal size. Slot i of the mix has the golden-ratio point frac(i * phi), which falls into
+equal size. The mix has as many slots as all words fill blocks. Slot i has the golden-ratio
+point ``i * STEP mod 2^31``, in whole numbers so that any engine gets the same, which falls into
 one source's share of the cumulative targets; the r-th slot of a source takes block r of
-its stream. So every stretch of the mix has nearly the wanted shares. A source whose
-slots fall short of its quota by the points' discrepancy gets the missing ranks at the
-end, and the last block is cut at the target, so what is taken is the target itself,
-rounded down.
+its stream. The last slot holds what is left of the words. So every stretch of the mix has nearly the wanted shares, and what a source gives
+is what its slots hold: its target up to the points' discrepancy, a few blocks. A source does
+not go through its stream more than ``most`` times: a slot beyond that stays empty.
 
 Targets: sources in code-point order (null last) have the given weights in turn and share
 the sum of all sizes; none gets more than ``most`` times its own size, and the excess goes
 to the others by weight until none is above.
 
+Rows of one source, identifier and text are alike; they are counted before they are dealt to
+tasks, and then numbered by the partitions they lie in, so that no number of them meets in one task.
+
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source of
-its own; null identifiers sort first in the shuffled order; rows that repeat count each;
-an empty table gives no rows; other columns are not read, whatever their names.
+its own; null identifiers and repeated ones are dealt by their texts; rows that repeat count
+each; of ties in the shuffled order any one may come first, as they are alike; an empty table
+gives no rows; a very long text is as many blocks as it fills; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -26,21 +31,25 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import running_sum, stored, words
 
-PHI = 0.6180339887498949
-CELLS = 1024
+#: The golden-ratio step on a circle of 2^31 points: odd, so that a round meets every point once.
+BITS = 31
+STEP = 1327217885
+CELL_BITS = 10
 
 
 def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size (words), row (the columns named in ``carry``), with a number ``rid`` that stays as stored."""
+    """doc_id, source, key (of the shuffled order), size (words), row (the columns named in ``carry``), with a number ``rid`` that stays as stored."""
 
     def count(batches):
         for b in batches:
             n = pa.array([len(words(t)) for t in b.column(2).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, b.column(3)], ["doc_id", "source", "size", "row"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), n, b.column(4)], ["doc_id", "source", "key", "size", "row"])
 
     row = F.struct(*carry) if carry else F.struct(F.lit(1).alias("none"))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), row.alias("row"))
-    schema = d.select("doc_id", "source", F.lit(0).cast("long").alias("size"), "row").schema
+    text, own = F.col(text_col).cast("string"), F.col(id_col).cast("long")
+    key = F.md5(F.concat(F.coalesce(own.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+    d = docs.select(own.alias("doc_id"), F.col(source_col).cast("string").alias("source"), text.alias("text"), key.alias("key"), row.alias("row"))
+    schema = d.select("doc_id", "source", "key", F.lit(0).cast("long").alias("size"), "row").schema
     return stored(d.mapInArrow(count, schema).withColumn("rid", F.monotonically_increasing_id()))
 
 
@@ -64,52 +73,77 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     s = s.withColumn("level", F.max(F.when(~F.col("full"), F.col("level"))).over(everything))
     s = s.withColumn("target", F.when(F.col("full"), F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")))
     upto = everything.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("hi", F.sum("target").over(upto) / F.greatest(F.sum("target").over(everything), F.lit(1e-9)))
-    s = s.withColumn("lo", F.coalesce(F.lag("hi").over(everything.orderBy("src")), F.lit(0.0)))
+    share = F.sum("target").over(upto) / F.greatest(F.sum("target").over(everything), F.lit(1e-9))
     last = F.col("src") == F.max("src").over(everything)
-    s = s.withColumn("hi", F.when(last, F.lit(2.0)).otherwise(F.col("hi")))
-    return s.select("src", "source", "source_size", "n_docs", "total", "target", F.floor(F.col("target")).alias("quota"), "lo", "hi")
+    s = s.withColumn("hi", F.when(last, F.lit(1 << BITS)).otherwise(F.floor(share * (1 << BITS))).cast("long"))
+    s = s.withColumn("lo", F.coalesce(F.lag("hi").over(everything.orderBy("src")), F.lit(0)))
+    return s.withColumn("most", F.col("cap")).select("src", "source", "source_size", "n_docs", "total", "target", "most", "lo", "hi")
 
 
-def schedule(sources: DataFrame, slots: int, block: int, chunk: int = 65536) -> DataFrame:
+def schedule(sources: DataFrame, slots: int, step: int = STEP, chunk: int = 65536) -> DataFrame:
     """slot, src, rank: which source each slot of the mix draws from, and how manieth of that source's it is."""
-    spark = sources.sparkSession
-    cells = sources.select(
-        "src", "lo", "hi", F.ceil(F.col("quota") / block).alias("blocks"),
-        F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.floor(F.least(F.col("hi"), F.lit(1.0)) * CELLS))).alias("cell"),
-    )
-    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * F.lit(PHI) - F.floor(F.col("id") * F.lit(PHI))).alias("u"))
-    points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
-    drawn = points.join(cells, "cell").where("lo <= u AND u < hi").select("slot", "src", "blocks", F.floor(F.col("slot") / chunk).alias("part"), F.lit(1).alias("one"))
-    ranked = running_sum(drawn, ["src"], "part", ["slot"], "one", "rank").where("rank < blocks").select("slot", "src", "rank")
-    got = ranked.groupBy("src").agg(F.count("*").alias("n"))
-    short = (
-        sources.select("src", F.ceil(F.col("quota") / block).alias("blocks")).join(got, "src", "left")
-        .withColumn("n", F.coalesce("n", F.lit(0))).where("n < blocks")
-        .select(F.lit(slots).cast("long").alias("slot"), "src", F.explode(F.sequence("n", F.col("blocks") - 1)).alias("rank"))
-    )
-    return ranked.unionByName(short)
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 256, per_chunk: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot, rid and row (the columns in ``carry``) of every document."""
-    spark = docs.sparkSession
-    sized = sizes(docs, id_col, text_col, source_col, carry)
-    sources = stored(targets(sized, weights, most))
-    total = (sources.agg(F.max("total")).first()[0] or 0)
-    slots = schedule(sources, -(-total // block), block)
-
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    placed = sized.drop("row").join(sources.drop("total"), sized.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("key", key)
-    n_chunks = F.ceil(F.col("n_docs") / per_chunk)
-    placed = placed.withColumn("chunk", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_chunks / F.lit(2**32)))
-    # a source may have few chunks of documents yet a third of all rows: the number of chunks follows the rows
-    placed = running_sum(placed.where("size > 0"), ["src"], "chunk", ["key", "doc_id", "rid"], "size", "start")
-    rounds = F.explode(F.sequence(F.lit(0), F.ceil(F.col("quota") / F.col("source_size")) - 1)).alias("turn")
-    turns = placed.where("quota > 0").select("rid", "src", "size", "source_size", "quota", "start", rounds)
-    turns = turns.withColumn("a", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("quota"))).where("a < b")
-    pieces = turns.select("rid", "src", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("rank"))
-    pieces = pieces.withColumn("got", F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block))
-    taken = pieces.join(slots, ["src", "rank"]).groupBy("rid").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"))
-    out = sized.join(sources.select("source", "source_size", "target"), sized.source.eqNullSafe(sources.source)).drop(sources.source)
-    return out.join(taken, "rid", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "rid", "row")
+    spark, narrow = sources.sparkSession, BITS - CELL_BITS
+    # a share spans some cells of the circle, so that points meet shares by an equi join
+    cells = sources.where("lo < hi").select("src", "lo", "hi", F.explode(F.sequence(F.shiftright("lo", narrow), F.shiftright(F.col("hi") - 1, narrow))).alias("cell"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.pmod("id", F.lit(1 << BITS)) * step, F.lit(1 << BITS)).alias("u"))
+    drawn = points.withColumn("cell", F.shiftright("u", narrow)).join(cells, "cell").where("lo <= u AND u < hi")
+    drawn = drawn.select("slot", "src", F.floor(F.col("slot") / chunk).alias("part"), F.lit(1).alias("one"))
+    return running_sum(drawn, ["src"], "part", ["slot"], "one", "rank").select("slot", "src", "rank")
+
+
+def placed(sized: DataFrame, sources: DataFrame, per_chunk: int) -> DataFrame:
+    """rid, src, size, start: where each document with words begins in its source's stream."""
+    d = sized.where("size > 0").drop("row").join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
+    # the number of chunks follows the source's rows; rows that are alike count as one with their number
+    alike = d.groupBy("src", "key", "size", "n_docs").agg(F.count("*").alias("n"))
+    chunk = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.ceil(F.col("n_docs") / per_chunk) / F.lit(2**32))
+    alike = alike.withColumn("chunk", chunk).withColumn("words", F.col("n") * F.col("size"))
+    first = stored(running_sum(alike, ["src"], "chunk", ["key"], "words", "first").select("src", "key", "n", "first"))
+    d = d.select("rid", "src", "key", "size").join(first, ["src", "key"])
+    several = d.where("n > 1").withColumn("at", F.shiftright("rid", 33)).withColumn("one", F.lit(1))
+    several = running_sum(several, ["src", "key"], "at", ["rid"], "one", "nth")
+    columns = ["rid", "src", "size"]
+    return d.where("n = 1").select(*columns, F.col("first").alias("start")).unionByName(several.select(*columns, (F.col("first") + F.col("nth") * F.col("size")).alias("start")))
+
+
+class Mix:
+    """A mix of documents; the tables it is made of are stored."""
+
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, block: int = 64, per_chunk: int = 2048, step: int = STEP, carry: tuple[str, ...] = ()):
+        self.sized = sizes(docs, id_col, text_col, source_col, carry)
+        self.sources = stored(targets(self.sized, weights, most))
+        self.words = self.sources.agg(F.max("total")).first()[0] or 0
+        self.slots = -(-self.words // block)
+        slots = stored(schedule(self.sources, self.slots, step))
+        # what a source gives: the blocks of its slots, the last slot of all being cut at the sum of all sizes, and no more than its stream holds
+        cut = F.when(F.max("slot") == self.slots - 1, self.slots * block - self.words).otherwise(0)
+        given = slots.groupBy("src").agg((F.count("*") * block - cut).alias("n"))
+        given = self.sources.join(given, "src").select("src", "source_size", F.least("n", "most").alias("given"))
+        turns = placed(self.sized, self.sources, per_chunk).join(given, "src")
+        turns = turns.withColumn("turn", F.explode(F.sequence(F.lit(0), F.floor((F.col("given") - 1) / F.col("source_size")))))
+        turns = turns.withColumn("a", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("given"))).where("a < b")
+        # a document's pieces lie in blocks; a block has the slot of its rank
+        pieces = turns.select("rid", "turn", "src", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block))).alias("rank"))
+        pieces = pieces.withColumn("got", F.least("b", (F.col("rank") + 1) * block) - F.greatest("a", F.col("rank") * block))
+        self.turns = pieces.join(slots, ["src", "rank"]).groupBy("rid", "turn").agg(F.sum("got").alias("got"), F.min("slot").alias("slot"))
+
+    def documents(self) -> DataFrame:
+        """doc_id, source, size, source_size, target, taken, first_slot, rid and row (the columns in ``carry``) of every document."""
+        taken = self.turns.groupBy("rid").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"))
+        per = self.sources.select("source", "source_size", "target")
+        out = self.sized.join(per, self.sized.source.eqNullSafe(per.source)).drop(per.source).join(taken, "rid", "left")
+        return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "rid", "row")
+
+    def in_order(self, words_per_part: int = 1 << 22) -> DataFrame:
+        """row, slot, turn, rid: a row each time the mix takes half of a document or more, in the order of its slots.
+
+        Slots hold equal numbers of words, so equal stretches of them are equal partitions.
+        """
+        parts = max(1, -(-self.words // words_per_part))
+        out = self.sized.where("size > 0").select("rid", "size", "row").join(self.turns, "rid").where("2 * got >= size")
+        out = out.select("row", "slot", "turn", "rid", F.floor(F.col("slot") * parts / max(1, self.slots)).cast("int").alias("part"))
+        return out.repartitionById(parts, "part").drop("part").sortWithinPartitions("slot", "turn", "rid")
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    return Mix(docs, **options).documents()
