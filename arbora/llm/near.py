@@ -12,11 +12,13 @@ Texts with one shingle set form a class; the rest works on classes.
    common tokens of boilerplate are skipped.
 3. Merging: a list's classes are compared with a leader first, as a group of near copies,
    however large, comes together by that. Lists whose classes are in one component then are
-   skipped. The others are merged in tasks that hold at most two chunks of a list, every chunk
-   with every other: agreements are counted on signatures, pairs of one component are skipped,
-   a pair is dealt with only in the list of its first common prefix token, and those with
-   ``least`` agreements are confirmed on their full sets, which a task has once for each class.
-   No pair of a list is left out and no list is cut.
+   skipped. The others are merged in tasks that hold two chunks of a list, every chunk
+   with every other. First on signatures alone: agreements are counted, pairs of one component
+   or of too different sizes are skipped, a pair is dealt with only in the list of its first
+   common prefix token, and classes with a partner of ``least`` agreements go on, not their
+   pairs. Then with the full sets of these: a task confirms pairs, skipping those that it has
+   joined already. Chunks are bounded by rows and by bytes. No pair of a list is left out and no
+   list is cut.
 4. Components come from links by alternating large-star and small-star steps.
 
 Shingles are ``size`` consecutive words (A-Z lower-cased) of whole texts, as 64-bit hashes; a
@@ -24,7 +26,8 @@ text of fewer words is one shingle.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; null
 identifiers come after all others; rows that repeat are members of the class each, with one
-component; an empty table gives no rows; other columns are not read.
+component; of ties the smallest identifier stays; very long texts are read whole; an empty table
+gives no rows; other columns are not read, whatever their names, but for those in ``carry``.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from arbora.llm.common import in_slices, lower_ascii, mixed, stored, window_hashes, word_hashes
@@ -92,14 +96,14 @@ def sets_of(texts: DataFrame, size: int) -> DataFrame:
 
 
 def signature_bytes(classes: DataFrame) -> DataFrame:
-    """c and the signature as bytes."""
+    """c, the set's size and the signature as bytes."""
 
     def scan(batches):
         for b in batches:
-            sig = [np.array(x, np.int32).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.binary())], ["c", "sig"])
+            sig = [np.array(x, np.int32).tobytes() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.binary())], ["c", "size", "sig"])
 
-    return classes.select("c", "sig").mapInArrow(scan, "c long, sig binary")
+    return classes.select("c", "size", "sig").mapInArrow(scan, "c long, size long, sig binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -165,62 +169,100 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(both.mapInArrow(check, "x long, y long"))
 
 
-def merged(lists: DataFrame, detail: DataFrame, least: int, percent: int, chunk: int) -> DataFrame:
-    """Links (x, y) between the components of each list (token, c, comp, n)."""
-    chunks = F.ceil(F.col("n") / chunk)
-    rows = lists.withColumn("own", F.pmod(F.xxhash64("c"), chunks))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("a", F.least("own", "other")).withColumn("b", F.greatest("own", "other"))
-    rows = rows.select("token", "a", "b", "c", "comp", "own").join(detail, "c").select("token", "a", "b", "c", "comp", "own", "sig", "mask", "shingles")
+KEYS = ["token", "a", "b"]
 
-    def merge(key: tuple, held: list[tuple]):
-        token, a, b = key
-        c, comp, own, sig, mask, sets = zip(*held, strict=True)
-        sig, mask = np.frombuffer(b"".join(sig), np.int32).reshape(len(c), -1), np.array(mask, np.int64)
-        comp, own, place = np.array(comp), np.array(own), np.int64(1) << np.arange(sig.shape[1], dtype=np.int64)
-        here, root = np.int64(1) << np.int64(token >> 32), {}
 
-        def find(x):
-            while x in root:
-                x = root[x]
-            return x
+def chunked(lists: DataFrame, chunks) -> DataFrame:
+    """Every chunk of a list with every other: ``own`` is a row's chunk, (token, a, b) the group it goes to."""
+    rows = lists.withColumn("_n", chunks.cast("int")).withColumn("own", F.pmod(F.xxhash64("c"), F.col("_n")))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.withColumn("a", F.least("own", "_other")).withColumn("b", F.greatest("own", "_other")).drop("_n", "_other")
 
-        for i in range(len(c) - 1):
-            same = sig[i] == sig[i + 1 :]
-            ok = (same.sum(1) >= least) & (comp[i + 1 :] != comp[i])
-            if a != b:
-                ok &= own[i + 1 :] != own[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                common = (same[at] @ place) & mask[i] & mask[at + i + 1]
-                at = at[(common & -common) == here] + i + 1
-            for j in at.tolist():
-                p, q = find(comp[i]), find(comp[j])
-                if p != q and similar(np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64), percent):
-                    root[p] = q
-                    yield c[i], c[j]
+
+def by_group(rows: DataFrame, merge, schema: str) -> DataFrame:
+    """``merge`` over the rows of each (token, a, b), as a generator of result rows."""
+    kinds, names = to_arrow_schema(StructType.fromDDL(schema)).types, StructType.fromDDL(schema).names
 
     def scan(batches):
         key, held = None, []
+
+        def batch(out):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
         for b in batches:
-            links = []
+            out = []
             for row in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if row[:3] != key:
                     if len(held) > 1:
-                        links += merge(key, held)
+                        out += merge(key, held)
                     key, held = row[:3], []
                 held.append(row[3:])
-            yield batch(links)
-        if len(held) > 1:
-            yield batch(list(merge(key, held)))
+            if out:
+                yield batch(out)
+        if len(held) > 1 and (out := list(merge(key, held))):
+            yield batch(out)
+
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS, "c").mapInArrow(scan, schema)
+
+
+def agreeing(key: tuple, held: list[tuple], least: int, percent: int):
+    """For each row in turn: itself and the later ones whose signatures agree and that this list deals with."""
+    token, a, b = key
+    c, comp, own, size, sig, mask = list(zip(*held, strict=True))[:6]
+    sig, mask = np.frombuffer(b"".join(sig), np.int32).reshape(len(c), -1), np.array(mask, np.int64)
+    comp, own, size, place = np.array(comp), np.array(own), np.array(size), np.int64(1) << np.arange(sig.shape[1], dtype=np.int64)
+    here = np.int64(1) << np.int64(token >> 32)
+    for i in range(len(c) - 1):
+        same = sig[i] == sig[i + 1 :]
+        ok = (same.sum(1) >= least) & (comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
+        if a != b:
+            ok &= own[i + 1 :] != own[i]
+        at = np.flatnonzero(ok)
+        if len(at):
+            common = (same[at] @ place) & mask[i] & mask[at + i + 1]
+            at = at[(common & -common) == here] + i + 1
+            if len(at):
+                yield i, at
+
 
-    def batch(links):
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["x", "y"])
+def merged(lists: DataFrame, detail: DataFrame, sets: DataFrame, least: int, percent: int, chunk: int, chunk_bytes: int) -> DataFrame:
+    """Links (x, y) between the components of each list (token, c, comp, n); ``detail``: c, size, sig, mask."""
+    columns = ["token", "c", "comp", "size", "sig", "mask"]
+    schema = "token long, c long, comp long, size long, sig binary, mask long"
+
+    def partners(key: tuple, held: list[tuple]):
+        found = np.zeros(len(held), bool)
+        for i, at in agreeing(key, held, least, percent):
+            found[i] = found[at] = True
+        for i in np.flatnonzero(found).tolist():
+            c, comp, _, size, sig, mask = held[i]
+            yield key[0], c, comp, size, sig, mask
+
+    rows = chunked(lists.select("token", "c", "comp", "n"), F.ceil(F.col("n") / chunk)).join(detail, "c")
+    some = by_group(rows.select(*KEYS, "c", "comp", "own", "size", "sig", "mask"), partners, schema)
+    some = stored(some.dropDuplicates(["token", "c"]))
+
+    def confirm(key: tuple, held: list[tuple]):
+        root: dict[int, int] = {}
+
+        def find(x):
+            while x in root:
+                x = root[x]
+            return x
+
+        for i, at in agreeing(key, held, least, percent):
+            for j in at.tolist():
+                p, q = find(held[i][1]), find(held[j][1])
+                if p != q and similar(np.frombuffer(held[i][6], np.uint64), np.frombuffer(held[j][6], np.uint64), percent):
+                    root[p] = q
+                    yield held[i][0], held[j][0]
 
-    keys = ["token", "a", "b"]
-    return stored(rows.repartition(*keys).sortWithinPartitions(*keys, "c").mapInArrow(scan, "x long, y long"))
+    sizes = stored(some.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") * 8 / chunk_bytes)).alias("chunks")))
+    rows = chunked(some.join(sizes, "token"), F.col("chunks")).drop("chunks").join(sets, "c")
+    return stored(by_group(rows.select(*KEYS, "c", "comp", "own", "size", "sig", "mask", "shingles"), confirm, "x long, y long"))
 
 
-def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: int, percent: int, chunk: int) -> DataFrame:
+def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: int, percent: int, chunk: int, chunk_bytes: int) -> DataFrame:
     """c, comp of all posted classes."""
     comp = stored(posted.select("c").distinct().withColumn("comp", F.col("c")))
 
@@ -241,25 +283,25 @@ def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: i
         first = first.join(comp, "c").join(comp.select(F.col("c").alias("y"), F.col("comp").alias("comp_y")), "y").where("comp <> comp_y")
         comp = joined(confirmed(first.select(F.col("c").alias("x"), "y"), sets, percent))
     masks = posted.groupBy("c").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("token", 32).cast("int"))).alias("mask"))
-    detail = sigs.join(masks, "c").join(sets, "c")
-    return joined(merged(active(), detail, least, percent, chunk))
+    detail = stored(sigs.join(masks, "c"))
+    return joined(merged(active(), detail, sets, least, percent, chunk, chunk_bytes))
 
 
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, chunk: int = 1024, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, chunk: int = 512, chunk_bytes: int = 1 << 24, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; with ``carry`` also text and row (those columns)."""
     text = F.col(text_col).cast("string")
     row = [F.struct(*carry).alias("row")] if carry else []
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tkey"), *row)
     signed = stored(signatures(d, size, coords))
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tkey"))
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(rep.alias("rep"), F.first("sig").alias("sig"))
+    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(rep.alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()))
     posted = stored(postings(classes, least))
-    chosen = stored(classes.join(posted.select("c").distinct(), "c", "left_semi").select("c", "sig", "rep.doc_id", "rep.tkey"))
+    chosen = stored(classes.join(posted.select("c").distinct(), "c", "left_semi").select("c", "size", "sig", "rep.doc_id", "rep.tkey"))
     e = chosen.select("c", F.col("doc_id").alias("rep_id"), "tkey")
     texts = d.join(e, "tkey").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("c", "text").dropDuplicates(["c"])
     sets = stored(sets_of(texts, size))
-    comp = classes_linked(posted, sets, signature_bytes(chosen), least, percent, chunk)
+    comp = classes_linked(posted, sets, signature_bytes(chosen), least, percent, chunk, chunk_bytes)
 
     named = classes.select("c", "set_key", F.col("rep.doc_id").alias("doc_id")).join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     lowest = stored(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")))
