@@ -1,20 +1,23 @@
-"""WARC archives of pages, compressed record by record with a shared Zstandard dictionary.
+"""WARC archives of pages, compressed record by record with a Zstandard dictionary.
 
 An archive file starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary;
 each record follows as a frame of its own, so that a reader can start at any record. The
-dictionary is trained on a bounded sample of the pages themselves: the ``sample_rows`` with
-the smallest digests of their identifiers, ``sample_bytes`` at most from each.
+dictionary is built from the very records that the file archives, headers included: a task
+gathers records up to ``file_bytes``, trains on all of them, and writes the file. Where they
+are too few for the trainer, it gets their parts, and failing that, their first bytes are the dictionary.
 
 A payload of at least ``least`` bytes that several pages share is archived once: the page
 with the largest identifier has the response record, the others revisit it. A record's
-identifier names its page, so a revisit's WARC-Refers-To names the page it refers to.
+identifier names its page, so a revisit's WARC-Refers-To names the page it refers to. Shorter
+pages go past the search for equal ones.
 
-Each task writes one file under a name of its own attempt and renames it at the end.
+A file is written under a name of the attempt and renamed at the end.
 
 Defined results: a null html is an empty payload; a null url leaves out the target URI; null
 identifiers are the smallest; rows that repeat an identifier get a record each, and rows that
-repeat the response's identifier and payload are responses too; an empty table writes no file
-and gives no rows.
+repeat the response's identifier and payload, a tie, are responses too; a very long payload is
+a record of its own like any other, in a file that ends after it; an empty table writes no
+file and gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.common import _made, in_slices, shared_dir, stored
+from arbora.llm.common import in_slices, made, shared_dir, stored
 from arbora.llm.sstable import open_path
 
 SKIPPABLE = 0x184D2A5D
@@ -39,29 +42,29 @@ RECORD = "urn:x-arbora:page:"
 def decisions(pages: DataFrame, least: int, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to."""
     p = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
-    p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("equal", F.when(F.col("payload_bytes") >= least, F.sha2("payload", 256)))
-    # narrow, and a group of any size is one row a task before the shuffle
-    groups = p.where("equal IS NOT NULL").groupBy("equal").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    p = p.join(groups, "equal", "left")
+    p = p.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    long, digest = F.col("payload_bytes") >= least, F.sha1("payload").alias("payload_digest")
+    # equal payloads have one SHA-256; of a group of any size a task sends one row. Stored, so that the join's sides are plain and Spark can split a large group
+    equal = F.sha2("payload", 256).alias("equal")
+    groups = stored(p.where(long).groupBy(equal).agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"))
+    found = p.where(long).withColumn("equal", equal).join(groups, "equal", "left")
     revisit = F.col("copies").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return p.select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", F.sha1("payload").alias("payload_digest"),
+    found = found.select(
+        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "payload_bytes", digest,
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"),
     )
+    short = p.where(~long).select("page_id", "url", "payload", "payload_bytes", digest, F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return found.unionByName(short)
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, dictionary_bytes: int, sample_rows: int, sample_bytes: int) -> bytes:
-    """A dictionary from a bounded sample; empty if the sample is too small to train on."""
-    # rows are chosen without their html, which only the chosen ones then send
-    narrow = pages.select(F.col(id_col).alias("id"), F.xxhash64(id_col).alias("at")).where(F.col(html_col).isNotNull())
-    chosen = narrow.orderBy("at", "id").limit(sample_rows).select("id").distinct()
-    texts = pages.select(F.col(id_col).alias("id"), F.substring(F.col(html_col).cast("string"), 1, sample_bytes).alias("html"))
-    sample = texts.join(F.broadcast(chosen), "id", "left_semi").limit(sample_rows).select("html").collect()
-    texts = [r[0].encode() for r in sample if r[0]]
-    try:
-        return zstandard.train_dictionary(dictionary_bytes, texts).as_bytes() if len(texts) >= 8 else b""
-    except zstandard.ZstdError:  # too little to learn from
-        return b""
+def dictionary_of(records: list[bytes], size: int, part: int = 512) -> bytes:
+    """A dictionary from all of these records."""
+    for samples in (records, [r[i : i + part] for r in records for i in range(0, len(r), part)]):
+        try:
+            return zstandard.train_dictionary(size, samples, k=1024, d=8).as_bytes()
+        except zstandard.ZstdError:  # too few to learn from
+            continue
+    return b"".join(records)[:size]
 
 
 def record(page_id, url, payload, n, digest, kind, refers_to) -> bytes:
@@ -78,36 +81,41 @@ def record(page_id, url, payload, n, digest, kind, refers_to) -> bytes:
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, dictionary_bytes: int = 65536, sample_rows: int = 1000, sample_bytes: int = 8192, level: int = 3) -> DataFrame:
+def write(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", path: str | None = None, dictionary_bytes: int = 65536, file_bytes: int = 1 << 25, level: int = 3) -> DataFrame:
     """Writes the archives; a row for each file: path, records."""
     spark = pages.sparkSession
     folder = path or shared_dir(spark)
     if not path:
-        _made.append((spark, folder))
-    dictionary = train(pages, id_col, html_col, dictionary_bytes, sample_rows, sample_bytes)
+        made(spark, folder)
+
+    def archive(held: list[bytes]) -> pa.RecordBatch:
+        dictionary = dictionary_of(held, dictionary_bytes)
+        zstd = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        filesystem, root = open_path(folder)
+        filesystem.create_dir(root, recursive=True)
+        key = uuid.uuid4().hex
+        temporary, name = (posixpath.join(root, f"{x}{key}.warc.zst") for x in (".writing-", "pages-"))
+        with filesystem.open_output_stream(temporary, compression=None) as out:
+            out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
+            for r in held:
+                out.write(zstd.compress(r))
+        filesystem.move(temporary, name)
+        return pa.RecordBatch.from_arrays([pa.array([posixpath.join(folder, posixpath.basename(name))]), pa.array([len(held)], pa.int64())], ["path", "records"])
 
-    def archive(batches):
-        out, n = None, 0
+    def scan(batches):
+        held, n = [], 0
         for b in in_slices(batches):
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if out is None:
-                    filesystem, root = open_path(folder)
-                    filesystem.create_dir(root, recursive=True)
-                    key = uuid.uuid4().hex
-                    temporary, name = (posixpath.join(root, f"{x}{key}.warc.zst") for x in (".writing-", "pages-"))
-                    out = filesystem.open_output_stream(temporary, compression=None)
-                    known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-                    zstd = zstandard.ZstdCompressor(level=level, dict_data=known)
-                    out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
-                out.write(zstd.compress(record(*row)))
-                n += 1
-        if out is not None:
-            out.close()
-            filesystem.move(temporary, name)
-            yield pa.RecordBatch.from_arrays([pa.array([posixpath.join(folder, posixpath.basename(name))]), pa.array([n], pa.int64())], ["path", "records"])
+                held.append(record(*row))
+                n += len(held[-1])
+                if n >= file_bytes:
+                    yield archive(held)
+                    held, n = [], 0
+        if held:
+            yield archive(held)
 
     # the list of files is what counts: a file of an attempt that was lost is in no list
-    return stored(decisions(pages, least, id_col, url_col, html_col).mapInArrow(archive, "path string, records long"))
+    return stored(decisions(pages, least, id_col, url_col, html_col).mapInArrow(scan, "path string, records long"))
 
 
 def records(stream):
@@ -115,8 +123,7 @@ def records(stream):
     magic, n = struct.unpack("<II", stream.read(8))
     if magic != SKIPPABLE:
         raise ValueError("no dictionary frame")
-    dictionary = stream.read(n)
-    zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+    zstd = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(stream.read(n)))
     left = b""
     while True:
         frame, data = zstd.decompressobj(), bytearray()
