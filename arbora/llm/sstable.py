@@ -5,25 +5,31 @@ A shard is one file of documents in ascending order of their identifier:
     data block ...      prefix-compressed entries, Zstandard-compressed, CRC-32 each
     filter block        Bloom filter of the shard's keys
     index block         for each data block: last key, offset, length (sparse: one entry a block)
-    footer, 64 bytes    offsets and lengths of filter and index, entries, tokens, version, magic
+    footer, 64 bytes    offsets and lengths of filter and index, entries, tokens, bytes of an id, magic
 
-A key is the identifier as 8 big-endian bytes with the sign bit flipped (byte order is number
-order), then 4 bytes that number documents of one identifier. An entry is varint(shared bytes
-with the key before), varint(own bytes), varint(value bytes), own key bytes, value; every 16th
-entry shares nothing. A value is the ids as little-endian 16-bit numbers where the vocabulary
-fits, else 32-bit. Lookup: footer, filter, binary search in the index, one block.
+A key is a flag and the identifier as 8 big-endian bytes with the sign bit flipped (byte order is
+number order), then 8 bytes of the text's hash in the same form and 4 that number entries alike so
+far. An entry is varint(shared bytes with the key before), varint(own bytes), varint(value bytes),
+own key bytes, value; every 16th entry shares nothing. A value is the ids as little-endian numbers
+of 16 bits if the vocabulary's largest id fits, else of 32. Lookup: footer, filter, binary search
+in the index, one block.
 
-Documents are range-partitioned, so shard order is identifier order. A task writes under a
-name of its own attempt and renames it at the end: a repeated task leaves a whole file.
+Documents are range-partitioned by identifier, then hash of the text, then row, so shard order is
+identifier order and one identifier of many rows spreads over shards. There are as many shards as
+the texts have ``shard_bytes`` (Spark's own bound of a partition's input unless given). A task writes
+under a name of its own attempt and renames it at the end: a repeated task leaves a whole file.
 
 Defined results: a null text is empty, its document the end id alone; null identifiers come
 first, as the smallest key of their own flag; rows that repeat an identifier get an entry
-each, in order of their ids; an empty table writes no file and gives no rows.
+each, in order of a hash of their texts, ties in order of their rows; a very long text is one
+entry in a block of its own; an empty table writes no file and gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import posixpath
 import struct
 import uuid
@@ -31,22 +37,27 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.llm.common import _made, in_slices, shared_dir
+from arbora.llm.common import in_slices, made, shared_dir, task_count
 from arbora.llm.tokens import encoder
 
-MAGIC = b"ARBSST01"
-FOOTER = struct.Struct("<QQQQQQ8x8s")
+MAGIC = b"ARBSST02"
+FOOTER = struct.Struct("<7Q8s")
 RESTART = 16
 
 
-def key_of(doc_id: int | None, nth: int = 0) -> bytes:
-    head = b"\x00" + bytes(8) if doc_id is None else b"\x01" + ((doc_id + (1 << 63)) & ((1 << 64) - 1)).to_bytes(8, "big")
-    return head + nth.to_bytes(4, "big")
+def _ordered(n: int) -> bytes:
+    """A signed number as bytes whose order is the numbers'."""
+    return ((n + (1 << 63)) & ((1 << 64) - 1)).to_bytes(8, "big")
+
+
+def prefix_of(doc_id: int | None) -> bytes:
+    return b"\x00" + bytes(8) if doc_id is None else b"\x01" + _ordered(doc_id)
 
 
 def id_of(key: bytes) -> int | None:
@@ -100,14 +111,12 @@ class Bloom:
 
 
 def _digest(key: bytes) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(key[:9])
 
 
 class Writer:
-    def __init__(self, out, block_bytes: int = 1 << 16):
-        self.out, self.block_bytes, self.at = out, block_bytes, 0
+    def __init__(self, out, width: int, block_bytes: int = 1 << 16):
+        self.out, self.width, self.block_bytes, self.at = out, width, block_bytes, 0
         self.index, self.digests, self.block, self.in_block = [], [], bytearray(), 0
         self.last, self.entries, self.tokens = b"", 0, 0
         self.zstd = zstandard.ZstdCompressor(level=1)
@@ -139,7 +148,7 @@ class Writer:
         self._flush()
         f = self._put(bytes(Bloom.of(np.array(self.digests, np.uint64)).bits))
         i = self._put(b"".join(_varint(len(k)) + k + struct.pack("<QI", at, n) for k, at, n in self.index))
-        self._put(FOOTER.pack(*f, *i, self.entries, self.tokens, MAGIC))
+        self._put(FOOTER.pack(*f, *i, self.entries, self.tokens, self.width, MAGIC))
 
 
 class Reader:
@@ -147,7 +156,7 @@ class Reader:
         self.source = source
         size = source.size()
         source.seek(size - FOOTER.size)
-        self.f_at, self.f_n, i_at, i_n, self.entries, self.tokens, magic = FOOTER.unpack(source.read(FOOTER.size))
+        self.f_at, self.f_n, i_at, i_n, self.entries, self.tokens, self.width, magic = FOOTER.unpack(source.read(FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
         data, at, self.index = self._bytes(i_at, i_n), 0, []
@@ -178,44 +187,52 @@ class Reader:
         for k in range(len(self.index)):
             yield from self._block(k)
 
-    def get(self, doc_id: int | None, nth: int = 0) -> bytes | None:
-        key = key_of(doc_id, nth)
-        if not Bloom(self._bytes(self.f_at, self.f_n)).admits(np.array([_digest(key)], np.uint64))[0]:
+    def get(self, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
+        """The ids of the shard's nth document of that identifier."""
+        prefix = prefix_of(doc_id)
+        if not Bloom(self._bytes(self.f_at, self.f_n)).admits(np.array([_digest(prefix)], np.uint64))[0]:
             return None
-        k = bisect.bisect_left(self.index, key, key=lambda e: e[0])
-        return next((v for x, v in self._block(k) if x == key), None) if k < len(self.index) else None
+        for k in range(bisect.bisect_left(self.index, prefix, key=lambda e: e[0]), len(self.index)):
+            for key, value in self._block(k):
+                if key[:9] > prefix:
+                    return None
+                if key[:9] == prefix:
+                    if not nth:
+                        return np.frombuffer(value, f"<u{self.width}")
+                    nth -= 1
+        return None
 
 
 def open_path(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", width: int = 2, path: str | None = None, block_bytes: int = 1 << 16) -> DataFrame:
-    """Writes the shards below ``path`` (else a fresh shared folder); a row for each: shard, path, entries, tokens.
-
-    ``width``: bytes of an id in the files; 2 where the vocabulary has at most 65536 ids.
-    """
+def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, block_bytes: int = 1 << 16, shard_bytes: int = 0) -> DataFrame:
+    """Writes the shards below ``path`` (else a fresh shared folder); a row for each: shard, path, entries, tokens."""
     spark = docs.sparkSession
     folder = path or shared_dir(spark)
     if not path:
-        _made.append((spark, folder))
+        made(spark, folder)
     end = end_id.to_bytes(4, "little")
 
     def shard(batches):
-        enc, out, writer, previous, nth, first = encoder(tokenizer_path), None, None, (), 0, None
+        enc, out, writer, previous, nth, first = encoder(tokenizer_path), None, None, b"", 0, None
+        width = 2 if max(enc.largest_id, end_id) < 1 << 16 else 4
+        kind = f"<u{width}"
         for b in in_slices(batches):
-            for doc, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, text, at, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if writer is None:
                     filesystem, root = open_path(folder)
                     filesystem.create_dir(root, recursive=True)
                     first, name = part, posixpath.join(root, f"shard-{part:06d}.sst")
                     temporary = f"{name}.{uuid.uuid4().hex}"
                     out = filesystem.open_output_stream(temporary, compression=None)
-                    writer = Writer(out, block_bytes)
-                nth = nth + 1 if previous == (doc,) else 0
-                previous = (doc,)
+                    writer = Writer(out, width, block_bytes)
+                key = prefix_of(doc) + _ordered(at)
+                nth = nth + 1 if previous == key else 0
+                previous = key
                 ids = np.frombuffer(enc.ids(text) + end, "<u4")
-                writer.add(key_of(doc, nth), ids.astype(f"<u{width}").tobytes(), len(ids))
+                writer.add(key + nth.to_bytes(4, "big"), ids.astype(kind).tobytes(), len(ids))
         if writer is not None:
             writer.close()
             out.close()
@@ -223,29 +240,37 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1, id_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([posixpath.join(folder, posixpath.basename(name))]), pa.array([writer.entries], pa.int64()), pa.array([writer.tokens], pa.int64())], ["shard", "path", "entries", "tokens"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    d = d.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part"))
+    limit = shard_bytes or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    shards = task_count(d.agg(F.sum(F.octet_length("text"))).first()[0] or 0, limit)
+    order = (F.col("doc_id").asc_nulls_first(), "at", "rid")
+    d = d.withColumn("at", F.xxhash64("text")).withColumn("rid", F.monotonically_increasing_id())
+    d = d.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    d = d.select("doc_id", "text", "at", F.spark_partition_id().cast("long").alias("part"))
     done = d.mapInArrow(shard, "shard long, path string, entries long, tokens long")
     return spark.createDataFrame(done.toArrow().to_pandas(), done.schema)  # one row for each file
 
 
-def read(spark: SparkSession, shards: DataFrame, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, shards: DataFrame, rows: int = 4096) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, shard from the files; start counts the ids of all shards before."""
     before = Window.partitionBy(F.lit(0)).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     based = shards.select("shard", "path", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
 
+    def entries(shard: int, path: str, at: int):
+        filesystem, name = open_path(path)
+        with filesystem.open_input_file(name) as f:
+            reader = Reader(f)
+            kind = f"<u{reader.width}"
+            for key, value in reader:
+                ids = np.frombuffer(value, kind).astype("<u4")
+                yield id_of(key), at, len(ids), zlib.crc32(ids.tobytes()), shard
+                at += len(ids)
+
     def scan(batches):
         for b in batches:
-            for shard, path, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                filesystem, name = open_path(path)
-                at, rows = base, []
-                with filesystem.open_input_file(name) as f:
-                    for key, value in Reader(f):
-                        ids = np.frombuffer(value, f"<u{width}").astype("<u4")
-                        rows.append((id_of(key), at, len(ids), zlib.crc32(ids.tobytes()), shard))
-                        at += len(ids)
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
+            for file in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = entries(*file)
+                while some := list(itertools.islice(found, rows)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*some, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
     n = max(1, shards.count())
     return based.repartition(n, "shard").mapInArrow(scan, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
