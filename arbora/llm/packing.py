@@ -8,12 +8,15 @@ smallest, into an open bin or a new one. Counts of other gaps do not change, so
 order, for which the rule is made; bins that end up well filled stay, the others are taken
 apart for the next round, and the last round goes by descending size.
 
-Packing runs in groups of about ``per_group`` pieces, dealt out by a hash of the document.
+Packing runs in groups of about ``per_group`` pieces, dealt out by a hash of the stored piece's
+row number, so that pieces of one identifier, however many, are spread like all others.
 What a group leaves badly filled is packed again in far fewer groups, bins being taken apart
 first. Only sizes and numbers move; ids stay behind as a checksum.
 
 Defined results: a null text is empty, its document the end id alone; rows that repeat are
-packed each; null identifiers are kept; an empty table gives no rows.
+packed each; null identifiers are kept; pieces of equal length are ties, which go by their row
+numbers; a very long text is as many pieces as it fills; an empty table gives no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,24 +102,24 @@ def in_rounds(lengths: np.ndarray, capacity: int, rounds: int = 2, good: float =
 
 
 def pack(parts: DataFrame, capacity: int = 2048, per_group: int = 16384, good: float = 0.98) -> DataFrame:
-    """Adds sequence_id and offset to pieces; ``parts`` is read more than once, so it should be stored."""
-    spark = parts.sparkSession
-    schema = f"{PIECES}, grp long, bin long, offset long, fill long"
+    """Adds sequence_id and offset to pieces; ``parts``, with a row number ``rid``, is read more than once, so it should be stored."""
+    schema = f"{PIECES}, rid long, grp long, bin long, offset long, fill long"
+    own = ["doc_id", "piece", "start", "length", "ids_crc32", "rid"]
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ignore_index=True)
+        pdf = pdf.sort_values(["length", "rid"], ignore_index=True)
         where, offset, fill = in_rounds(pdf["length"].to_numpy(), capacity)
-        return pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(grp=key[0], bin=where, offset=offset, fill=fill)
+        return pdf[own].assign(grp=key[0], bin=where, offset=offset, fill=fill)
 
     def dealt(df: DataFrame, groups: int, tag: int) -> DataFrame:
-        g = F.pmod(F.xxhash64("doc_id", "piece", F.lit(tag)), F.lit(groups))
-        return df.select("doc_id", "piece", "start", "length", "ids_crc32", g.alias("grp")).groupBy("grp").applyInPandas(one, schema)
+        g = F.pmod(F.xxhash64("rid", F.lit(tag)), F.lit(groups))
+        return df.select(*own, g.alias("grp")).groupBy("grp").applyInPandas(one, schema)
 
     rest = parts.where(F.col("length") < capacity)
     n = rest.count()
-    first = stored(dealt(rest, task_count(spark, n, per_group), 0))
+    first = stored(dealt(rest, task_count(n, per_group), 0))
     bad = first.where(F.col("fill") < good * capacity)
-    again = dealt(bad, task_count(spark, bad.count(), 4 * per_group), 1)
+    again = dealt(bad, task_count(bad.count(), 4 * per_group), 1)
     full = parts.where(F.col("length") >= capacity).withColumn("grp", F.lit(0).cast("long")).withColumn("bin", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     keep = ["doc_id", "piece", "start", "length", "ids_crc32", "grp", "bin", "offset"]
     out = None
@@ -129,4 +132,5 @@ def pack(parts: DataFrame, capacity: int = 2048, per_group: int = 16384, good: f
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", per_group: int = 16384) -> DataFrame:
-    return pack(stored(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col)), capacity, per_group)
+    numbered = pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("rid", F.monotonically_increasing_id())
+    return pack(stored(numbered), capacity, per_group)

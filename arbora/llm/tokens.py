@@ -4,11 +4,15 @@ No pattern of the vocabulary's pre-tokenizer crosses white space and it drops wh
 itself, so a text's ids are those of its words in a row. Words repeat far more often than
 they are new; the ids of a bounded number of them are kept as bytes. A word of plain Latin
 letters goes straight to the library's model; any other is encoded by the whole library.
+
+That holds for tokenizers whose file normalises and cuts texts as this one's does; the file is
+compared with these steps at the start, and for any other the library encodes whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 
 from arbora.llm.common import SPACES
@@ -19,6 +23,16 @@ _PLAIN = re.compile("[!-~\xc0-\xff]*")
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: The steps before the model for which a text's ids are those of its words (fixed values).
+_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PIECES}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+    },
+}
+
+
 def _byte_letters() -> dict[int, int]:
     """Latin-1 code of a byte to the printable letter that stands for it in the vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,6 +65,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        steps = json.loads(self.library.to_str())
+        self.by_words = all(steps[k] == v for k, v in _STEPS.items()) and steps["model"]["type"] == "BPE"
+        self.largest_id = max(self.library.get_vocab().values())
         self.model, self.pieces, self.letters = self.library.model, regex.compile(_PIECES), _byte_letters()
         self.words, self.parts = _Kept(self._word, keep_words), _Kept(self._part, keep_words)
 
@@ -67,7 +84,7 @@ class WordEncoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if "<|" in text and any(chr(s) in t for t in self.special for s in SPACES):  # a special token with a space would cross words
+        if not self.by_words or "<|" in text and any(chr(s) in t for t in self.special for s in SPACES):  # a special token with a space would cross words
             return b"".join([i.to_bytes(4, "little") for i in self.library.encode(text, add_special_tokens=False).ids])
         return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
