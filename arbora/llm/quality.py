@@ -3,15 +3,17 @@
 One pass over the texts gives the measures and, for each document, the distinct hashes of its
 normalised lines (white space runs to one space, ends trimmed, A-Z lower-cased; a line without
 a word is none) with the words they hold. Documents are counted for each (host, line hash):
-a document counts once a line, and each task adds up before the shuffle. Lines in more than
-``max_docs`` documents of a host are removed from that host's documents; a document of which
+a document counts once a line, and each task adds up before the shuffle. A line is above the limits
+if more than ``max_docs`` documents of a host have it, or more than ``max_share`` of the host's
+documents and at least ``min_docs``; it is removed from that host's documents. A document of which
 less than ``min_left`` of the words remain is depleted, and rejected. ``kept_text`` is the text
 without the removed lines, all other lines being as they were; the texts are stored beside the
 measures for it, and are read again only by who asks for that column.
 
 Defined results: a null text has no words, fails the base rules and stays null; a null host is a host of
 its own; rows that repeat count as documents each; null identifiers are kept; an empty table
-gives no rows; other columns are not read.
+gives no rows; very long texts are read whole; there are no ties; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -95,13 +97,17 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
     return stored(d.mapInArrow(scan, BASE).withColumn("rid", F.monotonically_increasing_id()))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, min_left: float = 0.3) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 100, max_share: float = 0.1, min_docs: int = 5, min_left: float = 0.3) -> DataFrame:
     """doc_id, the measures, base_failed, n_removed_words, kept, kept_text, rid."""
     base = measured(docs, id_col, text_col, host_col)
     # a missing host is told from any host by the flag before it
     host = F.coalesce(F.concat(F.lit("h"), F.col("host")), F.lit("n"))
     lines = base.select("rid", host.alias("host"), F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("rid", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"))
-    common = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs)
+    hosts = stored(base.groupBy(host.alias("host")).agg(F.count("*").alias("all")))
+    several = lines.groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") >= min(min_docs, max_docs + 1))
+    above = (F.col("docs") > max_docs) | ((F.col("docs") >= min_docs) & (F.col("docs") > F.lit(max_share) * F.col("all")))
+    # stored, so that both sides of the join below are plain and Spark can split a line that many documents have
+    common = stored(several.join(hosts, "host").where(above).select("host", "line"))
     removed = lines.join(common, ["host", "line"]).groupBy("rid").agg(F.sum("words").alias("removed"), F.collect_list("line").alias("gone"))
     out = base.drop("lines", "line_words").join(removed, "rid", "left").withColumn("removed", F.coalesce("removed", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
