@@ -24,8 +24,9 @@ Every step sends distinct hashes or keys of each file, so a passage that many do
 or that one repeats many times, costs one entry a file.
 
 Defined results: a null or empty text has no words and nothing to remove; rows that repeat an
-identifier are documents each, in stored order, and null identifiers come last; an empty
-table gives no rows; other columns are not read.
+identifier are documents each, in stored order, and null identifiers come last; of ties the
+first place stays; very long texts are read whole; an empty table gives no rows; other columns are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from arbora.llm.common import stored, window_hashes, word_hashes
 from arbora.llm.sstable import open_path
 
 #: Labels of a node's neighbours: 0 is no word, 1 is several.
-NONE, SEVERAL = np.uint32(0), np.uint32(1)
+NONE, SEVERAL = np.uint64(0), np.uint64(1)
 
 
 class Piece:
@@ -134,13 +135,13 @@ class Segment:
             if not len(places):
                 continue
             h = window_hashes(p.h, self.size - 1)[places]
-            label = np.maximum((p.h >> np.uint64(32)).astype(np.uint32), np.uint32(2))
+            label = np.maximum(p.h, np.uint64(2))
             doc = np.searchsorted(p.starts, places, side="right") - 1
             before = np.where(places > p.starts[doc], label[np.maximum(places - 1, 0)], NONE)
             end = places + self.size - 1
             after = np.where(end < p.doc_end[places], label[np.minimum(end, p.n - 1)], NONE)
             found.append(reduced(h, before, after))
-        return reduced(*map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        return reduced(*map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64),) * 3
 
     def unitigs(self, known: np.ndarray, nodes: np.ndarray, branching: np.ndarray):
         """(row, start, words, digest) of each unitig's occurrence, for rows of one batch at a time."""
@@ -239,7 +240,7 @@ def _anchor_flags(h: np.ndarray, more: list[bytes], ends: np.ndarray) -> np.ndar
 
 
 def _node_flags(h: np.ndarray, more: list[bytes], ends: np.ndarray) -> np.ndarray:
-    labels = [np.frombuffer(m, np.uint32) for m in more]
+    labels = [np.frombuffer(m, np.uint64) for m in more]
     before = np.concatenate([x[: len(x) // 2] for x in labels])
     after = np.concatenate([x[len(x) // 2 :] for x in labels])
     u, b, a = reduced(h, before, after)
