@@ -10,11 +10,15 @@ A text whose two best losses are closer than ``margin`` is ambiguous.
 
 Training rows are bounded: at most ``per_language`` labelled rows of each language, those
 with the smallest digests of their identifiers, whole texts. That bound is the only one;
-prediction reads whole texts of all rows and nothing but the text.
+prediction reads whole texts of all rows and nothing but the text. Which rows these are follows
+from counts by digest: all rows below the digest range where the bound is met, and the first of that range.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no
-labelled row everything is; with one language everything with a letter is that one; rows
-that repeat are predicted each; null identifiers are kept; an empty table gives no rows.
+labelled row everything is; with one language everything with a letter is that one; of languages
+with equal losses the first by code point; very long texts are read whole; rows that repeat are
+predicted each, and learnt from once; null identifiers are kept, and never learnt from; an empty
+table gives no rows; other columns are not read but for those in ``keep``, of which one with the
+name of a result gives way to it.
 """
 
 from __future__ import annotations
@@ -119,19 +123,25 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> Model | None:
     d = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     d = d.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    # which rows: ranked without their texts, in two steps, so that no task gets a language whole
-    narrow = d.select("id", "lang", F.xxhash64("id").alias("at"))
-    spread = Window.partitionBy("lang", F.pmod("at", F.lit(64))).orderBy("at", "id")
-    some = narrow.withColumn("n", F.row_number().over(spread)).where(F.col("n") <= per_language)
-    chosen = some.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "id"))).where(F.col("n") <= per_language)
-    rows = d.join(F.broadcast(chosen.select("id", "lang")), ["id", "lang"], "left_semi").dropDuplicates(["id"]).orderBy("id").collect()
+    # which rows: without their texts, and without bringing a language together
+    narrow = d.select("id", "lang", F.xxhash64("id").alias("at")).distinct().withColumn("bin", F.shiftright("at", 64 - 10))
+    bins = narrow.groupBy("lang", "bin").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).where(F.col("before") < per_language)
+    some = narrow.join(F.broadcast(bins), ["lang", "bin"])  # at most 1024 bins a language
+    whole, cut = F.col("before") + F.col("rows") <= per_language, Window.partitionBy("lang", "bin").orderBy("at", "id")
+    last = some.where(~whole).withColumn("n", F.row_number().over(cut)).where(F.col("before") + F.col("n") <= per_language)
+    chosen = some.where(whole).select("id", "lang").unionByName(last.select("id", "lang"))
+    rows = d.join(F.broadcast(chosen), ["id", "lang"], "left_semi").dropDuplicates(["id"]).orderBy("id").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), margin: float = 0.05) -> DataFrame:
     """Adds lang_pred, score, ambiguous to the columns named in ``keep`` and the identifier."""
     known = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # as large as the model, whatever the corpus
-    names = list(dict.fromkeys([id_col, *keep]))
+    made = ["lang_pred", "score", "ambiguous"]
+    names = [n for n in dict.fromkeys([id_col, *keep]) if n not in made]
+    text = "_" * max(map(len, names)) + "_text"  # longer than any name that is kept
     schema = docs.select(*names).schema
     for field in ("lang_pred string", "score double", "ambiguous boolean"):
         schema = schema.add(*field.split())
@@ -147,6 +157,6 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
                 for i, k, s, g in zip(rows, best.tolist(), p.tolist(), gap.tolist(), strict=True):
                     lang[i], score[i], unsure[i] = m.langs[k], min(1.0, max(0.0, s)), g < margin
             cols = [*b.columns[:-1], pa.array(lang), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays(cols, [*names, *made])
 
-    return docs.select(*names, F.col(text_col).cast("string").alias("_text")).mapInArrow(scan, schema)
+    return docs.select(*names, F.col(text_col).cast("string").alias(text)).mapInArrow(scan, schema)
