@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -96,10 +97,15 @@ def near(rows, size=5, percent=75):
     return sorted((i, len(s), lowest[find(k)] if s else i) for k, (i, s) in enumerate(sets))
 
 
-def quality(rows, max_docs, min_left):
-    docs, out = {}, []
+def above(n, everything, max_docs, max_share, min_docs):
+    return n > max_docs or n >= min_docs and n > max_share * everything
+
+
+def quality(rows, max_docs, max_share=0.1, min_docs=5):
+    docs, out, hosts = {}, [], {}
     keyed = []
     for i, t, host in rows:
+        hosts[host] = hosts.get(host, 0) + 1
         lines = {}
         for line in (t or "").encode().split(b"\n"):
             if ws := words(line.decode()):
@@ -117,6 +123,80 @@ def quality(rows, max_docs, min_left):
             if words(line):
                 dup += line in seen
                 seen.add(line)
-        removed = sum(n for k, n in lines.items() if docs[host, k] > max_docs)
+        removed = sum(n for k, n in lines.items() if above(docs[host, k], hosts[host], max_docs, max_share, min_docs))
         out.append((i, len(ws), sum(len(w.decode()) for w in ws), len(re.findall(r"[#*$%&|<>]", t or "")), dup, None if covered is None else len(covered), removed))
     return out
+
+
+def mixing(rows, block=64, step=1327217885, most=3, weights=(5, 2, 1)):
+    """Rows are (doc_id, text, source). A list of (doc_id, size, source_size, target, taken, first slot), and of (slot, turn, index of the row) for what is taken by half or more."""
+    size = [len(words(t)) for _, t, _ in rows]
+    names = sorted({r[2] for r in rows if r[2] is not None}) + ([None] if any(r[2] is None for r in rows) else [])
+    per = {s: sum(n for n, r in zip(size, rows, strict=True) if r[2] == s) for s in names}
+    weight = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, target, open_ = sum(size), {}, set(names)
+    rest, w = float(total), 1
+    while open_:
+        w = sum(weight[s] for s in open_)
+        over = [s for s in open_ if rest * weight[s] / w > most * per[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = float(most * per[s])
+        open_ -= set(over)
+        rest = total - sum(target.values())
+    target |= {s: rest * weight[s] / w for s in open_}
+    bounds, at = [], 0.0
+    for s in names:
+        at += target[s]
+        bounds.append(int(at / max(sum(target.values()), 1e-9) * 2**31))
+    if bounds:
+        bounds[-1] = 2**31
+    slots = {s: [] for s in names}
+    for i in range(-(-total // block)):
+        u = i % 2**31 * step % 2**31
+        slots[next(s for s, b in zip(names, bounds, strict=True) if u < b)].append(i)
+    out, order = [None] * len(rows), []
+    for s in names:
+        key = lambda k: hashlib.md5(f"{'' if rows[k][0] is None else rows[k][0]}:{hashlib.md5((rows[k][1] or '').encode()).hexdigest()}".encode()).hexdigest()
+        stream = [k for k in sorted((k for k, r in enumerate(rows) if r[2] == s), key=lambda k: (key(k), k)) if size[k]]
+        last = -(-total // block) - 1
+        given = min(len(slots[s]) * block - ((last + 1) * block - total if last in slots[s] else 0), most * per[s])
+        taken, first, place, turn = {}, {}, 0, 0
+        while place < given:
+            for k in stream:
+                got = max(0, min(size[k], given - place))
+                if got:
+                    taken[k] = taken.get(k, 0) + got
+                    first.setdefault(k, slots[s][place // block])
+                if 2 * got >= size[k]:
+                    order.append((slots[s][place // block], turn, k))
+                place += size[k]
+            turn += 1
+        for k, r in enumerate(rows):
+            if r[2] == s:
+                out[k] = (r[0], size[k], per[s], target[s], taken.get(k, 0), first.get(k))
+    return out, sorted(order)
+
+
+def letters(text):
+    """The text as language identification reads it."""
+    return " " + " ".join("".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text).lower().split()) + " "
+
+
+def language(model, text):
+    """(language, score) of a trained model's weights, by plain sums over n-grams."""
+    s, counts = letters(text), {}
+    for n in (1, 2, 3):
+        for a in range(len(s) - n + 1):
+            h = 0
+            for c in s[a : a + n]:
+                h = (h * 31 + ord(c)) * 0x9E3779B1 % 2**32
+                h ^= h >> 15
+            h %= model.weights.shape[0]
+            counts[h] = counts.get(h, 0) + 1
+    length = math.sqrt(sum(counts.values()))
+    margins = [sum(math.sqrt(c) / length * float(model.weights[h, b]) for h, c in counts.items()) + float(model.bias[b]) for b in range(model.code.shape[1])]
+    losses = [sum(float(model.trust[b]) * math.log1p(math.exp(-m * int(model.code[k, b]))) for b, m in enumerate(margins)) for k in range(len(model.langs))]
+    low = min(losses)
+    return model.langs[losses.index(low)], 1 / sum(math.exp(low - x) for x in losses)
