@@ -7,24 +7,24 @@ and read again as the next stage's docs. All but the last return the columns of
 * exact: of texts equal up to white space one stays.
 * near: of each group linked by near-duplicates one stays, the smallest identifier.
 * mix: sources get their target weights; a document stands there as often as the mix takes
-  it, a part of one taking counting if it is half the document or more. What the mix does not
-  take goes: that is the stage's purpose, not a cap.
+  it, a part of one taking counting if it is half the document or more, in the order of the
+  mix's slots. What the mix does not take goes: that is the stage's purpose, not a cap.
 * pack: pieces of at most 2048 tokens with their sequences.
 
 Operators store the rows they judge and carry the other columns with them, so rows that repeat
-and null identifiers are dealt with as the operators say.
+and null identifiers are dealt with as the operators say. Tables that a stage stores for its
+result are deleted when no result reads them any more (see ``common.free_unused``), so stages
+may run in any order, several at a time, and again.
 """
 
 from __future__ import annotations
 
-import functools
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import exact, langid, mixing, near, packing
-from arbora.llm.common import made_so_far, release, stored
+from arbora.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BESIDE = tuple(c for c in COLUMNS if c != "text")
@@ -32,25 +32,6 @@ BESIDE = tuple(c for c in COLUMNS if c != "text")
 ORACLE_SQL = None
 
 
-#: Which of the tables stored so far the stage before made, for its result.
-_left = (0, 0)
-
-
-def freeing(stage):
-    """A stage begins when the result of the one before is written: what that one stored is no longer needed."""
-
-    @functools.wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        global _left
-        release(*_left, docs)
-        began = made_so_far()
-        out = stage(spark, docs, sf_dir)
-        _left = (began, made_so_far())
-        return out
-
-    return run_stage
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = langid.predict(docs, langid.train(docs), keep=tuple(COLUMNS))
     return out.where((F.col("lang_pred") != "und") & ~F.col("ambiguous")).select(*COLUMNS)
@@ -69,16 +50,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    taken = mixing.mix(docs, carry=tuple(COLUMNS)).where("size > 0").withColumn("times", times).where("times > 0")
-    return _documents(taken.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("time")), F.col("row.text"))
+    return _documents(mixing.Mix(docs, carry=tuple(COLUMNS)).in_order(), F.col("row.text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [(name, freeing(f)) for name, f in (("language", language), ("exact", exact_copies), ("near", near_copies), ("mix", mix), ("pack", pack))]
+STAGES = [("language", language), ("exact", exact_copies), ("near", near_copies), ("mix", mix), ("pack", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
