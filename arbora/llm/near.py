@@ -287,7 +287,7 @@ def classes_linked(posted: DataFrame, sets: DataFrame, sigs: DataFrame, least: i
     return joined(merged(active(), detail, sets, least, percent, chunk, chunk_bytes))
 
 
-def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, chunk: int = 512, chunk_bytes: int = 1 << 24, carry: tuple[str, ...] = ()) -> DataFrame:
+def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", coords: int = 48, least: int = 22, chunk: int = 512, chunk_bytes: int = 1 << 24, broadcast_bytes: int = 1 << 25, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; with ``carry`` also text and row (those columns)."""
     text = F.col(text_col).cast("string")
     row = [F.struct(*carry).alias("row")] if carry else []
@@ -299,6 +299,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
     posted = stored(postings(classes, least))
     chosen = stored(classes.join(posted.select("c").distinct(), "c", "left_semi").select("c", "size", "sig", "rep.doc_id", "rep.tkey"))
     e = chosen.select("c", F.col("doc_id").alias("rep_id"), "tkey")
+    # texts stay where they are while the list of those wanted is small; 24 bytes a row
+    e = F.broadcast(e) if chosen.count() * 24 <= broadcast_bytes else e
     texts = d.join(e, "tkey").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("c", "text").dropDuplicates(["c"])
     sets = stored(sets_of(texts, size))
     comp = classes_linked(posted, sets, signature_bytes(chosen), least, percent, chunk, chunk_bytes)
