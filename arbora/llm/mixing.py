@@ -118,7 +118,8 @@ class Mix:
         # what a source gives: the blocks of its slots, the last slot of all being cut at the sum of all sizes, and no more than its stream holds
         cut = F.when(F.max("slot") == self.slots - 1, self.slots * block - self.words).otherwise(0)
         given = slots.groupBy("src").agg((F.count("*") * block - cut).alias("n"))
-        given = self.sources.join(given, "src").select("src", "source_size", F.least("n", "most").alias("given"))
+        # stored, so that its size is known before the join: a row a source, and a source may have a third of all documents
+        given = stored(self.sources.join(given, "src").select("src", "source_size", F.least("n", "most").alias("given")))
         turns = placed(self.sized, self.sources, per_chunk).join(given, "src")
         turns = turns.withColumn("turn", F.explode(F.sequence(F.lit(0), F.floor((F.col("given") - 1) / F.col("source_size")))))
         turns = turns.withColumn("a", F.col("turn") * F.col("source_size") + F.col("start")).withColumn("b", F.least(F.col("a") + F.col("size"), F.col("given"))).where("a < b")
