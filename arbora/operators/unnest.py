@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.core.storage import cut
+
 
 def unfold(df: DataFrame, collection: Column, into: str, keep: list[str] | None = None, outer: bool = False) -> DataFrame:
     """A row for each element; the kept columns of the parent stay beside it. Rows without elements go, unless outer.
@@ -33,36 +34,43 @@ def recurse(df: DataFrame, roots: Column, id_col: str, parent_col: str, include_
     """root, id, depth, path of everything below the roots, along a parent reference.
 
     An element that is among its own ancestors is given once more, then not expanded. One for
-    which ``stop`` holds (over the columns of ``df``) is given, not expanded. ``depth`` limits
-    the levels below the root; without it, more than ``most`` raise. Every step is one join; the loop ends when a level is empty.
-    A level is persisted, since the next one and the result both read it; a lost executor's part
-    is computed again from the level before.
+    which ``stop`` holds (over the columns of ``df``) is given, not expanded; a root that is not given
+    is expanded in any case. ``depth`` limits
+    the levels below the root; without it, more than ``most`` raise. Every step is one join over
+    the level before, which is cut from its plan, so that time follows the number of levels; the
+    loop ends when a level is empty. Edges are cut as well, being read by every step.
     """
-    edges = df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"), (F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))).alias("_stop")).where("_parent IS NOT NULL")
-    level = df.where(roots).select(F.col(id_col).alias("root"), F.col(id_col).alias("id"), F.lit(0).alias("depth"), F.array(id_col).alias("path"), (F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))).alias("_end"))
-    out = level if include_root else level.limit(0)
-    for d in range(1, (most if depth is None else depth) + 1):
+    ends = F.lit(False) if stop is None else F.coalesce(stop, F.lit(False))
+    edges = cut(df.select(F.col(id_col).alias("_id"), F.col(parent_col).alias("_parent"), ends.alias("_stop")).where("_parent IS NOT NULL"))
+    level = df.where(roots).select(F.col(id_col).alias("root"), F.col(id_col).alias("id"), F.lit(0).alias("depth"), F.array(id_col).alias("path"), (ends if include_root else F.lit(False)).alias("_end"))
+    out, d = (level if include_root else level.limit(0)), 0
+    while depth is None or d < depth:
         open_ = level.where(~F.col("_end") & ~F.array_contains(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.col("id")))
-        level = open_.join(edges, open_["id"] == edges["_parent"]).select(
+        d += 1
+        level = cut(open_.join(edges, open_["id"] == edges["_parent"]).select(
             "root", F.col("_id").alias("id"), F.lit(d).alias("depth"), F.concat("path", F.array("_id")).alias("path"), F.col("_stop").alias("_end")
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        ))
         if level.isEmpty():
             break
-        out = out.unionByName(level)
-    else:
-        if depth is None and not level.isEmpty():
+        if depth is None and d > most:
             raise ValueError(f"more than {most} levels; give a depth")
+        out = out.unionByName(level)
     return out.drop("_end")
 
 
 def recurse_sql(df: DataFrame, root_sql: str, id_col: str, parent_col: str, include_root: bool = True, depth: int | None = None, stop_sql: str = "false") -> DataFrame:
-    """The same as one recursive common table expression, planned as a whole."""
+    """The same as one recursive common table expression, planned as a whole.
+
+    Spark bounds such an expression by levels and rows, and raises beyond; the bounds are its own
+    settings, ``spark.sql.cteRecursionLevelLimit`` (100) and ``spark.sql.cteRecursionRowLimit`` (1,000,000).
+    ``recurse`` has no bound of rows.
+    """
     spark = df.sparkSession
     limit = "" if depth is None else f"AND t.depth < {depth}"
     return spark.sql(
         f"""
         WITH RECURSIVE t(root, id, depth, path, ends) AS (
-          SELECT {id_col}, {id_col}, 0, array({id_col}), coalesce({stop_sql}, false) FROM {{d}} WHERE {root_sql}
+          SELECT {id_col}, {id_col}, 0, array({id_col}), {f'coalesce({stop_sql}, false)' if include_root else 'false'} FROM {{d}} WHERE {root_sql}
           UNION ALL
           SELECT t.root, d.{id_col}, t.depth + 1, concat(t.path, array(d.{id_col})), coalesce({stop_sql}, false)
           FROM t JOIN {{d}} d ON d.{parent_col} = t.id
