@@ -22,23 +22,67 @@ def repeat(x: Column, n: Column) -> Column:
     return F.call_function("repeat", x, n.cast("int"))
 
 
+def group_list(pattern: str) -> list[tuple[str | None, str]]:
+    """The capturing groups in order: name (or none) and what stands inside."""
+    found: list[list] = []
+    open_: list[int] = []
+    i, in_class = 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 2
+            continue
+        if in_class:
+            in_class += (c == "[") - (c == "]")
+        elif c == "[":
+            in_class = 1
+            # a bracket that comes first stands for itself
+            i += 1 + (pattern[i + 1 : i + 2] == "^")
+            i += pattern[i : i + 1] == "]"
+            continue
+        elif c == "(":
+            named = re.match(r"\(\?<([A-Za-z]\w*)>", pattern[i:])
+            if named or pattern[i + 1 : i + 2] != "?":
+                found.append([named and named[1], i + (named.end() if named else 1), None])
+                open_.append(len(found) - 1)
+            else:
+                open_.append(-1)
+        elif c == ")" and (k := open_.pop()) >= 0:
+            found[k][2] = i
+        i += 1
+    return [(name, pattern[a:z]) for name, a, z in found]
+
+
 def groups(pattern: str) -> int:
-    return re.compile(re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", pattern)).groups
+    return len(group_list(pattern))
 
 
 def group_names(pattern: str) -> list[str]:
-    return re.findall(r"\(\?<([A-Za-z]\w*)>", pattern)
+    return [name for name, _ in group_list(pattern) if name]
+
+
+def group_at(x: Column, pattern: str, k: int) -> Column:
+    """The k-th group of the first match; null if it took no part in it.
+
+    Spark gives an empty text for such a group, which is told from a match of nothing by whether
+    the group can match nothing at all.
+    """
+    value, inside = F.regexp_extract(x, pattern, k), group_list(pattern)[k - 1][1]
+    return F.when((value != "") | F.lit("").rlike(f"^(?:{inside})$"), value)
 
 
 def match(x: Column, pattern: str) -> Column:
     """The first match: its text, its one group, a list of groups, or a map of named ones; null without a match."""
-    names, n = group_names(pattern), groups(pattern)
+    found = group_list(pattern)
+    names = [(name, k) for k, (name, _) in enumerate(found, 1) if name]
     if names:
-        value = F.create_map(*(c for i, k in enumerate(names) for c in (F.lit(k), F.regexp_extract(x, pattern, i + 1))))
-    elif n <= 1:
-        value = F.regexp_extract(x, pattern, n)
+        value = F.create_map(*(c for name, k in names for c in (F.lit(name), group_at(x, pattern, k))))
+    elif not found:
+        value = F.regexp_extract(x, pattern, 0)
+    elif len(found) == 1:
+        value = group_at(x, pattern, 1)
     else:
-        value = F.array(*(F.regexp_extract(x, pattern, i + 1) for i in range(n)))
+        value = F.array(*(group_at(x, pattern, k) for k in range(1, len(found) + 1)))
     return F.when(x.rlike(pattern), value)
 
 

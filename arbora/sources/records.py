@@ -1,8 +1,8 @@
 """Text records: lines of log files put together to records, by a regular expression with named groups.
 
 A line that matches starts a record; lines that do not are added to the last group of the
-record before them in the same file. Order inside a file comes from its lines' positions, so
-files are read whole; give large logs as many files.
+record before them in the same file. Large files are read in splits: a line's number is its
+place in its split with the lines of the splits before, and so is the number of its record.
 """
 
 from __future__ import annotations
@@ -12,17 +12,17 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbora.functions.text import group_names
+from arbora.functions.text import group_list
 
 #: Formats by name (fixed values): one named group for each column, the last takes what follows.
 FORMATS = {
-    "tomcat.log": r"(?<timestamp>\S+ \S+) +(?<level>[A-Z]+) +\[(?<thread>[^\]]*)\] +(?<class>[\w.$]+)(?::(?<line>\d+))? *-? *(?<message>.*)",
-    "iiq.log": r"(?<timestamp>\S+ \S+) +(?<level>[A-Z]+) +(?<thread>\S+) +(?<class>[\w.$]+):(?<line>\d+) - (?<message>.*)",
-    "batch.log": r"(?<timestamp>\S+ \S+) +(?<level>[A-Z]+) +(?<server>\S+) +(?<job>\S+) +(?<message>.*)",
-    "access.log": r'(?<client>\S+) \S+ \S+ \[(?<timestamp>[^\]]+)\] "(?<method>\S+) (?<path>\S*)[^"]*" (?<status>\d+) (?<length>.*)',
-    "apache-error.log": r"\[(?<timestamp>[^\]]+)\] \[(?<category>[^\]]+)\] \[pid (?<pid>\d+)(?::tid (?<tid>\d+))?\](?: \[client (?<client>[^\]]+)\])?(?: (?<error>AH\d+):)? (?<message>.*)",
-    "meminfo.log": r"(?<timestamp>\S+ \S+) +(?<host>\S+) +max=(?<max>\S+) +total=(?<total>\S+) +free=(?<free>\S+) +used=(?<used>\S+) +available=(?<available>\S+) +cpu=(?<cpu>.*)",
-    "properties": r"(?<key>[^=#!\s][^=]*?)\s*=\s*(?<value>[^\\]*)(?<overflow>.*)",
+    "tomcat.log": r"(?<timestamp>[-:,T0-9]+) +(?<level>[A-Z]+) (?<thread>[^:]+) (?<class>[^:]*):(?<line>[^ ]*) - (?<message>.*)",
+    "iiq.log": r"A,(?<timestamp>[-:.T0-9]+),(?<level>[A-Z]+),iam,app,\[(?<thread>[^\]]+)\]-\((?<class>[^:]*):(?<line>[^\)]*)\):(?<message>.*)",
+    "batch.log": r"A,(?<timestamp>[-+:.T0-9]+),(?<level>[A-Z]+),(?<server>[^,]+),iiq-batch,(?<job>[^,]+),(?<message>.*)",
+    "access.log": r'(?<client>[^ ]+)[^\[]+\[(?<timestamp>[^\]]+)\] *"(?<method>[A-Z]+)? *(?<path>[^"]*)" *(?<status>[0-9]+) *(?<length>.+)',
+    "apache-error.log": r"\[(?<timestamp>[^\]]+)\] *\[(?<category>[^\]]+)\] *\[pid *(?<pid>[^:]+):tid *(?<tid>[^\]]+)\] *\[client *(?<client>[^\]]+)\] *(?<error>[^:]+): *(?<message>.*)",
+    "meminfo.log": r"\[(?<timestamp>[^]]+)\] host = (?<host>[^ ]+) / max memory = (?<max>[^ ]+) / total memory = (?<total>[^ ]+) / free memory = (?<free>[^ ]+) / used memory = (?<used>[^ ]+) / available memory = (?<available>[^ ]+) / cpu load = (?<cpu>[^ ]+) %",
+    "properties": r"(?<key>[^=]+)=(?<value>.*)(?<overflow>.*)",
     "plain": r"(?<line>.*)",
 }
 
@@ -34,16 +34,19 @@ def format_of(path: str) -> str:
 
 
 def lines(spark: SparkSession, paths: list[str] | str, most_files: int = 100) -> DataFrame:
-    """path, pos, line. Globs and .gz go by Hadoop; more than ``most_files`` files raise unless it is 0."""
-    whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    if most_files and (n := len(whole.inputFiles())) > most_files:
+    """path, split, pos, line. Globs and .gz go by Hadoop; more than ``most_files`` files raise unless it is 0."""
+    read = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", r"\r$", "").alias("line"), F.monotonically_increasing_id().alias("_at"))
+    if most_files and (n := len(read.inputFiles())) > most_files:
         raise ValueError(f"{n} files; at most {most_files} without most_files=0")
-    text = F.regexp_replace("value", r"\r?\n$", "")
-    return whole.select("path", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line"))
+    # lines of a split lie in one partition, in order; a row a split says where it begins
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = read.groupBy("path", "split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return read.join(splits, ["path", "split"]).select("path", "split", (F.col("_at") - F.col("_first") + F.col("_base")).alias("pos"), "line")
 
 
 def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: str = "", skip: int = 0, most: int = 0, with_path: bool = False, strict: int = 10_000) -> DataFrame:
-    """Records from (path, pos, line) rows.
+    """Records from (path, pos, line) rows, and ``split`` if a path's rows are to be numbered by several tasks.
 
     ``parser``: a format's name or a pattern. Lines before the first that has ``start`` and after
     the first that has ``stop`` (itself included in the sample) are left out, in each file.
@@ -51,34 +54,37 @@ def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: s
     """
     pattern = FORMATS.get(parser, parser)
     whole = f"^(?:{pattern})$"
-    names = group_names(pattern)
-    in_file = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    df = df.where(F.col("pos") >= skip)
-    if start:
-        df = df.withColumn("_on", F.max(F.col("line").rlike(start).cast("int")).over(in_file)).where("_on = 1").drop("_on")
-    if stop:
-        df = df.withColumn("_off", F.coalesce(F.max(F.col("line").rlike(stop).cast("int")).over(before), F.lit(0))).where("_off = 0").drop("_off")
-    head = F.col("line").rlike(whole)
-    df = df.withColumn("_head", head).withColumn("_n", F.sum(F.col("_head").cast("int")).over(in_file))
+    groups = [(name, k) for k, (name, _) in enumerate(group_list(pattern), 1) if name]
+    # names of its own, as a pattern's groups may have any
+    df = df.select(F.col("path").alias("_path"), (F.col("split") if "split" in df.columns else F.lit(0)).alias("_split"), F.col("pos").alias("_pos"), F.col("line").alias("_line")).where(F.col("_pos") >= skip)
+    for found, side in ((start, "from"), (stop, "to")):
+        if found:
+            first = df.where(F.col("_line").rlike(found)).groupBy("_path").agg(F.min("_pos").alias("_first"))
+            df = df.join(first, "_path", "inner" if side == "from" else "left")
+            df = df.where("_pos >= _first" if side == "from" else "_first IS NULL OR _pos <= _first").drop("_first")
+    df = df.withColumn("_head", F.col("_line").rlike(whole))
+    # the number of a line's record: heads of the splits before, and those in its own so far
+    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    heads = df.groupBy("_path", "_split").agg(F.sum(F.col("_head").cast("int")).alias("_n"))
+    heads = heads.select("_path", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = Window.partitionBy("_path", "_split").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.join(heads, ["_path", "_split"]).withColumn("_n", F.col("_base") + F.sum(F.col("_head").cast("int")).over(own))
     if strict:
-        none = (F.col("_n") == 0) & (F.col("pos") >= strict + skip)
+        none = (F.col("_n") == 0) & (F.col("_pos") >= strict + skip)
         df = df.withColumn("_n", F.when(none, F.raise_error(F.lit(f"no line of {strict} matches"))).otherwise(F.col("_n")))
     df = df.where("_n > 0")
-    grouped = df.groupBy("path", "_n").agg(
-        F.min("pos").alias("pos"), F.min_by("line", "pos").alias("_first"),
-        F.transform(F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("pos", "line")))), lambda s: s["line"]).alias("_more"),
+    grouped = df.groupBy("_path", "_n").agg(
+        F.min("_pos").alias("_pos"), F.min_by("_line", "_pos").alias("_first"),
+        F.transform(F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("_pos", "_line")))), lambda s: s["_line"]).alias("_more"),
     )
     if keep:
         grouped = grouped.where(F.col("_first").rlike(keep))
-    # one pass of the pattern for all groups
-    parts = F.split(F.regexp_replace("_first", whole, "\u0001".join(f"${i + 1}" for i in range(len(names)))), "\u0001")
-    grouped = grouped.withColumn("_parts", parts)
-    cols = [F.nullif(F.col("_parts")[i], F.lit("")).alias(n) for i, n in enumerate(names)]
-    last = F.concat_ws("\n", F.col("_parts")[len(names) - 1], F.when(F.size("_more") > 0, F.array_join("_more", "\n"))).alias(names[-1])
-    out = grouped.select("path", "pos", *cols[:-1], last).orderBy("path", "pos")
+    parts = [F.regexp_extract("_first", whole, k) for _, k in groups]
+    cols = [F.nullif(p, F.lit("")).alias(name) for p, (name, _) in zip(parts, groups, strict=True)]
+    last = F.concat_ws("\n", parts[-1], F.when(F.size("_more") > 0, F.array_join("_more", "\n"))).alias(groups[-1][0])
+    out = grouped.select("_path", "_pos", *cols[:-1], last).orderBy("_path", "_pos")
     out = out.limit(most) if most else out
-    return out.withColumnRenamed("path", "_").drop("pos") if with_path else out.drop("path", "pos")
+    return out.drop("_pos").withColumnRenamed("_path", "_") if with_path else out.drop("_path", "_pos")
 
 
 def parse_files(spark: SparkSession, paths: list[str] | str, parser: str = "", **options) -> DataFrame:
