@@ -8,16 +8,18 @@ frame the expression is compiled for.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from arbora.functions import color, text, time
 from arbora.lang import syntax
+from arbora.lang.filters import compile_filter
 from arbora.lang.macros import expand
-from arbora.operators import keyed, lookup
+from arbora.operators import keyed, lookup, ordered
 from arbora.operators.ordered import sort_array
 from arbora.operators.select import partition, select, switch
 
@@ -45,9 +47,12 @@ class Scope:
     catalog: dict = field(default_factory=dict)
     frame: list = field(default_factory=list)  # the DataFrame, if lookups may join to it
     cache: dict = field(default_factory=dict)
+    order: tuple[list[str], list[Column]] | None = None  # keys and order of rows, for what looks back
+    iteration: tuple[Scope, Value] | None = None  # the scope with a frame, and the collection this one is an element of
+    lookups: dict = field(default_factory=dict)
 
-    def inner(self, v: Value, name: str = "") -> Scope:
-        return Scope([*self.levels, (name, v)], self.parameters, self.catalog, [], self.cache)
+    def inner(self, v: Value, name: str = "", of: Value | None = None) -> Scope:
+        return Scope([*self.levels, (name, v)], self.parameters, self.catalog, [], self.cache, self.order, (self, of) if of and self.frame else None)
 
     @property
     def this(self) -> Value:
@@ -238,14 +243,14 @@ def _closing(source: str, at: int, end: str) -> int:
 def _element(v: Value, scope: Scope, source: str):
     """A function of an array's element, and its type."""
     kind = v.type.elementType
-    probe = compile_expr(source, scope.inner(Value(F.lit(None).cast(kind.simpleString()), kind)))
-    return (lambda e: compile_expr(source, scope.inner(Value(e, kind))).column), probe.type
+    probe = compile_expr(source, scope.inner(Value(F.lit(None).cast(kind.simpleString()), kind), of=v))
+    return (lambda e: compile_expr(source, scope.inner(Value(e, kind), of=v)).column), probe.type
 
 
 def _selector(v: Value, scope: Scope, source: str):
     from arbora.lang.rules import compile_selector
 
-    return lambda e: compile_selector(source, scope.inner(Value(e, v.type.elementType)))
+    return lambda e: compile_selector(source, scope.inner(Value(e, v.type.elementType), of=v))
 
 
 def _keys(raw: str) -> tuple[bool, list[str], str | None]:
@@ -256,6 +261,8 @@ def _keys(raw: str) -> tuple[bool, list[str], str | None]:
 
 def flattened(v: Value, levels: list[str], scope: Scope) -> Value:
     """Nested iteration inside a row; inner levels see outer elements as parents."""
+    if deep := _RECURSION.fullmatch(levels[0]):
+        return recursive(v, deep, levels[1:], scope)
     own = collection(compile_expr(levels[0], scope.inner(v) if v is not scope.this else scope))
     if len(levels) == 1:
         return own
@@ -269,6 +276,75 @@ def flattened(v: Value, levels: list[str], scope: Scope) -> Value:
     return Value(F.flatten(F.transform(own.column, inner)), kind)
 
 
+#: An expression that is applied to its own results again, with the root (*) or without (+), and a limit.
+_RECURSION = re.compile(r"(.*[\w)\]])\s*([*+])\s*(?:,\s*(.*))?", re.S)
+
+
+def recursive(v: Value, deep: re.Match, rest: list[str], scope: Scope) -> Value:
+    """Depth-first recursion over nested data: as deep as its type goes, which a schema bounds.
+
+    A number limits the levels; a selector says which elements are given, but not expanded. Levels
+    of different types keep the fields that all of them have.
+    """
+    source, mark, limit = deep[1], deep[2], (deep[3] or "").strip()
+    most = int(limit) if limit.isdigit() else None
+
+    def below(x: Value, s: Scope, depth: int, tested: bool = True) -> Value | None:
+        """Results for everything under x; a root that is not given is not tested either."""
+        if most is not None and depth >= most:
+            return None
+        try:
+            xs = collection(compile_expr(source, s))
+        except ValueError:  # the type has no such attribute: it ends here
+            return None
+        if isinstance(xs.type.elementType, T.NullType):
+            return None
+        if limit and most is None and tested:
+            from arbora.lang.rules import compile_selector
+
+            xs = Value(F.when(compile_selector(limit, s), F.array().cast(xs.type.simpleString())).otherwise(xs.column), xs.type)
+        return each(xs, s, depth + 1)
+
+    def each(xs: Value, s: Scope, depth: int) -> Value:
+        kind = xs.type.elementType
+        probe = Value(F.lit(None).cast(kind.simpleString()), kind)
+        t = node(probe, s.inner(probe), depth).type
+
+        def one(e):
+            x = Value(e, kind)
+            return node(x, s.inner(x), depth).column
+
+        return Value(F.flatten(F.transform(xs.column, one)), t)
+
+    def node(x: Value, s: Scope, depth: int) -> Value:
+        own = flattened(x, rest, s) if rest else Value(F.array(x.column if x.column is not None else F.struct(*x.type.names)), T.ArrayType(x.type))
+        more = below(x, s, depth)
+        if more is None:
+            return own
+        t = _common(own.type.elementType, more.type.elementType)
+        return Value(F.concat(_only(own, t).column, _only(more, t).column), T.ArrayType(t))
+
+    s = scope if v is scope.this else scope.inner(v)
+    if mark == "*":
+        return node(v, s, 0)
+    out = below(v, s, 0, tested=False)
+    if out is None:
+        raise ValueError(f"{source} leads nowhere from {v.type.simpleString()}")
+    return out
+
+
+def _common(a: T.DataType, b: T.DataType) -> T.DataType:
+    if a == b or not (isinstance(a, T.StructType) and isinstance(b, T.StructType)):
+        return a
+    return T.StructType([f for f in a.fields if any(g.name == f.name and g.dataType == f.dataType for g in b.fields)])
+
+
+def _only(xs: Value, kind: T.DataType) -> Value:
+    if xs.type.elementType == kind or not isinstance(kind, T.StructType):
+        return xs
+    return Value(F.transform(xs.column, lambda e: F.struct(*(e[n].alias(n) for n in kind.names))), T.ArrayType(kind))
+
+
 def instruct(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
     name, raw = node.name, node.raw
     kind = v.type.simpleString()
@@ -353,22 +429,50 @@ def instruct(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
         stops = [s.partition("=") for s in syntax.split(raw or "")]
         return Value(color.heat(v.column, tuple((c.strip(), float(n or 100 * i)) for i, (c, _, n) in enumerate(stops)) or color.DEFAULT), S)
     if name in ("cache", "recache", "swapcache"):
-        key, _, source = raw.partition(",")
-        if source:
-            scope.cache[key.rstrip("?")] = compile_expr(source, scope)
-        elif key.rstrip("?") not in scope.cache and not key.endswith("?"):
-            raise ValueError(f"nothing is kept under {key}")
-        return scope.cache.get(key.rstrip("?"), null())
-    if name in ("toXml", "pprint"):
-        return Value(F.to_json(v.column, {"pretty": "true"} if name == "pprint" else {}), S)
+        return kept(name, raw, scope)
+    if name == "pprint":
+        return Value(F.to_json(v.column, {"pretty": "true"}), S)
+    if name == "toXml":
+        if not isinstance(v.type, T.StructType):
+            raise ValueError(f"toXml needs an object, not {kind}")
+        column = F.struct(*v.type.names) if v.column is None else v.column
+        return Value(F.to_xml(column, {"rowTag": raw or "ROW"}), S)
     if name == "parseXml":
-        return Value(F.from_json(v.column, T.MapType(S, S)), T.MapType(S, S))
+        if not raw:
+            raise ValueError("parseXml needs the object's type, such as parseXml(id INT, name STRING)")
+        return Value(F.from_xml(v.column, F.lit(raw)), T.StructType.fromDDL(raw))
     if name == "inspect":
         parts = [lv.column.cast("string") for _, lv in reversed(scope.levels) if lv.column is not None]
         return Value(F.concat_ws(raw or " < ", *parts), S)
     raise ValueError(f"no instruction {name}")
 
 
+def kept(name: str, raw: str, scope: Scope) -> Value:
+    """``cache`` keeps the first value under a key, ``recache`` the latest; ``swapcache`` gives the one before.
+
+    Within a row that is the value kept earlier in its expressions. Without one, ``swapcache`` looks
+    back to the row before, for which the scope needs an order of rows.
+    """
+    key, _, source = raw.partition(",")
+    optional, key = key.endswith("?"), key.rstrip("?")
+    before = scope.cache.get(key)
+    if not source:
+        if before is None and not optional:
+            raise ValueError(f"nothing is kept under {key}")
+        return before or null()
+    if name == "cache" and before is not None:
+        return before
+    value = compile_expr(source, scope)
+    scope.cache[key] = value
+    if name != "swapcache":
+        return value
+    if before is not None:
+        return before
+    if scope.order is None:
+        raise ValueError(f"swapcache({key}, ...) needs an order of rows, or a value kept before")
+    return Value(ordered.previous(value.column, *scope.order), value.type)
+
+
 def keyed_map(name: str, xs: Value, raw: str | None, scope: Scope) -> Value:
     """Nested maps of counts, lists or single values by the keys of a collection's elements."""
     ordered, keys, mapper = _keys(raw) if raw else (False, ["@"], None)
@@ -428,60 +532,143 @@ def branched(name: str, v: Value, args: list[str], scope: Scope) -> Value:
     return Value((switch if name == "switch" else partition)(v.column, cases, default), kind)
 
 
-def entity(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
-    """A lookup by name joins the entity's table to the frame; by id or name, or by ``attr==$"expr"``."""
-    if not scope.frame:
-        raise ValueError(f"a lookup of {node.name} needs a frame; unnest first")
-    e = scope.catalog[node.name]
-    df, n = scope.frame[0], len([c for c in scope.frame[0].columns if c.startswith("_lookup")])
-    into, rows = f"_lookup{n}", e.rows
-    values = rows.columns
-    raw = (node.raw or "").strip()
+@dataclass
+class _Search:
+    """What ``:Class(...)`` asks for: conditions on attributes, fixed filters, and the form of the answer."""
+
+    keys: list[tuple[str, str, str]]
+    fixed: list[str]
+    values: list[str]
+    count: bool
+    many: bool
+    order: list[str]
+    limit: int | None
+
+
+def _search(raw: str, e: Entity) -> _Search:
+    raw, values = raw.strip(), e.rows.columns
     count, many = raw.startswith("?"), raw.startswith("[")
-    raw = raw.strip("?[]>")
+    raw = raw.removeprefix("?").removeprefix("[").removesuffix("]").removeprefix(">").strip()
     if raw.startswith("{"):
         names, _, raw = raw[1:].partition("}")
         values = [x.strip() for x in names.split(",")]
-    if not node.raw:
-        key = f"_key{n}"
-        df = lookup.lookup_by_id_or_name(df.withColumn(key, v.column), rows.select(F.col(e.id), F.col(e.name), F.struct(*values).alias(into)).alias("r"), key, e.id, e.name, [into]).drop(key)
-        scope.frame[0] = df
-        return Value(F.col(into), rows.select(F.struct(*values).alias(into)).schema[into].dataType)
-    import re
-
     bits = syntax.split(raw)
-    hit = re.fullmatch(r'(\w+)\s*==\s*\$"([^"]*)"', bits[0])
-    if not hit:
-        raise ValueError(f"a lookup needs the form attr==$\"expr\": {raw}")
-    key = f"_key{n}"
-    df = df.withColumn(key, compile_expr(hit[2], scope).column)
-    right = rows.select(F.col(hit[1]), F.struct(*values).alias(into), *[c for c in rows.columns if c != hit[1]])
-    keys = {key: hit[1]}
-    item = rows.select(F.struct(*values).alias(into)).schema[into].dataType
-    if count:
-        df, kind = lookup.lookup_count(df, right, keys, into), T.LongType()
-    elif many:
-        from arbora.operators.ordered import sort_keys
-
-        limit = next((int(b) for b in bits[1:] if b.isdigit()), None)
-        order = [b for b in bits[1:] if not b.isdigit()] or [e.id]
-        if limit == 1:
-            df, kind = lookup.lookup_first(df, right.select(hit[1], into, *[o.split()[0] for o in order if o.split()[0] != hit[1]]), keys, sort_keys(*order), 1, "_f_"), item
-            df = df.withColumn(into, F.col(f"_f_{into}")).drop(*(c for c in df.columns if c.startswith("_f_")))
+    keys, fixed = [], []
+    for part in filter(None, map(str.strip, _conjuncts(bits[0] if bits else ""))):
+        hit = re.fullmatch(r'(\w+)\s*(==|!=|<=|>=|<|>)\s*\$"([^"]*)"', part)
+        keys.append(hit.groups()) if hit else fixed.append(part)
+    limit = next((int(b) for b in bits[1:] if b.isdigit()), None)
+    return _Search(keys, fixed, values, count, many, [b for b in bits[1:] if not b.isdigit()] or [e.id], limit)
+
+
+def _conjuncts(text: str) -> list[str]:
+    """Parts between ``&&`` outside of brackets and quotes."""
+    out, depth, at = [""], 0, 0
+    for m in re.finditer(r'"(?:[^"\\]|\\.)*"|&&|[({\[]|[)}\]]|.', text, re.S):
+        depth += (m[0] in "({[") - (m[0] in ")}]")
+        if m[0] == "&&" and not depth:
+            out.append("")
         else:
-            df, kind = lookup.lookup_list(df, right, keys, F.col(into), [o.split()[0] for o in order], into), T.ArrayType(item)
-            if limit:
-                df = df.withColumn(into, F.slice(into, 1, limit))
-    else:
-        df, kind = lookup.unique_or_null(df, right, keys, [into], "_u_"), item
-        df = df.withColumn(into, F.col(f"_u_{into}")).drop(*(c for c in df.columns if c.startswith("_u_")))
-    scope.frame[0] = df.drop(key)
-    out = Value(F.col(into), kind)
-    if len(values) == 1 and isinstance(kind, T.StructType):
-        return Value(out.column.getField(values[0]), kind[0].dataType)
+            out[-1] += m[0]
     return out
 
 
+_COMPARE = {"==": Column.__eq__, "!=": Column.__ne__, "<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__}
+
+
+def _answer(rows: DataFrame, names: list[str], q: _Search, item: T.DataType, into: str) -> tuple[DataFrame, T.DataType]:
+    """For each combination of ``names``: the number of rows, the rows in order, the first, or the only one."""
+    value = F.struct(*q.values)
+    if q.count:
+        return rows.groupBy(*names).agg(F.count("*").alias(into)), T.LongType()
+    if not q.many:
+        one = rows.groupBy(*names).agg(F.count("*").alias("_n"), F.first(value).alias(into)).where("_n = 1")
+        return one.drop("_n"), item
+    place = Window.partitionBy(*(names or [F.lit(0)])).orderBy(*ordered.sort_keys(*q.order))
+    found = rows.select(*names, value.alias("_v"), F.row_number().over(place).alias("_rn"))
+    found = found.where(F.col("_rn") <= q.limit) if q.limit else found
+    if q.limit == 1:
+        return found.select(*names, F.col("_v").alias(into)), item
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_rn", "_v"))), lambda x: x["_v"])
+    return found.groupBy(*names).agg(listed.alias(into)), T.ArrayType(item)
+
+
+def _absent(column: Column, kind: T.DataType, q: _Search) -> Column:
+    """No match: none, an empty list, or null."""
+    if q.count:
+        return F.coalesce(column, F.lit(0).cast("long"))
+    return F.coalesce(column, F.array().cast(kind.simpleString())) if isinstance(kind, T.ArrayType) else column
+
+
+def entity(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
+    """A lookup by name joins the entity's table to the frame: by id or name, or by a filter.
+
+    The filter's parts ``attr op $"expr"`` compare with the object at hand, others are fixed. Inside
+    an iteration the elements' keys are joined once for all rows that have the same ones.
+    """
+    owner, elements = (scope, None) if scope.frame else scope.iteration or (None, None)
+    if owner is None:
+        raise ValueError(f"a lookup of {node.name} needs a frame or an iteration over its rows; unnest first")
+    e = scope.catalog[node.name]
+    n = len([c for c in owner.frame[0].columns if c.startswith("_lookup")])
+    into = f"_lookup{n}"
+    if not node.raw:
+        if elements is not None:
+            raise ValueError(f"inside an iteration, look {node.name} up by {e.id}==$\"...\"")
+        key = f"_key{n}"
+        found = e.rows.select(F.col(e.id), F.col(e.name), F.struct(*e.rows.columns).alias(into)).alias("r")
+        owner.frame[0] = lookup.lookup_by_id_or_name(owner.frame[0].withColumn(key, v.column), found, key, e.id, e.name, [into]).drop(key)
+        return Value(F.col(into), T.StructType(e.rows.schema.fields))
+    q = _search(node.raw, e)
+    item = T.StructType([e.rows.schema[c] for c in q.values])
+    rows = e.rows
+    for part in q.fixed:
+        rows = rows.where(compile_filter(part))
+    out = _in_iteration(node, scope, owner, elements, q, rows, item, into) if elements is not None else _in_frame(owner, q, rows, item, into)
+    if len(q.values) == 1 and isinstance(out.type, T.StructType):
+        return Value(out.column.getField(q.values[0]), out.type[0].dataType)
+    return out
+
+
+def _matches(probe: DataFrame, names: list[str], rows: DataFrame, q: _Search) -> tuple[DataFrame, list[str]]:
+    """Rows with the columns they are found by; plain equality needs no join with what is looked for."""
+    if all(op == "==" for _, op, _ in q.keys):
+        return rows.select("*", *(F.col(a).alias(n) for n, (a, _, _) in zip(names, q.keys, strict=True))), names
+    on = [_COMPARE[op](rows[a], probe[n]) for n, (a, op, _) in zip(names, q.keys, strict=True)]
+    return probe.select(*names).distinct().join(rows, on), names
+
+
+def _in_frame(owner: Scope, q: _Search, rows: DataFrame, item: T.DataType, into: str) -> Value:
+    names = [f"_key{into}_{i}" for i in range(len(q.keys))]
+    columns = [compile_expr(text, owner).column for _, _, text in q.keys]  # this may join to the frame
+    df = owner.frame[0].withColumns(dict(zip(names, columns, strict=True)))
+    found, kind = _answer(*_matches(df, names, rows, q), q, item, into)
+    df = df.join(found, names, "left") if names else df.crossJoin(F.broadcast(found.agg(F.first(into).alias(into))))  # one row
+    owner.frame[0] = df.drop(*names).withColumn(into, _absent(F.col(into), kind, q))
+    return Value(F.col(into), kind)
+
+
+def _in_iteration(node: syntax.Instruction, scope: Scope, owner: Scope, elements: Value, q: _Search, rows: DataFrame, item: T.DataType, into: str) -> Value:
+    kind = elements.type.elementType
+
+    def key(e):
+        s = Scope([*owner.levels, (scope.levels[-1][0], Value(e, kind))], owner.parameters, owner.catalog)
+        return F.struct(*(compile_expr(text, s).column.alias(f"k{i}") for i, (_, _, text) in enumerate(q.keys)))
+
+    memo = (node.name, node.raw, str(elements.column))
+    if memo not in owner.lookups:
+        df = owner.frame[0].withColumn("_keys", F.array_sort(F.array_distinct(F.transform(elements.column, key))))
+        sets, names = df.select("_keys").distinct(), [f"k{i}" for i in range(len(q.keys))]
+        probe = sets.select(F.explode("_keys").alias("k")).distinct().select("k.*")
+        found, answer = _answer(*_matches(probe, names, rows, q), q, item, into)
+        back = sets.select("_keys", F.explode("_keys").alias("k")).select("_keys", "k", "k.*").join(found, names)
+        back = back.groupBy("_keys").agg(F.map_from_entries(F.collect_list(F.struct("k", into))).alias(into))
+        owner.frame[0] = df.join(back, "_keys", "left").drop("_keys")
+        owner.lookups[memo] = into, answer
+    into, answer = owner.lookups[memo]
+    return Value(_absent(F.try_element_at(F.col(into), key(scope.this.column)), answer, q), answer)
+
+
 def select_text(df: DataFrame, *lines: str, name: str = "", macros: dict | None = None, **more) -> DataFrame:
     """Output columns from lines of ``[name=]expression``; the default name is the text."""
     scope, out = of(df, name, **more), []
