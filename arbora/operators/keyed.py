@@ -97,6 +97,18 @@ def put(df: DataFrame, updates: DataFrame, keys: list[str], value: str = "value"
     return overlay(df, updates, keys, value)
 
 
+def peek(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """The first leaf in the order of the keys, and how deep it lies."""
+    return df.orderBy(*(F.col(k).asc_nulls_first() for k in keys)).limit(1).select(value, F.lit(len(keys)).alias("depth"))
+
+
+def counters(df: DataFrame, *keys: str) -> DataFrame:
+    """level, n: how many different key paths there are on each level, and (level 0) how many records."""
+    prefixes = [F.struct(*keys[: i + 1]) for i in range(len(keys))]
+    counted = df.agg(F.count("*").alias("n0"), *(F.count_distinct(p).alias(f"n{i + 1}") for i, p in enumerate(prefixes)))
+    return counted.select(F.posexplode(F.array(*counted.columns)).alias("level", "n"))
+
+
 # Aggregates over an array: nulls are skipped, an empty or all-null array gives null.
 
 

@@ -63,3 +63,11 @@ def transpose(df: DataFrame, row: str, column: str) -> DataFrame:
 def tree_path(keys: list[str], glue: str = "/") -> Column:
     """Keys from the entry up to the root."""
     return F.concat_ws(glue, *reversed(keys))
+
+
+def cell_context(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
+    """Each cell with the sums of its row, its column and the whole matrix."""
+    rows = df.groupBy(row).agg(F.sum(value).alias("of_row"))
+    columns = df.groupBy(column).agg(F.sum(value).alias("of_column"))
+    whole = df.agg(F.sum(value).alias("of_matrix"))  # one row
+    return df.join(rows, row).join(columns, column).crossJoin(F.broadcast(whole))

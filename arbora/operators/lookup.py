@@ -75,11 +75,16 @@ def key_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.distinct().exceptAll(right.distinct())
 
 
-def free_iteration(*sides: DataFrame) -> DataFrame:
-    """All combinations of small dimension tables."""
+def free_iteration(*sides: DataFrame, most: int = 100_000) -> DataFrame:
+    """All combinations of small dimension tables; sides of more than ``most`` rows together raise, but for the first."""
+    rows = 1
+    for s in sides[1:]:
+        rows *= max(1, s.limit(most + 1).count())
+        if rows > most:
+            raise ValueError(f"more than {most} combinations for each row; join by a key instead")
     out = sides[0]
     for s in sides[1:]:
-        out = out.crossJoin(s)
+        out = out.crossJoin(F.broadcast(s))
     return out
 
 

@@ -53,6 +53,12 @@ def _source(spark: SparkSession, q: Query) -> DataFrame:
     elif q.source.startswith("Rule:"):
         args = {n[0]: syntax.Parser(v).literal().value for n, v in map(syntax.assignment, _lines(q.filter))}
         return sources.call(spark, q.source[5:].strip(), **args)
+    elif q.source == "Expression":
+        return _of_expression(spark, q)
+    elif q.source == "ResourceObject":
+        head, *more = _lines(q.filter)
+        application, _, kind = (x.strip() for x in head.partition(":"))
+        return sources.resources(spark, application, kind, **{n.strip(): v.strip() for n, _, v in (line.partition("=") for line in more)})
     else:
         df = spark.table(q.source) if "/" not in q.source else spark.read.parquet(q.source)
     if q.filter:
@@ -60,6 +66,14 @@ def _source(spark: SparkSession, q: Query) -> DataFrame:
     return df.orderBy(*sources.sort_keys(*q.ordering.split(","))) if q.ordering else df
 
 
+def _of_expression(spark: SparkSession, q: Query) -> DataFrame:
+    """The elements of an expression's result: objects as rows, other values in one column."""
+    s = expr.of(spark.range(1).select(), parameters=q.parameters, catalog=q.catalog)
+    items = expr.collection(expr.compile_expr(q.filter, s, q.macros))
+    df = s.frame[0].select(F.explode(items.column).alias("value"))
+    return df.select("value.*") if df.schema[0].dataType.typeName() == "struct" else df
+
+
 def plan(spark: SparkSession, q: Query) -> tuple[DataFrame, list[str]]:
     """The result's rows, and the key columns if it is grouped."""
     df = _source(spark, q)

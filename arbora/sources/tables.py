@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,42 @@ def connector(spark: SparkSession, fmt: str, path: str | None = None, max_object
     return df.limit(max_objects) if max_objects else df
 
 
+#: Applications by name: a data source's format, the folder or table prefix its kinds lie below, and options.
+APPLICATIONS: dict[str, tuple[str, str, dict]] = {}
+
+
+def application(name: str, fmt: str, root: str, **options) -> None:
+    APPLICATIONS[name] = fmt, root, options
+
+
+def resources(spark: SparkSession, name: str, kind: str, **overrides) -> DataFrame:
+    """The objects of one kind in a registered application; overrides go before its own options."""
+    fmt, root, options = APPLICATIONS[name]
+    return connector(spark, fmt, f"{root.rstrip('/')}/{kind}" if kind else root, **(options | overrides))
+
+
+@dataclass
+class Reference:
+    """Where a dotted name leads: rows, the column that names them (or an array of such), and their key."""
+
+    rows: DataFrame
+    by: str
+    key: str
+
+
+def attributes_joined(df: DataFrame, names: str, references: dict[str, Reference]) -> DataFrame:
+    """Columns by name; ``ref.name`` joins the referenced rows, outer: a row without any stays, with null, and one with several stands for each."""
+    wanted = [x.strip() for x in names.split(",") if x.strip()]
+    for ref in dict.fromkeys(n.split(".")[0] for n in wanted if "." in n):
+        r = references[ref]
+        own = f"_{ref}"
+        by = F.explode_outer(r.by) if dict(df.dtypes)[r.by].startswith("array") else F.col(r.by)
+        fields = list(dict.fromkeys(n.split(".", 1)[1] for n in wanted if n.startswith(f"{ref}.")))
+        rows = r.rows.select(F.col(r.key).alias(own), F.struct(*fields).alias(f"_of_{ref}"))
+        df = df.withColumn(own, by).join(rows, own, "left")
+    return df.select(*(F.col(f"_of_{n.split('.')[0]}")[n.split(".", 1)[1]].alias(n) if "." in n else F.col(n) for n in wanted))
+
+
 def literals(spark: SparkSession, *values) -> DataFrame:
     return spark.createDataFrame([(v,) for v in values], ["value"])
 
