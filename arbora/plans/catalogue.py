@@ -289,10 +289,10 @@ def interval_join(spark, d):
 
 
 @query("""SELECT coalesce(c.k, s.k) AS n_nationkey, c.n AS customer_n, s.n AS supplier_n, c.b IS DISTINCT FROM s.b AS differs FROM
-(SELECT c_nationkey AS k, count(*) AS n, count(*) > 60 AS b FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c FULL JOIN
+(SELECT c_nationkey AS k, count(*) AS n, count(*) > 60 AS b FROM customer GROUP BY 1) c FULL JOIN
 (SELECT s_nationkey AS k, count(*) AS n, count(*) > 60 AS b FROM supplier GROUP BY 1) s ON c.k = s.k""")
 def correlate_sources(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), (F.count("*") > 60).alias("b"))
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), (F.count("*") > 60).alias("b"))
     s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"), (F.count("*") > 60).alias("b"))
     out = lookup.correlate({"customer": c, "supplier": s}, "n_nationkey")
     return out.select("n_nationkey", "customer_n", "supplier_n", (~F.col("customer_b").eqNullSafe(F.col("supplier_b"))).alias("differs"))
@@ -426,18 +426,9 @@ def transpose(spark, d):
     return levels.transpose(keyed.count_by(table(spark, d, "orders"), F.col("o_orderstatus"), F.col("o_orderpriority")), "o_orderstatus", "o_orderpriority")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS value FROM (SELECT c_custkey AS k, 1.0::DOUBLE AS v FROM customer WHERE c_custkey % 2 = 0) a
-FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k""")
-def overlay_merge(spark, d):
-    c = table(spark, d, "customer")
-    a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.lit(1.0).alias("value"))
-    b = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("value"))
-    return keyed.overlay(a, b, ["k"])
-
-
 @query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.day, b.day) AS day, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS value FROM (SELECT o_custkey AS k, o_orderdate::DATE AS day, max(o_totalprice) AS v FROM orders GROUP BY ALL) a
 FULL JOIN (SELECT o_custkey AS k, l_shipdate::DATE AS day, max(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) b ON a.k = b.k AND a.day = b.day""")
-def overlay_merge_all(spark, d):
+def overlay_merge(spark, d):
     o = table(spark, d, "orders", "o_orderkey", F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
     l = table(spark, d, "lineitem", "l_orderkey", F.to_date("l_shipdate").alias("day"), "l_returnflag", "l_quantity")
     a = o.groupBy("k", "day").agg(F.max("o_totalprice").alias("value"))
@@ -445,18 +436,10 @@ def overlay_merge_all(spark, d):
     return keyed.overlay(a, b, ["k", "day"])
 
 
-@query("""WITH p AS (SELECT c_nationkey::VARCHAR AS a, c_mktsegment AS b, min(c_custkey) AS v FROM customer WHERE c_custkey < 40 GROUP BY ALL),
-f AS (SELECT a, count(*) AS n FROM p GROUP BY a) SELECT CASE WHEN n = 1 THEN a || '/' || b ELSE a || '|' || b END AS path, v FROM p JOIN f USING (a)""")
-def compress_paths(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 40").groupBy(F.col("c_nationkey").cast("string").alias("a"), F.col("c_mktsegment").alias("b")).agg(F.min("c_custkey").alias("v"))
-    out = keyed.compress(c.select(F.array("a", "b").alias("path"), "v"), "path", "v")
-    return out.select(text.join(F.col("path"), "|").alias("path"), "v")
-
-
 @query("""WITH p AS (SELECT o_custkey::VARCHAR AS a, l_orderkey::VARCHAR AS b, l_linenumber::VARCHAR AS c, count(*) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL),
 f AS (SELECT a, b, count(*) AS lines FROM p GROUP BY ALL), g AS (SELECT *, count(*) OVER (PARTITION BY a) AS orders FROM f)
 SELECT a || CASE WHEN orders = 1 THEN '/' ELSE '|' END || b || CASE WHEN lines = 1 THEN '/' ELSE '|' END || c AS path, v FROM p JOIN g USING (a, b)""")
-def compress_paths_all(spark, d):
+def compress_paths(spark, d):
     j = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     leaves = j.groupBy("o_custkey", "l_orderkey", "l_linenumber").agg(F.count("*").alias("v"))
     path = F.array(*(F.col(c).cast("string") for c in ("o_custkey", "l_orderkey", "l_linenumber")))
@@ -508,16 +491,9 @@ def level_post(spark, d):
     return out
 
 
-@query("""SELECT a, b FROM (SELECT a, b, count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1 AS alone FROM
-(SELECT DISTINCT l_partkey % 300 AS a, l_suppkey % 700 AS b FROM lineitem WHERE l_orderkey < 300)) WHERE NOT alone""")
-def standalone_cells(spark, d):
-    cells = table(spark, d, "lineitem").where("l_orderkey < 300").select((F.col("l_partkey") % 300).alias("a"), (F.col("l_suppkey") % 700).alias("b")).distinct()
-    return levels.not_standalone(cells, "a", "b")
-
-
 @query("""SELECT a, b FROM (SELECT a, b, count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1 AS alone FROM
 (SELECT DISTINCT l_orderkey AS a, l_extendedprice AS b FROM lineitem)) WHERE NOT alone""")
-def standalone_cells_all(spark, d):
+def standalone_cells(spark, d):
     cells = table(spark, d, "lineitem", F.col("l_orderkey").alias("a"), F.col("l_extendedprice").alias("b")).distinct()
     return levels.not_standalone(cells, "a", "b")
 
@@ -558,15 +534,8 @@ def run_pairing(spark, d):
     return ordered.pair(e, F.col("event_type") == "view", F.col("event_type") == "purchase", "ts", ["user_id"], [F.col("ts"), F.col("event_id")]).select("event_id", "ended")
 
 
-@query(f"""SELECT p_partkey, row_number() OVER (ORDER BY brand DESC NULLS FIRST, size NULLS FIRST, p_partkey) AS rn FROM {NULLABLE} ORDER BY rn LIMIT 100""")
-def sort_nulls_first(spark, d):
-    df = ordered.sort(_nullable(spark, d), "brand desc", "size", "p_partkey").limit(100)
-    rows = df.agg(F.collect_list("p_partkey").alias("ks"))
-    return rows.select(F.posexplode("ks").alias("i", "p_partkey")).select("p_partkey", (F.col("i") + 1).cast("long").alias("rn"))
-
-
 @query(f"""SELECT p_partkey, row_number() OVER (ORDER BY brand DESC NULLS FIRST, size NULLS FIRST, p_partkey) AS rn FROM {NULLABLE}""")
-def sort_nulls_first_all(spark, d):
+def sort_nulls_first(spark, d):
     return ordered.numbered(_nullable(spark, d), "brand desc", "size", "p_partkey").select("p_partkey", "rn")
 
 
@@ -585,9 +554,9 @@ def union_bag(spark, d):
     return sets.union(table(spark, d, "customer", F.col("c_nationkey").alias("k")), table(spark, d, "supplier", F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 9500 INTERSECT SELECT s_nationkey FROM supplier")
+@query("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def intersect_keys(spark, d):
-    return sets.intersect(table(spark, d, "customer").where("c_acctbal > 9500").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier", F.col("s_nationkey").alias("k")))
+    return sets.intersect(table(spark, d, "customer", F.col("c_nationkey").alias("k")), table(spark, d, "supplier", F.col("s_nationkey").alias("k")))
 
 
 # Scalars.
@@ -606,9 +575,9 @@ def date_offset(spark, d):
     return table(spark, d, "orders").select("o_orderkey", time.moved(t, "-2M").cast("timestamp_ntz").alias("a"), time.moved(t, "+3d").cast("timestamp_ntz").alias("b"), time.plus_seconds(t, F.lit(90)).cast("timestamp_ntz").alias("c"))
 
 
-@query("""SELECT event_id, (epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000) // 1000 AS s FROM events WHERE ts >= TIMESTAMP '2024-01-01 00:00:00'""")
+@query("""SELECT event_id, (epoch_us(ts) // 1000 - epoch_us(TIMESTAMP '2024-01-01 00:00:00') // 1000) // 1000 AS s FROM events""")
 def date_diff(spark, d):
-    return table(spark, d, "events").where("ts >= TIMESTAMP_NTZ '2024-01-01 00:00:00'").select("event_id", time.seconds_between(F.col("ts"), time.literal("2024-01-01")).alias("s"))
+    return table(spark, d, "events").select("event_id", time.seconds_between(F.col("ts"), time.literal("2024-01-01")).alias("s"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 120 MINUTE THEN strftime(o_orderdate, '%Y-%m-%d %H:%M') WHEN o_orderdate >= TIMESTAMP '1998-08-01' - INTERVAL 2 DAY THEN strftime(o_orderdate, '%Y-%m-%d %H')
@@ -658,15 +627,40 @@ def sql_clauses(spark, d):
     return tables.sql(spark, "l_returnflag AS flag, count(*) AS n", "lineitem_source", "l_quantity > 10", "l_returnflag", "count(*) > 5", "flag", max_rows=2)
 
 
-@query("""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS timestamp, upper(event_type) AS level, 's' || (user_id % 5)::VARCHAR AS server, 'job' || user_id::VARCHAR AS job,
+def _as_log(e, head, more=None):
+    """Lines as logs would hold them, in as many files as there are hundreds of events."""
+    lines = F.array_compact(F.array(F.struct((F.col("event_id") * 2).alias("pos"), head.alias("line")), *([F.when(more.isNotNull(), F.struct((F.col("event_id") * 2 + 1).alias("pos"), more.alias("line")))] if more is not None else [])))
+    return e.select(F.floor(F.col("event_id") / 100).cast("string").alias("path"), F.explode(lines).alias("x")).select("path", "x.pos", "x.line")
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, upper(event_type) AS level, 's' || (user_id % 5)::VARCHAR AS server, 'job' || user_id::VARCHAR AS job,
 'value ' || event_id::VARCHAR || CASE WHEN event_id % 3 = 0 THEN chr(10) || '  at line ' || event_id::VARCHAR ELSE '' END AS message FROM events""")
 def log_records(spark, d):
     e = table(spark, d, "events")
-    head = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.upper("event_type"), F.concat(F.lit("s"), F.col("user_id") % 5), F.concat(F.lit("job"), F.col("user_id")), F.concat(F.lit("value "), F.col("event_id")))
+    head = F.concat_ws(",", F.lit("A"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.upper("event_type"), F.concat(F.lit("s"), F.col("user_id") % 5), F.lit("iiq-batch"), F.concat(F.lit("job"), F.col("user_id")), F.concat(F.lit("value "), F.col("event_id")))
     more = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("  at line "), F.col("event_id")))
-    # lines as a log would hold them, in as many files as there are hundreds of events
-    lines = e.select(F.floor(F.col("event_id") / 100).cast("string").alias("path"), F.explode(F.array_compact(F.array(F.struct((F.col("event_id") * 2).alias("pos"), head.alias("line")), F.when(more.isNotNull(), F.struct((F.col("event_id") * 2 + 1).alias("pos"), more.alias("line")))))).alias("x")).select("path", "x.pos", "x.line")
-    return records.records(lines, "batch.log", strict=0)
+    return records.records(_as_log(e, head, more), "batch.log", strict=0)
+
+
+@query("""SELECT 'A' AS kind, 'INFO' AS a, event_type AS b, 'm' || event_id::VARCHAR AS c FROM events UNION ALL SELECT 'B', CASE WHEN event_id % 2 = 0 THEN 'GET' END, '/p/' || event_id::VARCHAR, user_id::VARCHAR FROM events
+UNION ALL SELECT 'C', 'h' || user_id::VARCHAR, event_id::VARCHAR, '7.5' FROM events UNION ALL SELECT 'D', event_type, 'core:error', '12' FROM events
+UNION ALL SELECT 'E', 'k' || event_id::VARCHAR, 'a=' || user_id::VARCHAR, NULL FROM events UNION ALL SELECT 'F', event_type, 'w ' || user_id::VARCHAR, 'x.Y' FROM events""")
+def log_formats(spark, d):
+    e, text_of = table(spark, d, "events"), lambda *xs: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in xs))
+    i, u, t = F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.col("event_type")
+    cases = (
+        ("A", "iiq.log", text_of("A,2024-01-01T10:00:00.000,INFO,iam,app,[main]-(", t, ":", i, "):m", i), ("level", "class", "message")),
+        ("B", "access.log", text_of("10.0.0.1 - - [01/Jan/2024] \"", F.when(F.col("event_id") % 2 == 0, "GET ").otherwise(""), "/p/", i, "\" 200 ", u), ("method", "path", "length")),
+        ("C", "meminfo.log", text_of("[2024-01-01] host = h", u, " / max memory = ", i, " / total memory = 1 / free memory = 2 / used memory = 3 / available memory = 4 / cpu load = 7.5 %"), ("host", "max", "cpu")),
+        ("D", "apache-error.log", text_of("[now] [core:error] [pid 12:tid 13] [client 10.0.0.1] AH1: ", t), ("message", "category", "pid")),
+        ("E", "properties", text_of("k", i, "=a=", u), ("key", "value", "overflow")),
+        ("F", "tomcat.log", text_of("2024-01-01T10:00:00,1 WARN w ", u, " x.Y:", i, " - ", t), ("message", "thread", "class")),
+    )
+    found = [records.records(_as_log(e, head), parser, strict=0).select(F.lit(kind).alias("kind"), *(F.nullif(F.col(c), F.lit("")).alias(n) for n, c in zip("abc", columns, strict=True))) for kind, parser, head, columns in cases]
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 @query("""SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS value FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 1000 AND o_totalprice > 50000 GROUP BY ALL HAVING count(*) > 20""")
@@ -682,3 +676,187 @@ def windowed_counts(spark, d):
 
     e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return e.groupBy(bucket(F.col("ts"), "1 day").cast("timestamp_ntz").alias("start"), "event_type").agg(F.count("*").alias("n"))
+
+
+# The language: lookups with filters, lookups in iterations, recursion, what is kept, groups, XML, macros.
+
+
+@query("""SELECT c_custkey, count(o_orderkey) FILTER (o_totalprice > 100000) AS n, count(o_orderkey) FILTER (o_totalprice > c_acctbal * 20 AND o_orderstatus <> 'F') AS later FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")
+def lookup_filtered(spark, d):
+    catalog = {"Order": expr.Entity(table(spark, d, "orders"), "o_orderkey", "o_orderstatus")}
+    c = table(spark, d, "customer", "c_custkey", "c_acctbal")
+    return expr.select_text(c, "c_custkey", 'n=:Order(?o_custkey==$"c_custkey" && o_totalprice > 100000)', 'later=:Order(?o_custkey==$"c_custkey" && o_totalprice>$"c_acctbal*20" && o_orderstatus != "F")', catalog=catalog)
+
+
+@query("""SELECT c_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY rn) FILTER (rn <= 3) AS top, any_value(o_orderkey) FILTER (rn = 1) AS best FROM customer LEFT JOIN
+(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) o ON o_custkey = c_custkey GROUP BY c_custkey""")
+def lookup_ordered_list(spark, d):
+    catalog = {"Order": expr.Entity(table(spark, d, "orders"), "o_orderkey", "o_orderstatus")}
+    out = expr.select_text(table(spark, d, "customer", "c_custkey"), "c_custkey", 'top=:Order([{o_orderkey}o_custkey==$"c_custkey",o_totalprice desc,o_orderkey,3]):map(o_orderkey):join(,)', 'best=:Order([{o_orderkey}o_custkey==$"c_custkey",o_totalprice desc,o_orderkey,1])', catalog=catalog)
+    return out.withColumn("top", F.nullif("top", F.lit("")))
+
+
+@query("""SELECT o_orderkey, string_agg(p_brand, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS brands, sum((SELECT count(*) FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal < l_quantity * 100))::BIGINT AS poor
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey""")
+def lookup_in_iteration(spark, d):
+    o, l = table(spark, d, "orders", "o_orderkey"), table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    items = lookup.lookup_list(o, l, {"o_orderkey": "l_orderkey"}, F.struct("l_partkey", "l_suppkey", "l_quantity"), ["l_linenumber"], "items").where(F.size("items") > 0)
+    catalog = {"Part": expr.Entity(table(spark, d, "part"), "p_partkey", "p_name"), "Supplier": expr.Entity(table(spark, d, "supplier"), "s_suppkey", "s_name")}
+    return expr.select_text(items, "o_orderkey", 'brands=items:map(:Part(p_partkey==$"l_partkey").p_brand):join(,)', 'poor=items:sum(:Supplier(?s_suppkey==$"l_suppkey" && s_acctbal<$"l_quantity*100"))', catalog=catalog)
+
+
+def _nested(spark, d):
+    """Regions with nations with suppliers, each a name and its children."""
+    s = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", F.struct(F.col("s_name").alias("name")).alias("v")))), lambda x: x["v"]).alias("children"))
+    n = table(spark, d, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").select("n_regionkey", F.struct(F.col("n_name").alias("name"), F.coalesce("children", F.array()).alias("children")).alias("v"))
+    n = n.groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("v.name").alias("k"), "v"))).alias("c"))
+    return table(spark, d, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("name"), F.transform("c", lambda x: x["v"]).alias("children"))
+
+
+@query("""WITH n AS (SELECT n_regionkey, n_name, n_name || coalesce(',' || string_agg(s_name, ',' ORDER BY s_suppkey), '') AS names, count(s_suppkey) AS suppliers FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey, n_name)
+SELECT r_name AS name, r_name || ',' || string_agg(names, ',' ORDER BY n_name) AS everything, string_agg(n_name, ',' ORDER BY n_name) AS nations, (count(*) + sum(CASE WHEN n_name < 'M' THEN suppliers ELSE 0 END))::INT AS n,
+  (count(*) + sum(suppliers) + 1)::INT AS nodes FROM region JOIN n ON n_regionkey = r_regionkey GROUP BY r_name""")
+def flatten_recursive_text(spark, d):
+    return expr.select_text(_nested(spark, d), "name", "everything=:flatten(children*#name):join(,)", "nations=:flatten(children+,1#name):join(,)", 'n=:flatten(children+,unlike(name,"^[A-L]")#name):size', "nodes=:flatten(children*):size")
+
+
+@query("""SELECT event_id, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous, 1 AS first, 1 AS again, 1 AS swapped, 3 AS now, 4 AS later FROM events""")
+def kept_values(spark, d):
+    e = table(spark, d, "events", "event_id", "user_id", "ts", "value")
+    return expr.select_text(e, "event_id", "previous=:swapcache(v,value)", "first=:cache(a,1)", "again=:cache(a,2)", "swapped=:swapcache(a,3)", "now=:cache(a)", "later=:recache(a,4)", order=(["user_id"], [F.col("ts"), F.col("event_id")]))
+
+
+@query(r"""SELECT p_partkey, 'rand' AS head, regexp_extract(p_brand, '#(\d)', 1) AS n, nullif(regexp_extract(p_brand, '#\d(\d)', 1), '') AS m, CASE WHEN p_brand LIKE '%2' THEN '2' END AS two, regexp_matches(p_brand, '#\d$') AS short FROM part""")
+def match_groups(spark, d):
+    out = expr.select_text(table(spark, d, "part"), "p_partkey", r"g=p_brand:match((a|B)(?<head>rand)#(?<n>\d)(?<m>\d)?)", "two=p_brand:match(d.*?(2$)?$)", r"list=p_brand:match(#(\d)(\d)?$)")
+    return out.select("p_partkey", *(F.col("g")[k].alias(k) for k in ("head", "n", "m")), "two", F.col("list")[1].isNull().alias("short"))
+
+
+@query("SELECT p_partkey, p_brand AS brand, p_size + 1 AS size FROM part")
+def xml_there_and_back(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.struct("p_brand", "p_size").alias("part"))
+    return expr.select_text(p, "p_partkey", "brand=part:toXml(part):parseXml(p_brand STRING, p_size INT).p_brand", "size=part:toXml(part):parseXml(p_size INT).p_size+1")
+
+
+@query("""SELECT p_partkey, p_name || ' [' || p_brand || ']' AS label, p_size * 3600000 AS span, p_size > 25 AS large FROM part""")
+def macros_and_comments(spark, d):
+    macros = {"label": ':format(${p_name} [${$brand$}])', "brand": "p_brand"}
+    return expr.select_text(table(spark, d, "part"), "p_partkey", "label=$label$", "span=p_size*1h // hours as milliseconds", "large=p_size>25", macros=macros)
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS same, event_type || ' < ' || event_id::VARCHAR AS chain FROM events""")
+def map_arguments(spark, d):
+    e = table(spark, d, "events").select("event_id", "event_type", F.from_json("props", "map<string,string>").alias("props"))
+    e = e.withColumn("o", F.struct(F.col("event_id").cast("string").alias("id"), F.array(F.struct(F.col("event_type").alias("t"))).alias("xs")))
+    return expr.select_text(e, "event_id", 'k=props("k")', "same=props:get(\"k\")", "chain=o.xs:map(t:format(${@} < ${^^.event_id})):join(,)")
+
+
+@query("""SELECT o_orderkey, count(l_quantity)::INT AS n, count(DISTINCT l_quantity)::INT AS different, count(l_quantity) FILTER (l_quantity = 7)::INT AS sevens FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def keyed_maps_in_rows(spark, d):
+    df = _orders_with_items(spark, d).where(F.size("q") > 0)
+    return expr.select_text(df, "o_orderkey", "n=q:size", "different=q:count:size", "sevens=q:count:get(7.0)").withColumn("sevens", F.coalesce("sevens", F.lit(0)))
+
+
+@query("""SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b, upper(string_split(p_name, ' ')[1]) AS c FROM part WHERE p_size > 10""")
+def declared_computations(spark, d):
+    q = generic.Query(source=table(spark, d, "part"), selector='Part("large", gt(p_size, 10)).accept()', computations="a, b=p_name:extract([^ ]+)\n\nc=a:upcase", output="p_partkey\na\nb\nc")
+    return generic.plan(spark, q)[0]
+
+
+# Sources by kind.
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def source_expression(spark, d):
+    catalog = {"Nation": expr.Entity(table(spark, d, "nation"), "n_nationkey", "n_name")}
+    q = generic.Query(source="Expression", filter=":Nation([n_regionkey==1,n_name])", output="n_nationkey\nn_name", catalog=catalog)
+    return generic.plan(spark, q)[0]
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def source_application(spark, d):
+    tables.application("warehouse", "parquet", d)
+    q = generic.Query(source="ResourceObject", filter="warehouse: supplier.parquet\nmergeSchema=true", output="s_suppkey\ns_name")
+    return generic.plan(spark, q)[0]
+
+
+@query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey >= 2")
+def source_registered(spark, d):
+    tables.register("regions")(lambda spark, least: table(spark, d, "region").where(F.col("r_regionkey") >= least))
+    return generic.plan(spark, generic.Query(source="Rule: regions", filter="least=2", output="r_regionkey\nr_name"))[0]
+
+
+@query("SELECT i AS value, i * i AS square FROM range(0, 1000, 7) t(i)")
+def source_numbers(spark, d):
+    return expr.select_text(tables.numbers(spark, 0, 1000, 7), "value", "square=value*value")
+
+
+@query("""SELECT c_custkey, n_name AS nation, o_orderkey AS orders FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey""")
+def dotted_outer_join(spark, d):
+    keys = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("order_ids"))
+    c = table(spark, d, "customer").join(keys, F.col("o_custkey") == F.col("c_custkey"), "left")
+    references = {"nation": tables.Reference(table(spark, d, "nation"), "c_nationkey", "n_nationkey"), "orders": tables.Reference(table(spark, d, "orders"), "order_ids", "o_orderkey")}
+    return tables.attributes_joined(c, "c_custkey, nation.n_name, orders.o_orderkey", references).toDF("c_custkey", "nation", "orders")
+
+
+@query("""SELECT event_id, event_type, coalesce(json_extract_string(props, '$.event_type'), event_type) AS both FROM events""")
+def attributes_clash(spark, d):
+    e = table(spark, d, "events").withColumn("ext", F.from_json("props", "map<string,string>"))
+    plain = tables.attributes(e, "event_id, event_type", "ext").toDF("event_id", "both")
+    return plain.select(F.col("event_id").cast("long"), F.col("both").alias("event_type"), "both")
+
+
+# More of keyed groups, sets and windows.
+
+
+@query("""SELECT * FROM (SELECT min(o_custkey) AS value, 2 AS depth FROM orders) UNION ALL SELECT count(*), -1 FROM orders UNION ALL SELECT count(DISTINCT o_orderstatus), -2 FROM orders UNION ALL SELECT count(DISTINCT (o_orderstatus, o_orderpriority)), -3 FROM orders""")
+def peek_and_counters(spark, d):
+    o = table(spark, d, "orders", "o_custkey", "o_orderstatus", "o_orderpriority")
+    first = keyed.peek(o.select("o_custkey", "o_orderstatus"), ["o_custkey", "o_orderstatus"], "o_custkey").select(F.col("o_custkey").alias("value"), "depth")
+    n = keyed.counters(o, "o_orderstatus", "o_orderpriority").select(F.col("n").alias("value"), (-F.col("level") - 1).alias("depth"))
+    return first.unionByName(n)
+
+
+@query("""WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS value FROM orders GROUP BY ALL)
+SELECT *, (sum(value) OVER (PARTITION BY o_orderstatus))::BIGINT AS of_row, (sum(value) OVER (PARTITION BY o_orderpriority))::BIGINT AS of_column, (sum(value) OVER ())::BIGINT AS of_matrix FROM c""")
+def cell_context(spark, d):
+    cells = table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("value"))
+    return levels.cell_context(cells, "o_orderstatus", "o_orderpriority", "value")
+
+
+@query("""SELECT c_custkey AS k, CASE WHEN n > 0 THEN n::DOUBLE ELSE c_acctbal END AS value FROM (SELECT c_custkey, c_acctbal, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)""")
+def upsert(spark, d):
+    old = table(spark, d, "customer", F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("value"))
+    new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").cast("double").alias("value"))
+    return keyed.put(old, new.join(old.select("k"), "k", "left_semi"), ["k"])
+
+
+@query("""SELECT p_partkey, coalesce(p_size > 25, false) AS out FROM part""")
+def evict_rows(spark, d):
+    out, rest = sets.evict(table(spark, d, "part", "p_partkey", "p_size"), F.col("p_size") > 25)
+    return out.select("p_partkey", F.lit(True).alias("out")).unionByName(rest.select("p_partkey", F.lit(False).alias("out")))
+
+
+@query("""WITH m AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS head FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM m)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n FROM g GROUP BY user_id, s""")
+def session_counts(spark, d):
+    from arbora.streaming.events import sessions
+
+    out = sessions(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "2 hours")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+@query("""SELECT p_partkey, (p_size // 10) * 10 AS tens, regexp_replace(p_name, '(.{4})', '\\1' || chr(10), 'g') AS wrapped, len(string_split(p_name || ', ' || p_type, ','))::INT AS fields, lpad((p_size // 24)::VARCHAR, 1, '0') || 'd ' || lpad((p_size % 24)::VARCHAR, 2, '0') || ':00:00' AS span FROM part WHERE p_size >= 24""")
+def text_extras(spark, d):
+    p = table(spark, d, "part").where("p_size >= 24")
+    low = F.split(text.leading_digit_range(F.col("p_size")), "-")[0].cast("long")
+    # a wrap puts no line end after the last piece
+    wrapped = F.when(F.length("p_name") % 4 == 0, F.concat(text.hard_wrap(F.col("p_name"), 4), F.lit("\n"))).otherwise(text.hard_wrap(F.col("p_name"), 4))
+    return p.select("p_partkey", low.alias("tens"), wrapped.alias("wrapped"), F.size(text.parse_csv(F.concat("p_name", F.lit(", "), "p_type"))).alias("fields"), text.duration(F.col("p_size").cast("long") * 3_600_000).alias("span"))
+
+
+@query("""SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25""")
+def top_of_a_query(spark, d):
+    q = generic.Query(source=table(spark, d, "orders"), ordering="o_totalprice desc, o_orderkey", max_rows=25, output="o_orderkey\no_totalprice")
+    return generic.plan(spark, q)[0]
