@@ -24,14 +24,14 @@ def both(spark, name):
 
 
 def test_compress_takes_all_lines(spark):
-    got, want = both(spark, "compress_paths_all")
+    got, want = both(spark, "compress_paths")
     assert got == want
     lines = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
     assert len(got) == lines and any("/" in p for p, _ in got) and any(p.count("|") == 2 for p, _ in got)
 
 
 def test_standalone_takes_all_lines(spark):
-    got, want = both(spark, "standalone_cells_all")
+    got, want = both(spark, "standalone_cells")
     assert got == want
     cells = spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_extendedprice").distinct()
     orders = {r.l_orderkey for r in cells.select("l_orderkey").collect()}
@@ -39,7 +39,7 @@ def test_standalone_takes_all_lines(spark):
 
 
 def test_sort_numbers_all_rows(spark):
-    got, want = both(spark, "sort_nulls_first_all")
+    got, want = both(spark, "sort_nulls_first")
     assert got == want
     assert sorted(n for _, n in got) == list(range(1, spark.read.parquet(f"{DATA}/part.parquet").count() + 1))
 
@@ -51,7 +51,7 @@ def test_numbered_goes_on_over_ranges_and_takes_no_rows(spark):
 
 
 def test_overlay_takes_all_customers(spark):
-    got, want = both(spark, "overlay_merge_all")
+    got, want = both(spark, "overlay_merge")
     assert got == want
     o = spark.read.parquet(f"{DATA}/orders.parquet")
     assert {r[0] for r in got} == {r.o_custkey for r in o.select("o_custkey").collect()}

@@ -10,7 +10,7 @@ from arbora.lang.macros import expand, library
 @pytest.fixture(scope="module")
 def people(spark):
     return spark.createDataFrame(
-        [("usr001", "John", "Doe", ["a", None, "b"], {"orgUnit": "ORG"}, [(1, "p", ["u", "v"]), (2, "q", ["w"]), (None, "p", [])], 5, dt.datetime(2022, 5, 31, 10, 30, 1))],
+        [("kit407", "Ada", "Quill", ["a", None, "b"], {"orgUnit": "LAB"}, [(1, "p", ["u", "v"]), (2, "q", ["w"]), (None, "p", [])], 5, dt.datetime(2019, 8, 31, 10, 30, 1))],
         "name string, firstname string, lastname string, roles array<string>, attributes map<string,string>, things array<struct<n:int,s:string,kids:array<string>>>, five int, created timestamp",
     )
 
@@ -21,16 +21,18 @@ def value(df, text, **more):
 
 CASES = {
     "1+2*3": 7, "(1+2)*3": 9, "10-2-3": 5, "7/2": 3, "(0-7)/2": -3, "7/2.0": 3.5, '"5"+5': 10.0, '3*"ab"': "ababab", '"5"==5': True, "five>=5": True, "null==null": True, "five/0": None,
-    "name": "usr001", "orgUnit": "ORG", "missing?|name": "usr001", "roles:size": 3, "roles:join(-)": "a--b", "roles:count": {"a": 1, "b": 1},
+    "name": "kit407", "orgUnit": "LAB", "missing?|name": "kit407", "roles:size": 3, "roles:join(-)": "a--b", "roles:count": {"a": 1, "b": 1},
     "things:map(s)": ["p", "q", "p"], "things:sum(n)": 3, "things:avg(n)": 1.5, "things:min(n)": 1, "things:flatten(@#kids)": ["u", "v", "w"],
     ":flatten(things#kids)": ["u", "v", "w"], "things:select(eq(s,\"p\")):size": 2, "things:select(1,eq(n,2)).s": "q", "things:select(eq(n,9))": None,
     "things:sort(n):map(n)": [None, 1, 2], "things:sort(n desc):map(n)": [None, 2, 1], "things:group(s,n)": {"p": [1, None], "q": [2]}, "things:index(>n#s,kids)": {1: {"p": ["u", "v"]}, 2: {"q": ["w"]}},
-    "things:group(s,n):get(\"q\")": [2], "things:map(:format(${^.name}/${s}))": ["usr001/p", "usr001/q", "usr001/p"], ":union(roles,name)": ["a", "b", "usr001"],
-    r"name:match((\d+))": "001", "name:match(x)": None, r"name:match((?<head>[a-z]+)(?<tail>\d+))": {"head": "usr", "tail": "001"}, "name:extract([a-z])": ["u", "s", "r"], "name:extract(x)": [], r"name:replace(\d,#)": "usr###",
-    ":format(${firstname} ${missing?,\"none\"} ${%03d,five})": "John none 005", ":format($\"name\" ${created})": '"usr001" 2022-05-31 10:30:01', "name:switch(^usr=1,2)": 1, "name:switch(^x=1,2)": 2,
-    ":construct(a=name,b\\,c=roles,*=attributes)": {"a": "usr001", "b": "a", "c": None, "orgUnit": "ORG"}, "1m15s": 75000, "created:date(-1M)": dt.datetime(2022, 4, 1), "created:date(+1d)": dt.datetime(2022, 6, 1),
-    "created+59": dt.datetime(2022, 5, 31, 10, 31), "created-created": 0, ":date(2022-05-31T10)": dt.datetime(2022, 5, 31, 10), "50:heat": "#800080", "(0-1):heat": "#808080", "101:heat": "#c0c0c0", "name:upcase": "USR001",
-    "missing?:size": None, "^?": None,
+    "things:group(s,n):get(\"q\")": [2], "things:map(:format(${^.name}/${s}))": ["kit407/p", "kit407/q", "kit407/p"], ":union(roles,name)": ["a", "b", "kit407"],
+    r"name:match((\d+))": "407", "name:match(x)": None, r"name:match((?<head>[a-z]+)(?<tail>\d+))": {"head": "kit", "tail": "407"}, "name:extract([a-z])": ["k", "i", "t"], "name:extract(x)": [], r"name:replace(\d,#)": "kit###",
+    ":format(${firstname} ${missing?,\"none\"} ${%03d,five})": "Ada none 005", ":format($\"name\" ${created})": '"kit407" 2019-08-31 10:30:01', "name:switch(^kit=1,2)": 1, "name:switch(^x=1,2)": 2,
+    ":construct(a=name,b\\,c=roles,*=attributes)": {"a": "kit407", "b": "a", "c": None, "orgUnit": "LAB"}, "1m15s": 75000, "created:date(-1M)": dt.datetime(2019, 7, 1), "created:date(+1d)": dt.datetime(2019, 9, 1),
+    "created+59": dt.datetime(2019, 8, 31, 10, 31), "created-created": 0, ":date(2019-08-31T10)": dt.datetime(2019, 8, 31, 10), "50:heat": "#800080", "(0-1):heat": "#808080", "101:heat": "#c0c0c0", "name:upcase": "KIT407",
+    "missing?:size": None, "^?": None, ":cache(k,1)+:cache(k,2)": 2, ":recache(k,1)+:recache(k,2)+:cache(k)": 5, ":cache(k,1)+:swapcache(k,3)*10+:cache(k)": 14, ":cache(none?)": None,
+    r"name:match((x)?kit)": None, r"name:match((x*)kit)": "", r"name:match((k|x)(?<n>i)t)": {"n": "i"}, r"name:match((?<a>[\(\]x]?)(?<b>k))": {"a": "", "b": "k"}, r"name:match((k)(x)?(i))": ["k", None, "i"],
+    ":flatten(things+,1#s)": ["p", "q", "p"], ":flatten(things*,0#name)": ["kit407"],
 }
 
 
@@ -41,7 +43,7 @@ def test_expression(people, text):
 
 def test_parameters_and_macros(people):
     assert value(people, ":env(who)", parameters={"who": "me"}) == "me"
-    assert value(people, "$full$", macros={"full": ':format($"name")'}) == '"usr001"'
+    assert value(people, "$full$", macros={"full": ':format($"name")'}) == '"kit407"'
     assert expand("$a$", {"a": "x $b$", "b": "y"}) == "x y"
     with pytest.raises(ValueError):
         expand("$a$", {"a": "$a$"})
@@ -67,6 +69,34 @@ def test_lookups(spark):
     assert [[x.n for x in r["all"]] for r in got] == [[10, 20], [30], []]
 
 
+def test_lookups_by_filters(spark):
+    roles = spark.createDataFrame([(1, "r1", "x", 10), (2, "r2", "x", 20), (3, "r3", "y", 30)], "id int, name string, grp string, n int")
+    g = spark.createDataFrame([("x", 15, ["y", "x", "none"]), ("y", 5, []), (None, 50, ["x", None])], "g string, m int, gs array<string>")
+    catalog = {"Role": expr.Entity(roles, "id", "name")}
+    lines = ("g", 'over=:Role(?grp==$"g" && n>$"m")', 'low=:Role([{n}n<=$"m" && name != "r2",n desc])', 'all=:Role([{n}n>15,n desc])', 'some=gs:map(:Role(?grp==$"@"))', 'sums=gs:map(:Role([{n}grp==$"@" && n>=$"^.m"]):sum(n))')
+    got = {r.g: r for r in expr.select_text(g, *lines, catalog=catalog).collect()}
+    assert [(got[k].over, [x.n for x in got[k].low], [x.n for x in got[k]["all"]]) for k in ("x", "y", None)] == [(1, [10], [30, 20]), (1, [], [30, 20]), (0, [30, 10], [30, 20])]
+    assert [got[k].some for k in ("x", "y", None)] == [[1, 2, 0], [], [2, 0]]
+    assert [got[k].sums for k in ("x", "y", None)] == [[30, 20, None], [], [None, None]]
+
+
+def test_recursion_over_nested_data(spark):
+    kind = "name string, kids array<struct<name:string,kids:array<struct<name:string>>>>"
+    df = spark.createDataFrame([("a", [("b", [("c",), ("d",)]), ("e", [])]), ("f", None)], kind)
+    got = lambda text: [r.v for r in expr.select_text(df, f"v={text}").collect()]
+    assert got(":flatten(kids*#name)") == [["a", "b", "c", "d", "e"], ["f"]]
+    assert got(":flatten(kids+#name)") == [["b", "c", "d", "e"], []]
+    assert got(":flatten(kids*,1#name)") == [["a", "b", "e"], ["f"]]
+    assert got(':flatten(kids+,eq(name,"b")#name)') == [["b", "e"], []]
+    assert got(":flatten(kids*):map(name):join(-)") == ["a-b-c-d-e", "f"]
+    assert got(":flatten(kids+#:format(${^.name}))") == [["a", "b", "b", "a"], []]
+
+
+def test_what_needs_an_order_says_so(people):
+    with pytest.raises(ValueError, match="order of rows"):
+        value(people, ":swapcache(k,1)")
+
+
 def test_division_of_columns_by_zero_is_null(spark):
     df = spark.range(2).select(F.col("id").alias("a"))
     assert [r.v for r in expr.select_text(df, "v=6/a").collect()] == [None, 6]

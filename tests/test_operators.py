@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -32,6 +33,21 @@ def test_recursion_goes_as_deep_as_it_is_told(spark):
     assert sorted(r.depth for r in got) == [0, 1, 2, 3, 4, 5]
 
 
+def test_recursion_is_linear_in_its_levels(spark):
+    df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(150)], "id int, parent int")
+    out = unnest.recurse(df, F.col("id") == 0, "id", "parent", depth=149)
+    assert out.agg(F.max("depth"), F.count("*")).first() == (149, 150)
+    with pytest.raises(ValueError, match="more than 20 levels"):
+        unnest.recurse(df, F.col("id") == 0, "id", "parent", most=20)
+
+
+def test_recursion_does_not_test_a_root_that_it_leaves_out(spark):
+    df = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 2)], "id int, parent int")
+    for include, want in ((True, [(0,)]), (False, [(0, 1), (0, 1, 2), (0, 1, 2, 3)])):
+        got = unnest.recurse(df, F.col("id") == 0, "id", "parent", include, stop=F.col("id") == 0)
+        assert sorted(tuple(r.path) for r in got.collect()) == want
+
+
 def test_unfold_keeps_the_parent(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "id int, xs array<string>")
     assert rows(unnest.unfold(df, F.col("xs"), "x", ["id"])) == [(1, "a"), (1, "b")]
@@ -111,7 +127,7 @@ def test_weeks(spark):
     assert [x.day for x in r] == [23, 30, 29]
 
 
-LOG = "2024-01-01 10:00:00 INFO [main] a.B:12 - one\n  more\n\n2024-01-01 10:00:01 WARN [x y] c.D - two\n"
+LOG = "2024-01-01T10:00:00 INFO main a.B:12 - one\n  more\n\n2024-01-01T10:00:01 WARN x y c.D: - two\n"
 
 
 def test_log_records(spark, tmp_path):
@@ -123,6 +139,25 @@ def test_log_records(spark, tmp_path):
     assert [r.level for r in records.parse_files(spark, str(tmp_path / "*.log"), "tomcat.log", keep="INFO").collect()] == ["INFO"]
 
 
+def test_logs_are_read_in_splits(spark, tmp_path):
+    """Records that go over a split's end, and groups named like the columns of the lines."""
+    text = "".join(f"{i:03d} /p/{i} one\n" + "  and more\n" * (i % 4) for i in range(300))
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text("000 /x y\n")
+    pattern = r"(?<pos>\d{3}) (?:(?<path>/\w+)(/\d+)?) (?<line>.*)"
+    want = [(f"{i:03d}", "/p", "one" + "\n  and more" * (i % 4)) for i in range(300)] + [("000", "/x", "y")]
+    for size in ("128m", "256b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            lines = records.lines(spark, str(tmp_path / "*.log"))
+            assert size == "128m" or lines.rdd.getNumPartitions() > 3
+            got = records.records(lines, pattern).collect()
+            assert [tuple(r) for r in got] == want
+            assert [r.pos for r in records.records(lines, pattern, start="^290", stop="^295", strict=0).collect()] == [f"{i}" for i in range(290, 296)]
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sources(spark, tmp_path):
     spark.range(10).select("id", F.concat(F.lit("n"), "id").alias("name")).write.parquet(str(tmp_path / "t"))
     df = sources.scan(spark, str(tmp_path / "t"), 'id >= 3 && name.in({"n3", "n4", "n1"})', "id desc")
