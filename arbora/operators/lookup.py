@@ -54,9 +54,9 @@ def lookup_first(left: DataFrame, right: DataFrame, keys: dict[str, str], order:
 
 
 def lookup_list(left: DataFrame, right: DataFrame, keys: dict[str, str], value: Column, order: list[str], into: str) -> DataFrame:
-    """All matching values in order, nulls kept; an empty list if there is none."""
-    item = F.struct(*order, value.alias("_v"))
-    r = right.groupBy(*keys.values()).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["_v"]).alias(into))
+    """All matching values in order, nulls kept; an empty list if there is none. Without an order they come in any."""
+    items = F.collect_list(F.struct(*order, value.alias("_v")))
+    r = right.groupBy(*keys.values()).agg(F.transform(F.array_sort(items) if order else items, lambda s: s["_v"]).alias(into))
     out = lookup(left, r, keys, "_l_")
     return out.withColumn(into, F.coalesce(f"_l_{into}", F.array())).drop(*(c for c in out.columns if c.startswith("_l_")))
 

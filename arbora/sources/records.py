@@ -56,19 +56,22 @@ def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: s
     whole = f"^(?:{pattern})$"
     groups = [(name, k) for k, (name, _) in enumerate(group_list(pattern), 1) if name]
     # names of its own, as a pattern's groups may have any
-    df = df.select(F.col("path").alias("_path"), (F.col("split") if "split" in df.columns else F.lit(0)).alias("_split"), F.col("pos").alias("_pos"), F.col("line").alias("_line")).where(F.col("_pos") >= skip)
+    in_splits = "split" in df.columns
+    df = df.select(F.col("path").alias("_path"), (F.col("split") if in_splits else F.lit(0)).alias("_split"), F.col("pos").alias("_pos"), F.col("line").alias("_line")).where(F.col("_pos") >= skip)
     for found, side in ((start, "from"), (stop, "to")):
         if found:
             first = df.where(F.col("_line").rlike(found)).groupBy("_path").agg(F.min("_pos").alias("_first"))
             df = df.join(first, "_path", "inner" if side == "from" else "left")
             df = df.where("_pos >= _first" if side == "from" else "_first IS NULL OR _pos <= _first").drop("_first")
     df = df.withColumn("_head", F.col("_line").rlike(whole))
-    # the number of a line's record: heads of the splits before, and those in its own so far
-    before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
-    heads = df.groupBy("_path", "_split").agg(F.sum(F.col("_head").cast("int")).alias("_n"))
-    heads = heads.select("_path", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    # the number of a line's record: heads in its split so far, and those of the splits before
     own = Window.partitionBy("_path", "_split").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.join(heads, ["_path", "_split"]).withColumn("_n", F.col("_base") + F.sum(F.col("_head").cast("int")).over(own))
+    df = df.withColumn("_n", F.sum(F.col("_head").cast("int")).over(own))
+    if in_splits:
+        before = Window.partitionBy("_path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+        heads = df.groupBy("_path", "_split").agg(F.max("_n").alias("_heads"))
+        heads = heads.select("_path", "_split", F.coalesce(F.sum("_heads").over(before), F.lit(0)).alias("_base"))
+        df = df.join(heads, ["_path", "_split"]).withColumn("_n", F.col("_base") + F.col("_n")).drop("_base")
     if strict:
         none = (F.col("_n") == 0) & (F.col("_pos") >= strict + skip)
         df = df.withColumn("_n", F.when(none, F.raise_error(F.lit(f"no line of {strict} matches"))).otherwise(F.col("_n")))
