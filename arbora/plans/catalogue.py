@@ -426,11 +426,11 @@ def transpose(spark, d):
     return levels.transpose(keyed.count_by(table(spark, d, "orders"), F.col("o_orderstatus"), F.col("o_orderpriority")), "o_orderstatus", "o_orderpriority")
 
 
-@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.day, b.day) AS day, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS value FROM (SELECT o_custkey AS k, o_orderdate::DATE AS day, max(o_totalprice) AS v FROM orders GROUP BY ALL) a
-FULL JOIN (SELECT o_custkey AS k, l_shipdate::DATE AS day, max(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) b ON a.k = b.k AND a.day = b.day""")
+@query("""SELECT coalesce(a.k, b.k) AS k, coalesce(a.day, b.day) AS day, CASE WHEN b.k IS NOT NULL THEN b.v ELSE a.v END AS value FROM (SELECT o_custkey AS k, strftime(o_orderdate, '%Y-%m-%d') AS day, max(o_totalprice) AS v FROM orders GROUP BY ALL) a
+FULL JOIN (SELECT o_custkey AS k, strftime(l_shipdate, '%Y-%m-%d') AS day, max(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL) b ON a.k = b.k AND a.day = b.day""")
 def overlay_merge(spark, d):
-    o = table(spark, d, "orders", "o_orderkey", F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("day"), "o_totalprice")
-    l = table(spark, d, "lineitem", "l_orderkey", F.to_date("l_shipdate").alias("day"), "l_returnflag", "l_quantity")
+    o = table(spark, d, "orders", "o_orderkey", F.col("o_custkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_totalprice")
+    l = table(spark, d, "lineitem", "l_orderkey", F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), "l_returnflag", "l_quantity")
     a = o.groupBy("k", "day").agg(F.max("o_totalprice").alias("value"))
     b = l.join(o.select("o_orderkey", "k"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("k", "day").agg(F.max(F.when(F.col("l_returnflag") == "R", F.col("l_quantity"))).alias("value"))
     return keyed.overlay(a, b, ["k", "day"])
