@@ -22,6 +22,7 @@ from arbora.lang.macros import expand
 from arbora.operators import keyed, lookup, ordered
 from arbora.operators.ordered import sort_array
 from arbora.operators.select import partition, select, switch
+from arbora.render import columns
 
 NUMBER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -203,8 +204,8 @@ def operate(op: str, a: Value, b: Value) -> Value:
     return Value({"+": x + y, "-": x - y, "*": x * y}[op], kind)
 
 
-def template(source: str, scope: Scope, html: bool = False) -> Value:
-    """``text ${[%format,]expr[,default]} text $"expr"``."""
+def template(source: str, scope: Scope, html: bool = False, url: bool = False) -> Value:
+    """``text ${[%format,]expr[,default]} text $"expr"``; what is put in is escaped for HTML or a URL."""
     parts, at = [], 0
     while (k := source.find("$", at)) >= 0:
         if source.startswith("${", k):
@@ -214,7 +215,7 @@ def template(source: str, scope: Scope, html: bool = False) -> Value:
             v = compile_expr(bits[0], scope)
             default = compile_expr(bits[1], scope).column.cast("string") if len(bits) > 1 else None
             piece = text.formatted(v.column, v.type.simpleString(), pattern, default)
-            piece = text.html_escape(piece) if html else piece
+            piece = text.html_escape(piece) if html else F.url_encode(piece) if url else piece
         elif source.startswith('$"', k):
             end = source.index('"', k + 2)
             v = compile_expr(source[k + 2 : end], scope)
@@ -412,6 +413,29 @@ def instruct(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
         return Value(text.replace(v.column, pattern, to), S)
     if name in ("format", "html"):
         return template(raw or "", scope if v is scope.this else scope.inner(v), name == "html")
+    if name == "link":
+        bits = syntax.split(raw or "")
+        if len(bits) < 2:
+            raise ValueError("a link needs an address and a text")
+        inner = scope if v is scope.this else scope.inner(v)
+        parts = [template(b, inner, html=k in (1, 2), url=k == 0).column for k, b in enumerate(bits[:4])]
+        return Value(columns.link(*parts), S)
+    if name in ("table", "htable"):
+        xs = collection(v)
+        return Value(columns.table(xs.column, xs.type.elementType, name == "htable"), S)
+    if name == "grid":
+        if not (isinstance(v.type, T.MapType) and isinstance(v.type.valueType, T.MapType)):
+            raise ValueError(f"a grid needs a map of maps, not {kind}")
+        return Value(columns.grid(v.column, v.type, (raw or "").strip() == "total"), S)
+    if name in ("barchart", "linechart"):
+        inner, scale, series = scope if v is scope.this else scope.inner(v), 1.0, {}
+        for k, bit in enumerate(syntax.split(raw or "")):
+            names, source = syntax.assignment(bit)
+            if not k and not names and re.fullmatch(r"\d+(\.\d+)?", bit):
+                scale = float(bit)
+            else:
+                series[names[0] if names else source] = compile_expr(source, inner).column
+        return Value(columns.bars(series, scale, name == "linechart"), S)
     if name == "env":
         p = scope.parameters.get(raw)
         return null() if p is None else Value(F.lit(p), T.StringType() if isinstance(p, str) else T.DoubleType() if isinstance(p, float) else T.BooleanType() if isinstance(p, bool) else T.LongType())
@@ -640,8 +664,8 @@ def _matches(probe: DataFrame, names: list[str], rows: DataFrame, q: _Search) ->
 
 def _in_frame(owner: Scope, q: _Search, rows: DataFrame, item: T.DataType, into: str) -> Value:
     names = [f"_key{into}_{i}" for i in range(len(q.keys))]
-    columns = [compile_expr(text, owner).column for _, _, text in q.keys]  # this may join to the frame
-    df = owner.frame[0].withColumns(dict(zip(names, columns, strict=True)))
+    compiled = [compile_expr(text, owner).column for _, _, text in q.keys]  # this may join to the frame
+    df = owner.frame[0].withColumns(dict(zip(names, compiled, strict=True)))
     found, kind = _answer(*_matches(df, names, rows, q), q, item, into)
     df = df.join(found, names, "left") if names else df.crossJoin(F.broadcast(found.agg(F.first(into).alias(into))))  # one row
     owner.frame[0] = df.drop(*names).withColumn(into, _absent(F.col(into), kind, q))

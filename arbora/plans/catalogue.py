@@ -860,3 +860,27 @@ def text_extras(spark, d):
 def top_of_a_query(spark, d):
     q = generic.Query(source=table(spark, d, "orders"), ordering="o_totalprice desc, o_orderkey", max_rows=25, output="o_orderkey\no_totalprice")
     return generic.plan(spark, q)[0]
+
+
+# HTML inside a row.
+
+
+@query("""SELECT o_orderkey, '<a style="color: red;" href="/o?id=' || o_orderkey::VARCHAR || '" target="_blank">' || o_orderpriority || ' &amp; more</a>' AS anchor, '<span>' || o_orderstatus || '</span>' AS label,
+  '<span style="display:inline-block;width:' || least(round(o_totalprice / 1000), 1000)::INT::VARCHAR || 'px;background:#' || substr(md5('price'), 1, 6) || '" title="price: ' || (o_totalprice / 1000)::INT::VARCHAR || '">&nbsp;</span>' AS bar FROM orders""")
+def html_links(spark, d):
+    o = table(spark, d, "orders").withColumn("more", F.concat("o_orderpriority", F.lit(" & more"))).withColumn("k", F.round(F.col("o_totalprice") / 1000).cast("int"))
+    return expr.select_text(o, "o_orderkey", "anchor=:link(/o?id=${o_orderkey},${more},,red)", "label=:link(#,${o_orderstatus})", "bar=:barchart(price=k)")
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber AS line, l_quantity::INT AS quantity, l_returnflag, l_linestatus FROM lineitem),
+c AS (SELECT l_orderkey, l_returnflag AS r, l_linestatus AS s, count(*) AS n FROM l GROUP BY ALL), g AS (SELECT a.l_orderkey, a.r, b.s, n FROM (SELECT DISTINCT l_orderkey, r FROM c) a JOIN (SELECT DISTINCT l_orderkey, s FROM c) b ON a.l_orderkey = b.l_orderkey LEFT JOIN c ON c.l_orderkey = a.l_orderkey AND c.r = a.r AND c.s = b.s),
+rows AS (SELECT l_orderkey, r, '<tr><th>' || r || '</th>' || string_agg('<td>' || coalesce(n::VARCHAR, '') || '</td>', '' ORDER BY s) || '<td>' || sum(n)::VARCHAR || '</td></tr>' AS row, '<tr><th></th>' || string_agg('<th>' || s || '</th>', '' ORDER BY s) || '<th>Total</th></tr>' AS head FROM g GROUP BY l_orderkey, r),
+foot AS (SELECT l_orderkey, '<tr><th>Total</th>' || string_agg('<td>' || n::VARCHAR || '</td>', '' ORDER BY s) || '<td>' || sum(n)::VARCHAR || '</td></tr>' AS foot FROM (SELECT l_orderkey, s, count(*) AS n FROM (SELECT l_orderkey, l_linestatus AS s FROM l) GROUP BY ALL) GROUP BY l_orderkey),
+grid AS (SELECT l_orderkey, '<table>' || any_value(head) || string_agg(row, '' ORDER BY r) || any_value(foot) || '</table>' AS grid FROM rows JOIN foot USING (l_orderkey) GROUP BY l_orderkey)
+SELECT l_orderkey AS o_orderkey, '<table><tr><th>line</th><th>quantity</th></tr>' || string_agg('<tr><td>' || line::VARCHAR || '</td><td>' || quantity::VARCHAR || '</td></tr>', '' ORDER BY line, quantity, l_returnflag, l_linestatus) || '</table>' AS lines, any_value(grid) AS grid
+FROM l JOIN grid USING (l_orderkey) GROUP BY l_orderkey""")
+def html_tables(spark, d):
+    l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"), "l_returnflag", "l_linestatus")
+    items = keyed.group_by(l, [F.col("l_orderkey").alias("o_orderkey")], F.struct("line", "quantity"), ["line", "quantity", "l_returnflag", "l_linestatus"], into="items")
+    cells = keyed.group_by(l, [F.col("l_orderkey").alias("o_orderkey")], F.struct("l_returnflag", "l_linestatus"), ["line", "quantity", "l_returnflag", "l_linestatus"], into="cells")
+    return expr.select_text(items.join(cells, "o_orderkey"), "o_orderkey", "lines=items:table", "grid=cells:count(l_returnflag#l_linestatus):grid(total)")

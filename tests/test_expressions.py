@@ -32,6 +32,10 @@ CASES = {
     "created+59": dt.datetime(2019, 8, 31, 10, 31), "created-created": 0, ":date(2019-08-31T10)": dt.datetime(2019, 8, 31, 10), "50:heat": "#800080", "(0-1):heat": "#808080", "101:heat": "#c0c0c0", "name:upcase": "KIT407",
     "missing?:size": None, "^?": None, ":cache(k,1)+:cache(k,2)": 2, ":recache(k,1)+:recache(k,2)+:cache(k)": 5, ":cache(k,1)+:swapcache(k,3)*10+:cache(k)": 14, ":cache(none?)": None,
     r"name:match((x)?kit)": None, r"name:match((x*)kit)": "", r"name:match((k|x)(?<n>i)t)": {"n": "i"}, r"name:match((?<a>[\(\]x]?)(?<b>k))": {"a": "", "b": "k"}, r"name:match((k)(x)?(i))": ["k", None, "i"],
+    ":link(/a?n=${name}&x=${lastname},${firstname},,)": '<a href="/a?n=kit407&x=Quill" target="_blank">Ada</a>', ":link(#,,,top: 1px)": '<span style="top: 1px">\u2b24</span>',
+    "things:map(n):table": "<table><tr><td>1</td></tr><tr><td>2</td></tr><tr><td></td></tr></table>", "things:map(s):htable": "<table><tr><td>p</td><td>q</td><td>p</td></tr></table>",
+    "things:count(s#n):grid": "<table><tr><th></th><th>1</th><th>2</th></tr><tr><th>p</th><td>1</td><td></td></tr><tr><th>q</th><td></td><td>1</td></tr></table>",
+    ":linechart(2,a=five,b=600)": '<span style="position:absolute;left:0;width:8px;background:#0cc175" title="a: 5">&nbsp;</span><span style="position:absolute;left:0;width:1000px;background:#92eb5f" title="b: 600">&nbsp;</span>',
     ":flatten(things+,1#s)": ["p", "q", "p"], ":flatten(things*,0#name)": ["kit407"],
 }
 
