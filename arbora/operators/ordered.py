@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.core.storage import cut
 from arbora.operators.predicates import sure
 
 
@@ -55,11 +55,11 @@ def numbered(df: DataFrame, *keys: str, into: str = "rn") -> DataFrame:
     """Every row with its number, from 1, in the order of the keys, which must be total.
 
     Rows are sorted in ranges, numbered in each and moved by the rows of the ranges before; the
-    driver sees one row a range. The sorted rows are persisted, so that both passes see the same
-    ranges.
+    driver sees one row a range. The sorted rows are cut from their plan, so that both passes see
+    the same ranges, whichever executor is lost.
     """
     # the upper bits of the identifier are the range, the lower 33 the place in it
-    rows = sort(df, *keys).withColumn("_at", F.monotonically_increasing_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = cut(sort(df, *keys).withColumn("_at", F.monotonically_increasing_id()))
     sizes = rows.groupBy(F.shiftright("_at", 33).cast("int").alias("_range")).agg(F.count("*").alias("_n")).collect()
     before, total = [], 0
     for r in sorted(sizes, key=lambda r: r["_range"]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arbora.core.storage import cut
@@ -47,10 +47,11 @@ def recurse(df: DataFrame, roots: Column, id_col: str, parent_col: str, include_
     while depth is None or d < depth:
         open_ = level.where(~F.col("_end") & ~F.array_contains(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), F.col("id")))
         d += 1
+        rows = Observation()
         level = cut(open_.join(edges, open_["id"] == edges["_parent"]).select(
             "root", F.col("_id").alias("id"), F.lit(d).alias("depth"), F.concat("path", F.array("_id")).alias("path"), F.col("_stop").alias("_end")
-        ))
-        if level.isEmpty():
+        ).observe(rows, F.count("*").alias("n")))
+        if not rows.get["n"]:
             break
         if depth is None and d > most:
             raise ValueError(f"more than {most} levels; give a depth")
