@@ -135,13 +135,16 @@ class Mix:
         out = self.sized.join(per, self.sized.source.eqNullSafe(per.source)).drop(per.source).join(taken, "rid", "left")
         return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_slot", "rid", "row")
 
-    def in_order(self, words_per_part: int = 1 << 22) -> DataFrame:
+    def in_order(self, words_per_part: int = 1 << 22, broadcast_bytes: int = 1 << 25) -> DataFrame:
         """row, slot, turn, rid: a row each time the mix takes half of a document or more, in the order of its slots.
 
         Slots hold equal numbers of words, so equal stretches of them are equal partitions.
         """
         parts = max(1, -(-self.words // words_per_part))
-        out = self.sized.where("size > 0").select("rid", "size", "row").join(self.turns, "rid").where("2 * got >= size")
+        # texts move once, to their place in the order, while what is taken is small; a row of a broadcast takes 128 bytes at most
+        turns = stored(self.turns)
+        turns = F.broadcast(turns) if turns.count() * 128 <= broadcast_bytes else turns
+        out = self.sized.where("size > 0").select("rid", "size", "row").join(turns, "rid").where("2 * got >= size")
         out = out.select("row", "slot", "turn", "rid", F.floor(F.col("slot") * parts / max(1, self.slots)).cast("int").alias("part"))
         return out.repartitionById(parts, "part").drop("part").sortWithinPartitions("slot", "turn", "rid")
 

@@ -299,8 +299,8 @@ def near_dedup(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str =
     posted = stored(postings(classes, least))
     chosen = stored(classes.join(posted.select("c").distinct(), "c", "left_semi").select("c", "size", "sig", "rep.doc_id", "rep.tkey"))
     e = chosen.select("c", F.col("doc_id").alias("rep_id"), "tkey")
-    # texts stay where they are while the list of those wanted is small; 24 bytes a row
-    e = F.broadcast(e) if chosen.count() * 24 <= broadcast_bytes else e
+    # texts stay where they are while the list of those wanted is small; a row of a broadcast takes 128 bytes at most
+    e = F.broadcast(e) if chosen.count() * 128 <= broadcast_bytes else e
     texts = d.join(e, "tkey").where(F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("c", "text").dropDuplicates(["c"])
     sets = stored(sets_of(texts, size))
     comp = classes_linked(posted, sets, signature_bytes(chosen), least, percent, chunk, chunk_bytes)

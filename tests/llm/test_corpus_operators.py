@@ -494,10 +494,12 @@ def test_mixing_follows_its_points(docs, rows):
     assert have == sorted((r[0], r[4], r[5] or 0) for r in other)
     assert have != sorted((r.doc_id, r.taken, r.first_slot or 0) for r in mixing.mix(docs).collect())
     _, order = brute.mixing([(r[0], r[1], r[3]) for r in rows])
-    out = mixing.Mix(docs, carry=("doc_id",)).in_order(words_per_part=500)
-    assert out.rdd.getNumPartitions() > 10
-    found = [(r.slot, r.turn) for r in out.collect()]
-    assert found == [(s, t) for s, t, _ in order] == sorted(found)
+    mix = mixing.Mix(docs, carry=("doc_id",))
+    for small in (1 << 25, 0):
+        out = mix.in_order(words_per_part=500, broadcast_bytes=small)
+        assert out.rdd.getNumPartitions() > 10
+        found = [(r.slot, r.turn) for r in out.collect()]
+        assert found == [(s, t) for s, t, _ in order] == sorted(found)
 
 
 def test_mixing_one_row_everywhere(spark):
