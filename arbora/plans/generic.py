@@ -41,6 +41,7 @@ class Query:
     macros: dict = field(default_factory=dict)
     catalog: dict = field(default_factory=dict)
     type_name: str = ""
+    title: str = ""
 
 
 def _lines(text: str) -> list[str]:
@@ -74,6 +75,11 @@ def _of_expression(spark: SparkSession, q: Query) -> DataFrame:
     return df.select("value.*") if df.schema[0].dataType.typeName() == "struct" else df
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows numbered as the source gives them, before lookups can move them: the order of a group's cells."""
+    return df.withColumn("_order", F.monotonically_increasing_id())
+
+
 def plan(spark: SparkSession, q: Query) -> tuple[DataFrame, list[str]]:
     """The result's rows, and the key columns if it is grouped."""
     df = _source(spark, q)
@@ -84,6 +90,9 @@ def plan(spark: SparkSession, q: Query) -> tuple[DataFrame, list[str]]:
         return s
 
     rules = flags = None
+    order = ["_order"] if q.grouping and q.output else []
+    if order and not q.subquery:
+        df = _numbered(df)
     if q.selector:
         rules, _ = compile_rules(q.selector, scope(df), macros=q.macros) if not q.subquery else (None, None)
         if q.subquery:
@@ -92,9 +101,14 @@ def plan(spark: SparkSession, q: Query) -> tuple[DataFrame, list[str]]:
             df = df.withColumns(flags).where(" OR ".join(flags))
     if q.subquery:
         names, source = syntax.assignment(q.subquery)
-        s = scope(df)
+        name = names[0] if names else "item"
+        s = scope(_numbered(df) if order else df)
         items = expr.collection(expr.compile_expr(source, s, q.macros))
-        df = s.frame[0].select("*", F.explode(items.column).alias(names[0] if names else "item"))
+        if order:
+            order.append("_place")
+            df = s.frame[0].select("*", F.posexplode(items.column).alias("_place", name))
+        else:
+            df = s.frame[0].select("*", F.explode(items.column).alias(name))
     for block in filter(str.strip, q.computations.split("\n\n")):
         s = scope(df)
         if block.lstrip().startswith("Attribute("):
@@ -127,9 +141,9 @@ def plan(spark: SparkSession, q: Query) -> tuple[DataFrame, list[str]]:
         keys.append(names[0] if names else f"key{i + 1}")
         columns[keys[-1]] = expr.compile_expr(source, s).column
     cell = expr.compile_expr(q.output, s, q.macros) if q.output else None
-    df = s.frame[0].select(*(c.alias(k) for k, c in columns.items()), *([cell.column.alias("_cell")] if cell else []), F.monotonically_increasing_id().alias("_order"))
+    df = s.frame[0].select(*(c.alias(k) for k, c in columns.items()), *([cell.column.alias("_cell")] if cell else []), *order)
     if cell:
-        value = F.transform(F.array_sort(F.collect_list(F.struct("_order", "_cell"))), lambda x: x["_cell"])
+        value = F.transform(F.array_sort(F.collect_list(F.struct(*order, "_cell"))), lambda x: x["_cell"])
     else:
         value = F.count("*")
     df = df.groupBy(*keys).agg(value.alias("value"))
@@ -169,8 +183,20 @@ def _actions_only(text: str) -> str:
 
 
 def run(spark: SparkSession, q: Query) -> str:
-    """The rendered result."""
+    """The rendered result, below its title if it has one."""
+    return (f"<h1>{tables.escape(q.title)}</h1>" if q.title else "") + _rendered(*plan(spark, q), q)
+
+
+def save(spark: SparkSession, q: Query, path: str) -> None:
+    """The result as files: ungrouped rows by Spark's CSV writer, whatever their number, groups as rendered."""
     df, keys = plan(spark, q)
+    if not keys:
+        return tables.write_csv(df, path)
+    text = (f"<h1>{tables.escape(q.title)}</h1>" if q.title else "") + _rendered(df, keys, q)
+    spark.createDataFrame([(text,)], ["value"]).coalesce(1).write.text(path)
+
+
+def _rendered(df: DataFrame, keys: list[str], q: Query) -> str:
     if not keys:
         return tables.html_table(df)
     cells = tables.tree(df, keys, "value")

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from arbora.functions import text, time
+from arbora.lang import expr
 from arbora.operators import keyed, levels, lookup, ordered, sets, unnest
 from arbora.plans import generic
 from arbora.render import charts, tables
@@ -192,3 +193,30 @@ def test_declared_query(spark):
     assert html.startswith("<table>") and "Total" in html
     flat = generic.plan(spark, generic.Query(source=df, selector='Row("r", gt(n, 1)).accept()', output="name\ntwice=n*2"))[0]
     assert rows(flat) == [("b", 4), ("c", 6)]
+
+
+def test_cells_keep_the_source_order_through_lookups(spark):
+    df = spark.createDataFrame([(i, i % 3, [f"{i}a", f"{i}b"]) for i in range(60)], "id int, k int, tags array<string>").repartition(4)
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(60)], "key int, name string")
+    catalog = {"Name": expr.Entity(names, "key", "name")}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        q = generic.Query(source=df, ordering="id desc", computations='n=:Name({name}key==$"id")', output="n", grouping="k=k", catalog=catalog)
+        want = {k: [f"n{i}" for i in range(59, -1, -1) if i % 3 == k] for k in range(3)}
+        assert {r.k: r.value for r in generic.plan(spark, q)[0].collect()} == want
+        q = generic.Query(source=df, ordering="id desc", subquery="tag=tags", computations='n=:Name({name}key==$"id")', output="tag", grouping="k=k", catalog=catalog)
+        want = {k: [f"{i}{c}" for i in range(59, -1, -1) if i % 3 == k for c in "ab"] for k in range(3)}
+        assert {r.k: r.value for r in generic.plan(spark, q)[0].collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_saved_and_titled_results(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "name string, n int")
+    q = generic.Query(source=df, title="A & B", grouping="k=name\nm=n", layout="Matrix")
+    assert generic.run(spark, q).startswith("<h1>A &amp; B</h1><table>")
+    generic.save(spark, q, f"{tmp_path}/page")
+    assert "".join(r.value for r in spark.read.text(f"{tmp_path}/page", wholetext=True).collect()).strip() == generic.run(spark, q)
+    generic.save(spark, generic.Query(source=df, output="name\nn"), f"{tmp_path}/rows")
+    assert rows(spark.read.csv(f"{tmp_path}/rows", header=True)) == [("a", "1"), ("b", "2")]
