@@ -86,6 +86,26 @@ def path_counts(df: DataFrame, path: str, into: str = "n") -> DataFrame:
     return df.where(F.size(path) > 0).select(F.explode(prefixes).alias(path)).groupBy(path).agg(F.count("*").alias(into))
 
 
+def trimmed(path: Column, suspend: str | None = None, resume: str | None = None) -> Column:
+    """A path without the frames after one that matches ``suspend``, up to one that matches ``resume``; a frame between tells how many were left out.
+
+    Frames left out up to the end are not told. Null stays null; a null frame matches nothing.
+    """
+    none = F.array().cast("array<string>")
+
+    def hit(frame: Column, pattern: str | None) -> Column:
+        return F.lit(False) if pattern is None else F.coalesce(frame.rlike(pattern), F.lit(False))
+
+    def step(s: Column, frame: Column) -> Column:
+        shown = (s["left"] < 0) | hit(frame, resume)
+        note = F.when(s["left"] > 0, F.array(F.format_string("... %d skipped ...", s["left"]))).otherwise(none)
+        left = F.when(shown, F.when(hit(frame, suspend), F.lit(0)).otherwise(F.lit(-1))).otherwise(s["left"] + 1)
+        return F.struct(F.when(shown, F.concat(s["kept"], note, F.array(frame))).otherwise(s["kept"]).alias("kept"), left.alias("left"))
+
+    # left: how many frames were left out so far, -1 while frames are shown
+    return F.aggregate(path, F.struct(none.alias("kept"), F.lit(-1).alias("left")), step)["kept"]
+
+
 def by_member_set(df: DataFrame, key: str, member: str) -> DataFrame:
     """Keys grouped by the set of their members."""
     sets = df.groupBy(key).agg(F.sort_array(F.collect_set(member)).alias("members"))

@@ -220,3 +220,28 @@ def test_saved_and_titled_results(spark, tmp_path):
     assert "".join(r.value for r in spark.read.text(f"{tmp_path}/page", wholetext=True).collect()).strip() == generic.run(spark, q)
     generic.save(spark, generic.Query(source=df, output="name\nn"), f"{tmp_path}/rows")
     assert rows(spark.read.csv(f"{tmp_path}/rows", header=True)) == [("a", "1"), ("b", "2")]
+
+
+def test_trimmed_paths_of_samples(spark):
+    def plain(path, suspend, resume):
+        if path is None:
+            return None
+        out, k = [], 0
+        while k < len(path):
+            out.append(path[k])
+            k += 1
+            if suspend and path[k - 1] and suspend in path[k - 1]:
+                ahead = next((j for j in range(k, len(path)) if resume and path[j] and resume in path[j]), None)
+                if ahead is None:
+                    break
+                out += [f"... {ahead - k} skipped ..."] if ahead > k else []
+                k = ahead
+        return out
+
+    paths = [None, [], ["s"], ["a", "s", "b", "c", "r", "d"], ["s", "r", "a"], ["sr", "x", "sr", "y", "y", "r", "s", "z"], ["r", "a", None, "s", None, "r"], ["a", "s", "b"]]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, p array<string>")
+    for suspend, resume in (("s", "r"), ("s", None), (None, "r"), (None, None)):
+        got = df.select("i", keyed.trimmed(F.col("p"), suspend, resume).alias("p")).collect()
+        assert {r.i: r.p for r in got} == {i: plain(p, suspend, resume) for i, p in enumerate(paths)}
+    counted = keyed.path_counts(df.select(keyed.trimmed(F.col("p"), "s", "r").alias("p")).where("get(p, 0) = 'a'"), "p")
+    assert sorted((tuple(r.p), r.n) for r in counted.collect())[:2] == [(("a",), 2), (("a", "s"), 2)]
