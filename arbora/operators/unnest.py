@@ -60,26 +60,12 @@ def recurse(df: DataFrame, roots: Column, id_col: str, parent_col: str, include_
 
 
 def recurse_sql(df: DataFrame, root_sql: str, id_col: str, parent_col: str, include_root: bool = True, depth: int | None = None, stop_sql: str = "false") -> DataFrame:
-    """The same as one recursive common table expression, planned as a whole.
+    """The same with conditions as SQL.
 
-    Spark bounds such an expression by levels and rows, and raises beyond; the bounds are its own
-    settings, ``spark.sql.cteRecursionLevelLimit`` (100) and ``spark.sql.cteRecursionRowLimit`` (1,000,000).
-    ``recurse`` has no bound of rows.
+    Not one recursive common table expression: Spark raises beyond 1,000,000 rows of such a one
+    (``spark.sql.cteRecursionRowLimit``), while levels have no bound of rows.
     """
-    spark = df.sparkSession
-    limit = "" if depth is None else f"AND t.depth < {depth}"
-    return spark.sql(
-        f"""
-        WITH RECURSIVE t(root, id, depth, path, ends) AS (
-          SELECT {id_col}, {id_col}, 0, array({id_col}), {f'coalesce({stop_sql}, false)' if include_root else 'false'} FROM {{d}} WHERE {root_sql}
-          UNION ALL
-          SELECT t.root, d.{id_col}, t.depth + 1, concat(t.path, array(d.{id_col})), coalesce({stop_sql}, false)
-          FROM t JOIN {{d}} d ON d.{parent_col} = t.id
-          WHERE NOT t.ends AND NOT array_contains(slice(t.path, 1, size(t.path) - 1), t.id) {limit}
-        )
-        SELECT root, id, depth, path FROM t {"" if include_root else "WHERE depth > 0"}""",
-        d=df,
-    )
+    return recurse(df, F.expr(root_sql), id_col, parent_col, include_root, depth, F.expr(stop_sql))
 
 
 def parents(path: Column, glue: str = "/") -> Column:

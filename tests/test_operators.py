@@ -49,6 +49,17 @@ def test_recursion_does_not_test_a_root_that_it_leaves_out(spark):
         assert sorted(tuple(r.path) for r in got.collect()) == want
 
 
+def test_recursion_by_sql_has_no_bound_of_rows(spark):
+    df = spark.range(2000).select("id", F.floor(F.col("id") / 10).alias("parent"))
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    try:
+        assert unnest.recurse_sql(df, "id = 0", "id", "parent").count() == 2001
+        assert unnest.recurse_sql(df, "id = 0", "id", "parent", include_root=False, depth=1, stop_sql="id = 3").count() == 10
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+
+
 def test_unfold_keeps_the_parent(spark):
     df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, None)], "id int, xs array<string>")
     assert rows(unnest.unfold(df, F.col("xs"), "x", ["id"])) == [(1, "a"), (1, "b")]
