@@ -11,6 +11,7 @@ from arbora.operators import keyed, levels, lookup, ordered, sets, unnest
 from arbora.operators import predicates as P
 from arbora.operators.select import Action, Rule, assign, decide, decompose, evaluate, partition, switch, two_phase
 from arbora.plans import generic
+from arbora.render import columns
 from arbora.sources import records, tables
 
 QUERIES: dict = {}
@@ -868,8 +869,10 @@ def top_of_a_query(spark, d):
 @query("""SELECT o_orderkey, '<a style="color: red;" href="/o?id=' || o_orderkey::VARCHAR || '" target="_blank">' || o_orderpriority || ' &amp; more</a>' AS anchor, '<span>' || o_orderstatus || '</span>' AS label,
   '<span style="display:inline-block;width:' || least(round(o_totalprice / 1000), 1000)::INT::VARCHAR || 'px;background:#' || substr(md5('price'), 1, 6) || '" title="price: ' || (o_totalprice / 1000)::INT::VARCHAR || '">&nbsp;</span>' AS bar FROM orders""")
 def html_links(spark, d):
-    o = table(spark, d, "orders").withColumn("more", F.concat("o_orderpriority", F.lit(" & more"))).withColumn("k", F.round(F.col("o_totalprice") / 1000).cast("int"))
-    return expr.select_text(o, "o_orderkey", "anchor=:link(/o?id=${o_orderkey},${more},,red)", "label=:link(#,${o_orderstatus})", "bar=:barchart(price=k)")
+    o = table(spark, d, "orders").withColumn("more", F.concat("o_orderpriority", F.lit(" & more"))).withColumn("k", F.col("o_totalprice") / 1000)
+    # widths round a half up, casts of the SQL to the even number
+    o = o.withColumn("bar", columns.bars({"price": F.col("k")}, shown={"price": F.rint("k").cast("int")}))
+    return expr.select_text(o, "o_orderkey", "anchor=:link(/o?id=${o_orderkey},${more},,red)", "label=:link(#,${o_orderstatus})", "bar")
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber AS line, l_quantity::INT AS quantity, l_returnflag, l_linestatus FROM lineitem),

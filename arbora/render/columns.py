@@ -92,13 +92,17 @@ def grid(m: Column, kind: T.MapType, totals: bool = False) -> Column:
     return _wrap("table", head, body, foot)
 
 
-def bars(series: dict[str, Column], scale: float = 1.0, overlaid: bool = False) -> Column:
-    """One bar for each label, beside each other or from one origin; together at most 1000 units wide."""
+def bars(series: dict[str, Column], scale: float = 1.0, overlaid: bool = False, shown: dict[str, Column] | None = None) -> Column:
+    """One bar for each label, beside each other or from one origin; together at most 1000 units wide.
+
+    A tooltip tells the value, or what ``shown`` has for its label.
+    """
+    told = series | (shown or {})
     values = {k: F.greatest(F.coalesce(v.cast("double"), F.lit(0.0)), F.lit(0.0)) for k, v in series.items()}
     most = (F.greatest(*values.values()) if len(values) > 1 else next(iter(values.values()))) if overlaid else reduce(lambda a, b: a + b, values.values())
     fit = F.least(F.lit(float(scale)), F.coalesce(F.try_divide(F.lit(float(WIDTH)), most), F.lit(float(scale))))
     form = "position:absolute;left:0;" if overlaid else "display:inline-block;"
     return F.concat(*(
-        F.concat(F.lit(f'<span style="{form}width:'), F.round(v * fit).cast("int").cast("string"), F.lit("px;background:"), color.auto(F.lit(k)), F.lit(f'" title="{k}: '), F.coalesce(series[k].cast("string"), F.lit("")), F.lit('">&nbsp;</span>'))
+        F.concat(F.lit(f'<span style="{form}width:'), F.round(v * fit).cast("int").cast("string"), F.lit("px;background:"), color.auto(F.lit(k)), F.lit(f'" title="{k}: '), F.coalesce(told[k].cast("string"), F.lit("")), F.lit('">&nbsp;</span>'))
         for k, v in values.items()
     ))

@@ -11,12 +11,12 @@ from arbora.plans.catalogue import ORACLE_SQL, QUERIES
 DATA = "/root/testdata/sf0.001"
 
 
-def both(spark, name):
+def both(spark, name, data=DATA):
     """Sorted rows of a query and of its SQL."""
     db = duckdb.connect()
-    for p in Path(DATA).glob("*.parquet"):
+    for p in Path(data).glob("*.parquet"):
         db.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}{'/*.parquet' if p.is_dir() else ''}'")
-    df = QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, str(data))
     out = db.execute(ORACLE_SQL[name])
     at = [[c[0] for c in out.description].index(c) for c in df.columns]
     key = lambda r: [(x is not None, x) for x in r]
@@ -56,3 +56,10 @@ def test_overlay_takes_all_customers(spark):
     o = spark.read.parquet(f"{DATA}/orders.parquet")
     assert {r[0] for r in got} == {r.o_custkey for r in o.select("o_custkey").collect()}
     assert any(v is None for *_, v in got) and len(got) > o.select("o_custkey", F.to_date("o_orderdate")).distinct().count()
+
+
+def test_bars_of_half_values(spark, tmp_path):
+    rows = [(i, "O", p, "5-LOW") for i, p in enumerate((198500.0, 297500.0, 2500.0, 500.0, 1234.56, 999500.0, 1000500.0, 5e6))]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got, want = both(spark, "html_links", tmp_path)
+    assert got == want and "width:199px" in got[0][3] and "price: 198" in got[0][3]
