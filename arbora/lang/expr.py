@@ -509,7 +509,7 @@ def keyed_map(name: str, xs: Value, raw: str | None, scope: Scope) -> Value:
         own = F.filter(xs.column, lambda e: key(e).eqNullSafe(k))
         if len(keys) > 1:
             rest = "#".join(keys[1:]) + (f",{mapper}" if mapper else "")
-            return keyed_map(name, Value(own, xs.type), rest, scope).column
+            return columns.let(own, lambda own: keyed_map(name, Value(own, xs.type), rest, scope).column)
         if name == "count":
             return F.size(own)
         if name == "group":

@@ -884,6 +884,7 @@ SELECT l_orderkey AS o_orderkey, '<table><tr><th>line</th><th>quantity</th></tr>
 FROM l JOIN grid USING (l_orderkey) GROUP BY l_orderkey""")
 def html_tables(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"), "l_returnflag", "l_linestatus")
-    items = keyed.group_by(l, [F.col("l_orderkey").alias("o_orderkey")], F.struct("line", "quantity"), ["line", "quantity", "l_returnflag", "l_linestatus"], into="items")
-    cells = keyed.group_by(l, [F.col("l_orderkey").alias("o_orderkey")], F.struct("l_returnflag", "l_linestatus"), ["line", "quantity", "l_returnflag", "l_linestatus"], into="cells")
-    return expr.select_text(items.join(cells, "o_orderkey"), "o_orderkey", "lines=items:table", "grid=cells:count(l_returnflag#l_linestatus):grid(total)")
+    # both collections from one grouping, so that lines are moved once
+    lines = keyed.group_by(l, [F.col("l_orderkey").alias("o_orderkey")], F.struct("line", "quantity", "l_returnflag", "l_linestatus"), ["line", "quantity", "l_returnflag", "l_linestatus"], into="lines")
+    both = lines.select("o_orderkey", F.transform("lines", lambda x: F.struct(x["line"].alias("line"), x["quantity"].alias("quantity"))).alias("items"), F.transform("lines", lambda x: F.struct(x["l_returnflag"].alias("l_returnflag"), x["l_linestatus"].alias("l_linestatus"))).alias("cells"))
+    return expr.select_text(both, "o_orderkey", "lines=items:table", "grid=cells:count(l_returnflag#l_linestatus):grid(total)")

@@ -21,6 +21,11 @@ def _wrap(tag: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"<{tag}>"), *parts, F.lit(f"</{tag.split()[0]}>"))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, which is computed once: inside lambdas Spark computes an expression wherever it stands."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
 def _joined(xs: Column) -> Column:
     return F.array_join(xs, "")
 
@@ -66,13 +71,11 @@ def table(xs: Column, kind: T.DataType, horizontal: bool = False) -> Column:
 
 
 def grid(m: Column, kind: T.MapType, totals: bool = False) -> Column:
-    """A map of maps as a matrix: all keys of the inner maps in order as columns; sums if asked for."""
-    inner = kind.valueType
-    rows, maps = F.array_sort(F.map_keys(m)), F.map_values(m)
-    columns = F.array_sort(F.array_distinct(F.flatten(F.transform(maps, F.map_keys))))
+    """A map of maps as a matrix: all keys of the inner maps in order as columns; sums if asked for.
 
-    def number(r: Column, c: Column) -> Column:
-        return F.try_element_at(F.try_element_at(m, r), c)
+    The map is computed once, and each of its cells is looked up once.
+    """
+    inner = kind.valueType
 
     def total(xs: Column) -> Column:
         return F.aggregate(xs, F.lit(0).cast("double"), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
@@ -80,16 +83,24 @@ def grid(m: Column, kind: T.MapType, totals: bool = False) -> Column:
     def shown(x: Column) -> Column:
         return _wrap("td", F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string")))
 
-    head = F.concat(F.lit("<tr><th></th>"), _joined(F.transform(columns, lambda c: _wrap("th", _text(c, inner.keyType)))), F.lit("<th>Total</th></tr>" if totals else "</tr>"))
-    body = _joined(F.transform(rows, lambda r: _wrap(
-        "tr", _wrap("th", _text(r, kind.keyType)), _joined(F.transform(columns, lambda c: _wrap("td", _text(number(r, c), inner.valueType)))),
-        *([shown(total(F.transform(columns, lambda c: number(r, c))))] if totals else []),
-    )))
-    if not totals:
-        return _wrap("table", head, body)
-    whole = F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: number(r, c))))
-    foot = _wrap("tr", F.lit("<th>Total</th>"), _joined(F.transform(columns, lambda c: shown(total(F.transform(rows, lambda r: number(r, c)))))), shown(total(whole)))
-    return _wrap("table", head, body, foot)
+    def laid_out(x: Column) -> Column:
+        rows, columns = x["rows"], x["columns"]
+        cells = F.transform(rows, lambda r: let(F.try_element_at(x["m"], r), lambda own: F.transform(columns, lambda c: F.try_element_at(own, c))))
+        return let(cells, lambda cells: drawn(rows, columns, cells))
+
+    def drawn(rows: Column, columns: Column, cells: Column) -> Column:
+        head = F.concat(F.lit("<tr><th></th>"), _joined(F.transform(columns, lambda c: _wrap("th", _text(c, inner.keyType)))), F.lit("<th>Total</th></tr>" if totals else "</tr>"))
+        body = _joined(F.zip_with(rows, cells, lambda r, own: _wrap(
+            "tr", _wrap("th", _text(r, kind.keyType)), _joined(F.transform(own, lambda n: _wrap("td", _text(n, inner.valueType)))),
+            *([shown(total(own))] if totals else []),
+        )))
+        if not totals:
+            return _wrap("table", head, body)
+        sums = F.transform(columns, lambda _, i: shown(total(F.transform(cells, lambda own: F.get(own, i)))))
+        return _wrap("table", head, body, _wrap("tr", F.lit("<th>Total</th>"), _joined(sums), shown(total(F.flatten(cells)))))
+
+    parts = let(m, lambda m: F.struct(m.alias("m"), F.array_sort(F.map_keys(m)).alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.transform(F.map_values(m), F.map_keys)))).alias("columns")))
+    return let(parts, laid_out)
 
 
 def bars(series: dict[str, Column], scale: float = 1.0, overlaid: bool = False, shown: dict[str, Column] | None = None) -> Column:

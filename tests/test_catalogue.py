@@ -63,3 +63,12 @@ def test_bars_of_half_values(spark, tmp_path):
     spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
     got, want = both(spark, "html_links", tmp_path)
     assert got == want and "width:199px" in got[0][3] and "price: 198" in got[0][3]
+
+
+def test_grid_computes_its_map_once(spark):
+    df = QUERIES["html_tables"](spark, DATA)
+    # once to test it for null, once for all cells; each has two levels
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("map_from_entries") <= 4 and plan.count("Aggregate") == 1
+    got, want = both(spark, "html_tables")
+    assert got == want
