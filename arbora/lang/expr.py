@@ -122,7 +122,8 @@ def chain(node: syntax.Chain, scope: Scope) -> Value:
         else:
             if value.column is not None and i:
                 conditions.append(value.column)
-            value = instruct(value, part, scope)
+            after = node.parts[i + 1] if i + 1 < len(node.parts) else None
+            value = instruct(value, part, scope, after.name if isinstance(after, syntax.Step) else None)
     if value.column is None and isinstance(value.type, T.StructType):
         value = Value(F.struct(*value.type.names), value.type)
     # a chain stops at null, whatever its instructions would make of one
@@ -346,12 +347,13 @@ def _only(xs: Value, kind: T.DataType) -> Value:
     return Value(F.transform(xs.column, lambda e: F.struct(*(e[n].alias(n) for n in kind.names))), T.ArrayType(kind))
 
 
-def instruct(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
+def instruct(v: Value, node: syntax.Instruction, scope: Scope, wanted: str | None = None) -> Value:
+    """``wanted``: the attribute that the next step takes of the result."""
     name, raw = node.name, node.raw
     kind = v.type.simpleString()
     S = T.StringType()
     if not name[:1].islower():
-        return entity(v, node, scope)
+        return entity(v, node, scope, wanted)
     if name == "map":
         xs = collection(v)
         f, t = _element(xs, scope, raw)
@@ -624,7 +626,7 @@ def _absent(column: Column, kind: T.DataType, q: _Search) -> Column:
     return F.coalesce(column, F.array().cast(kind.simpleString())) if isinstance(kind, T.ArrayType) else column
 
 
-def entity(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
+def entity(v: Value, node: syntax.Instruction, scope: Scope, wanted: str | None = None) -> Value:
     """A lookup by name joins the entity's table to the frame: by id or name, or by a filter.
 
     The filter's parts ``attr op $"expr"`` compare with the object at hand, others are fixed. Inside
@@ -644,12 +646,15 @@ def entity(v: Value, node: syntax.Instruction, scope: Scope) -> Value:
         owner.frame[0] = lookup.lookup_by_id_or_name(owner.frame[0].withColumn(key, v.column), found, key, e.id, e.name, [into]).drop(key)
         return Value(F.col(into), T.StructType(e.rows.schema.fields))
     q = _search(node.raw, e)
+    narrowed = not q.many and wanted in q.values and len(q.values) > 1
+    if narrowed:  # no more of the row travels than the next step takes
+        q.values = [wanted]
     item = T.StructType([e.rows.schema[c] for c in q.values])
     rows = e.rows
     for part in q.fixed:
         rows = rows.where(compile_filter(part))
     out = _in_iteration(node, scope, owner, elements, q, rows, item, into) if elements is not None else _in_frame(owner, q, rows, item, into)
-    if len(q.values) == 1 and isinstance(out.type, T.StructType):
+    if len(q.values) == 1 and isinstance(out.type, T.StructType) and not narrowed:
         return Value(out.column.getField(q.values[0]), out.type[0].dataType)
     return out
 
@@ -679,15 +684,16 @@ def _in_iteration(node: syntax.Instruction, scope: Scope, owner: Scope, elements
         s = Scope([*owner.levels, (scope.levels[-1][0], Value(e, kind))], owner.parameters, owner.catalog)
         return F.struct(*(compile_expr(text, s).column.alias(f"k{i}") for i, (_, _, text) in enumerate(q.keys)))
 
-    memo = (node.name, node.raw, str(elements.column))
+    memo = (node.name, node.raw, tuple(q.values), str(elements.column))
     if memo not in owner.lookups:
-        df = owner.frame[0].withColumn("_keys", F.array_sort(F.array_distinct(F.transform(elements.column, key))))
-        sets, names = df.select("_keys").distinct(), [f"k{i}" for i in range(len(q.keys))]
-        probe = sets.select(F.explode("_keys").alias("k")).distinct().select("k.*")
-        found, answer = _answer(*_matches(probe, names, rows, q), q, item, into)
-        back = sets.select("_keys", F.explode("_keys").alias("k")).select("_keys", "k", "k.*").join(found, names)
-        back = back.groupBy("_keys").agg(F.map_from_entries(F.collect_list(F.struct("k", into))).alias(into))
-        owner.frame[0] = df.join(back, "_keys", "left").drop("_keys")
+        # rows find their answers by a hash of their keys. Rows of different keys that share one
+        # share a map of all their answers, which is as good, being asked by the keys themselves
+        keys, names = F.array_distinct(F.transform(elements.column, key)), [f"k{i}" for i in range(len(q.keys))]
+        df = owner.frame[0].withColumn("_set", F.xxhash64(F.array_sort(keys)))
+        pairs = df.select("_set", F.explode(keys).alias("k")).select("_set", "k.*").distinct()
+        found, answer = _answer(*_matches(pairs, names, rows, q), q, item, into)
+        back = pairs.join(found, names).groupBy("_set").agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*names), into))).alias(into))
+        owner.frame[0] = df.join(back, "_set", "left").drop("_set")
         owner.lookups[memo] = into, answer
     into, answer = owner.lookups[memo]
     return Value(_absent(F.try_element_at(F.col(into), key(scope.this.column)), answer, q), answer)

@@ -72,3 +72,11 @@ def test_grid_computes_its_map_once(spark):
     assert plan.count("map_from_entries") <= 4 and plan.count("Aggregate") == 1
     got, want = both(spark, "html_tables")
     assert got == want
+
+
+def test_lookups_in_iterations_move_no_more_than_they_use(spark):
+    df = QUERIES["lookup_in_iteration"](spark, DATA)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_retailprice" not in plan and "s_name" not in plan and "xxhash64" in plan
+    got, want = both(spark, "lookup_in_iteration")
+    assert got == want
