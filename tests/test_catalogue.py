@@ -80,3 +80,13 @@ def test_lookups_in_iterations_move_no_more_than_they_use(spark):
     assert "p_retailprice" not in plan and "s_name" not in plan and "xxhash64" in plan
     got, want = both(spark, "lookup_in_iteration")
     assert got == want
+
+
+def test_recursion_below_roots_has_no_bound_of_rows(spark):
+    before = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        got, want = both(spark, "flatten_recursive_plus")
+        assert got == want and len(got) > 300
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", before)
