@@ -657,7 +657,7 @@ def log_formats(spark, d):
         ("E", "properties", text_of("k", i, "=a=", u), ("key", "value", "overflow")),
         ("F", "tomcat.log", text_of("2024-01-01T10:00:00,1 WARN w ", u, " x.Y:", i, " - ", t), ("message", "thread", "class")),
     )
-    found = [records.records(_as_log(e, head), parser, strict=0).select(F.lit(kind).alias("kind"), *(F.nullif(F.col(c), F.lit("")).alias(n) for n, c in zip("abc", columns, strict=True))) for kind, parser, head, columns in cases]
+    found = [records.records(_as_log(e, head), parser, strict=0, in_order=False).select(F.lit(kind).alias("kind"), *(F.nullif(F.col(c), F.lit("")).alias(n) for n, c in zip("abc", columns, strict=True))) for kind, parser, head, columns in cases]
     out = found[0]
     for df in found[1:]:
         out = out.unionByName(df)

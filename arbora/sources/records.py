@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbora.core.storage import pieces
 from arbora.functions.text import group_list
 
 #: Formats by name (fixed values): one named group for each column, the last takes what follows.
@@ -45,12 +46,14 @@ def lines(spark: SparkSession, paths: list[str] | str, most_files: int = 100) ->
     return read.join(splits, ["path", "split"]).select("path", "split", (F.col("_at") - F.col("_first") + F.col("_base")).alias("pos"), "line")
 
 
-def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: str = "", skip: int = 0, most: int = 0, with_path: bool = False, strict: int = 10_000) -> DataFrame:
+def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: str = "", skip: int = 0, most: int = 0, with_path: bool = False, strict: int = 10_000, in_order: bool = True) -> DataFrame:
     """Records from (path, pos, line) rows, and ``split`` if a path's rows are to be numbered by several tasks.
 
     ``parser``: a format's name or a pattern. Lines before the first that has ``start`` and after
     the first that has ``stop`` (itself included in the sample) are left out, in each file.
     ``keep``: records whose first line has it. An error if no line of ``strict`` matches.
+    Records come in the order of files and lines, unless ``in_order`` is false, as before a union.
+    Lines are dealt to as many tasks as the input's size asks for (``pieces``), so is every later step.
     """
     pattern = FORMATS.get(parser, parser)
     whole = f"^(?:{pattern})$"
@@ -58,6 +61,8 @@ def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: s
     # names of its own, as a pattern's groups may have any
     in_splits = "split" in df.columns
     df = df.select(F.col("path").alias("_path"), (F.col("split") if in_splits else F.lit(0)).alias("_split"), F.col("pos").alias("_pos"), F.col("line").alias("_line")).where(F.col("_pos") >= skip)
+    n = pieces(df)
+    df = df.repartition(n, "_path", "_split") if in_splits else df.repartition(n, "_path")
     for found, side in ((start, "from"), (stop, "to")):
         if found:
             first = df.where(F.col("_line").rlike(found)).groupBy("_path").agg(F.min("_pos").alias("_first"))
@@ -76,6 +81,8 @@ def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: s
         none = (F.col("_n") == 0) & (F.col("_pos") >= strict + skip)
         df = df.withColumn("_n", F.when(none, F.raise_error(F.lit(f"no line of {strict} matches"))).otherwise(F.col("_n")))
     df = df.where("_n > 0")
+    if in_splits:
+        df = df.repartition(n, "_path", "_n")
     grouped = df.groupBy("_path", "_n").agg(
         F.min("_pos").alias("_pos"), F.min_by("_line", "_pos").alias("_first"),
         F.transform(F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("_pos", "_line")))), lambda s: s["_line"]).alias("_more"),
@@ -85,8 +92,11 @@ def records(df: DataFrame, parser: str, start: str = "", stop: str = "", keep: s
     parts = [F.regexp_extract("_first", whole, k) for _, k in groups]
     cols = [F.nullif(p, F.lit("")).alias(name) for p, (name, _) in zip(parts, groups, strict=True)]
     last = F.concat_ws("\n", parts[-1], F.when(F.size("_more") > 0, F.array_join("_more", "\n"))).alias(groups[-1][0])
-    out = grouped.select("_path", "_pos", *cols[:-1], last).orderBy("_path", "_pos")
-    out = out.limit(most) if most else out
+    out = grouped.select("_path", "_pos", *cols[:-1], last)
+    if most:
+        out = out.orderBy("_path", "_pos").limit(most)
+    elif in_order:
+        out = out.repartitionByRange(n, "_path", "_pos").sortWithinPartitions("_path", "_pos")
     return out.drop("_pos").withColumnRenamed("_path", "_") if with_path else out.drop("_path", "_pos")
 
 

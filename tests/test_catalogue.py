@@ -5,6 +5,7 @@ from pathlib import Path
 import duckdb
 from pyspark.sql import functions as F
 
+from arbora.core.storage import pieces
 from arbora.operators import ordered
 from arbora.plans.catalogue import ORACLE_SQL, QUERIES
 
@@ -90,3 +91,17 @@ def test_recursion_below_roots_has_no_bound_of_rows(spark):
         assert got == want and len(got) > 300
     finally:
         spark.conf.set("spark.sql.cteRecursionRowLimit", before)
+
+
+def test_lines_are_dealt_by_the_size_of_the_input(spark):
+    e = spark.read.parquet(f"{DATA}/events.parquet")
+    assert pieces(e) == spark.sparkContext.defaultParallelism
+    assert pieces(e, of=1000) == -(-Path(f"{DATA}/events.parquet").stat().st_size // 1000)
+    df = QUERIES["log_formats"](spark, DATA)
+    # one number of tasks for each of the six formats, and no order before the union
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 6 and "Sort [" not in plan
+    got, want = both(spark, "log_formats")
+    assert got == want
+    got, want = both(spark, "log_records")
+    assert got == want
