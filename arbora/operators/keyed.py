@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.core.storage import pieces
+
 
 def count_by(df: DataFrame, *keys: Column, into: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(into))
@@ -37,21 +39,29 @@ def compress(df: DataFrame, path: str, value: str, glue: str = "/") -> DataFrame
     """Folds chains of single children into one key: ``path`` is an array of keys, one row a leaf.
 
     Every prefix of a path is one node; a key is glued to the one before unless its parent
-    has several children. Child counts come from one aggregation over the prefixes. First keys
-    are never glued, so the root's children are not counted: they would be one group of all rows.
+    has several children. A parent has them if its least child is not its greatest, which one window
+    tells. First keys are never glued, so the root's children are not compared: they would be one
+    group of all rows. Paths travel with the places of their keys, and are dealt to as many tasks
+    as the input's size asks for (``pieces``).
     """
-    rows = df.select(path, value).where(F.size(path) > 0)
-    steps = rows.select(path).distinct().select(path, F.posexplode(path).alias("i", "key")).where("i > 0").withColumn("parent", F.slice(path, 1, F.col("i")))
-    fan = steps.groupBy("parent").agg(F.countDistinct("key").alias("children"))
-    glued = steps.join(fan, "parent").withColumn("starts", F.col("children") > 1)
-    keys = glued.groupBy(path).agg(F.array_sort(F.collect_list(F.struct("i", "key", "starts"))).alias("k"))
+    n = pieces(df)
+    rows = df.select(path, value).where(F.size(path) > 0).repartition(n, path)
+    # places of keys below the first; parent and key are read from the path where they are compared
+    places = F.when(F.size(path) > 1, F.sequence(F.lit(1), F.size(path) - 1))
+    steps = rows.select(path).distinct().select(path, F.explode(places).alias("_i"))
+    parent, key = F.slice(path, F.lit(1), F.col("_i")), F.get(F.col(path), F.col("_i"))
+    w = Window.partitionBy("_parent")
+    steps = steps.withColumn("_parent", parent).repartition(n, "_parent")
+    steps = steps.withColumn("_several", F.min(key).over(w) < F.max(key).over(w)).where("_several")
+    starts = steps.select(path, "_i").repartition(n, path).groupBy(path).agg(F.collect_list("_i").alias("_starts"))
+    tail = F.slice(F.transform(path, lambda k, i: F.struct(k.alias("key"), F.coalesce(F.array_contains("_starts", i), F.lit(False)).alias("starts"))), F.lit(2), F.size(path))
     folded = F.aggregate(
-        F.coalesce("k", F.array()), F.array(F.element_at(path, 1)).cast("array<string>"),
+        tail, F.array(F.element_at(path, 1)).cast("array<string>"),
         lambda acc, x: F.when(x["starts"], F.concat(acc, F.array(x["key"]))).otherwise(
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), F.lit(glue), x["key"])))
         ),
     )
-    return rows.join(keys, path, "left").select(folded.alias(path), value)
+    return rows.join(starts, path, "left").select(folded.alias(path), value)
 
 
 def matrix(df: DataFrame, row: str, column: str, columns: list, value: str, how: str = "sum") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from arbora.core.storage import pieces
 from arbora.functions import color, text, time
 from arbora.lang import expr
 from arbora.lang.rules import compile_rules, compile_selector
@@ -441,7 +442,8 @@ def overlay_merge(spark, d):
 f AS (SELECT a, b, count(*) AS lines FROM p GROUP BY ALL), g AS (SELECT *, count(*) OVER (PARTITION BY a) AS orders FROM f)
 SELECT a || CASE WHEN orders = 1 THEN '/' ELSE '|' END || b || CASE WHEN lines = 1 THEN '/' ELSE '|' END || c AS path, v FROM p JOIN g USING (a, b)""")
 def compress_paths(spark, d):
-    j = table(spark, d, "lineitem", "l_orderkey", "l_linenumber").join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
+    l = table(spark, d, "lineitem", "l_orderkey", "l_linenumber")
+    j = l.repartition(pieces(l), "l_orderkey").join(table(spark, d, "orders", "o_orderkey", "o_custkey"), F.col("o_orderkey") == F.col("l_orderkey"))
     leaves = j.groupBy("o_custkey", "l_orderkey", "l_linenumber").agg(F.count("*").alias("v"))
     path = F.array(*(F.col(c).cast("string") for c in ("o_custkey", "l_orderkey", "l_linenumber")))
     out = keyed.compress(leaves.select(path.alias("path"), "v"), "path", "v")

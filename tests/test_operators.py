@@ -92,6 +92,16 @@ def test_compress_folds_single_children(spark):
     assert sorted((tuple(r.path), r.v) for r in keyed.compress(df, "path", "v").collect()) == [(("a/b", "c"), 1), (("a/b", "d"), 2), (("e/f",), 3)]
 
 
+def test_compress_moves_each_step_once_by_the_size_of_the_input(spark):
+    paths = [["a", "b", "c"], ["a", "b", None], ["a", "b", None], ["x"], [], ["x", "y"], ["x", None], ["e", "f", "g", "h"], ["e", "f", "k", "h"], [None, "p"], [None, "q", "r"]]
+    df = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "path array<string>, v int")
+    out = keyed.compress(df, "path", "v")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 4 and plan.count("Join") == 1
+    want = {0: ["a/b/c"], 1: [None], 2: [None], 3: ["x"], 5: ["x/y"], 6: [None], 7: ["e/f", "g/h"], 8: ["e/f", "k/h"], 9: [None, "p"], 10: [None, "q/r"]}
+    assert {r.v: r.path for r in out.collect()} == want
+
+
 def test_levels(spark):
     df = spark.createDataFrame([("a", "x", 1), ("a", "y", 5), ("b", "x", 2)], "k1 string, k2 string, value int")
     out, keys = levels.transform(df, ["k1", "k2"], [levels.Level(2, F.col("value") > 1), levels.Level(1, F.sum("value") > 2), levels.Level(1, value=F.sum("value"))])
